@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_digest, scan_licenses
+
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import resample
+
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +55,9 @@ def op10_longest_first_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op3_importance_resampling": op3_importance_resampling,
+        "op4_language_id": op4_language_id,
         "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
         "op6_url_filter": op6_url_filter,
         "op9_source_mixing": op9_source_mixing,
