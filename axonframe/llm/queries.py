@@ -15,6 +15,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import resample
 
@@ -41,6 +47,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .epsilon import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import taken_words
 
@@ -56,10 +68,12 @@ def op10_longest_first_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_multi_index_hashing": op2_multi_index_hashing,
         "op3_importance_resampling": op3_importance_resampling,
         "op4_language_id": op4_language_id,
         "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
         "op6_url_filter": op6_url_filter,
+        "op7_epsilon_grid_join": op7_epsilon_grid_join,
         "op9_source_mixing": op9_source_mixing,
         "op10_longest_first_sharding": op10_longest_first_sharding,
     }
