@@ -53,6 +53,12 @@ def op7_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import taken_words
 
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
         "op6_url_filter": op6_url_filter,
         "op7_epsilon_grid_join": op7_epsilon_grid_join,
+        "op8_minhash_bayes": op8_minhash_bayes,
         "op9_source_mixing": op9_source_mixing,
         "op10_longest_first_sharding": op10_longest_first_sharding,
     }
