@@ -230,7 +230,7 @@ def within(members: DataFrame, sigs: DataFrame, scheme: Scheme, least: list[int]
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, miss: float = 5e-4, chunk: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, miss: float = 1e-6, chunk: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of word shingles.

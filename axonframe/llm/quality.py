@@ -108,8 +108,8 @@ def kth_largest(rows: DataFrame, col: str, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, bits: int = 14, prior: float = 10.0, lose: float = 0.002, slack: float = 1.5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``log_weight``, ``gumbel_key`` and ``kept``, the sample drawn by importance resampling.
+def decided(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, bits: int = 14, prior: float = 10.0, lose: float = 0.002, slack: float = 1.5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` as ``c0, c1, ...``, with ``log_weight``, ``gumbel_key`` and ``kept``, the sample drawn by importance resampling.
 
     The target model counts the n-grams of documents labelled good (quality 1 and not toxic; a document with several
     labels is good if all are), a bounded sample of ``sample_docs`` of them by a hash of the id; their ids are
@@ -146,4 +146,10 @@ def resample(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, bits
         edge = kth_largest(got, "gumbel_key", k)
     else:
         edge = float("-inf")
-    return got.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "log_weight", "gumbel_key", (F.col("gumbel_key") >= edge).alias("kept"))
+    return got.withColumn("kept", F.col("gumbel_key") >= edge)
+
+
+def resample(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
+    """:func:`decided` under the names of ``docs``; a column of ``docs`` that is called like one of the results gives way to it."""
+    new = ["log_weight", "gumbel_key", "kept"]
+    return decided(docs, labels, **options).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in new], *new)
