@@ -161,76 +161,107 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
     return got.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def within(members: DataFrame, sigs: DataFrame, scheme: Scheme, least: list[int], best_only: bool, chunk: int) -> DataFrame:
-    """Surviving pairs between different components inside buckets; ``members``: ``key, id, comp, n`` (the bucket's size).
+class _Group:
+    """Members of a bucket, or of two of its chunks, in one task."""
 
-    A bucket over ``chunk`` members is cut into chunks, and each pair of chunks is a task's group of bounded size.
-    Groups are compared in blocks; only survivors leave the task: all of them, or each member's best (``best_only``).
-    """
-    g = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("int")
-    rows = members.withColumn("g", g).withColumn("part", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("group"), "key", "part", "id", "comp").join(sigs, "id").select("group", "key", "part", "id", "comp", "sig")
-    rows = rows.repartition("group").sortWithinPartitions("group")
+    def __init__(self, scheme: Scheme, least: list[int], percent: int) -> None:
+        self.scheme, self.least, self.percent = scheme, least, percent
 
-    def pairs_in(part: np.ndarray, ids: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def survivors(self, part: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, keys: np.ndarray, key: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with the later ones (or those of the other chunk) that it may link with: of another component, of
+        a size that allows a link, met in no earlier band, and not pruned by the signatures."""
         two = part.min() != part.max()
-        best, mate = np.zeros(len(ids), dtype=np.int32), np.full(len(ids), -1)
-        xs, ys = [], []
-        for at in range(0, len(ids), 128):
-            block = slice(at, at + 128)
-            open_ = comp[block, None] != comp[None, :]
-            open_ &= part[block, None] != part[None, :] if two else ids[block, None] < ids[None, :]
-            x, y = np.nonzero(open_)
-            for k in range(0, len(x), 200_000):
-                i, j = x[k : k + 200_000] + at, y[k : k + 200_000]
-                ok, m = likely(sig[i], sig[j], least, scheme.batch)
-                i, j = i[ok], j[ok]
-                if best_only:
-                    for p, q in ((i, j), (j, i)):
-                        order = np.argsort(m, kind="stable")
-                        p, q, v = p[order], q[order], m[order]  # the last one of a row wins: the most matches
-                        better = v > best[p]
-                        best[p[better]], mate[p[better]] = v[better], q[better]
-                else:
-                    xs.append(ids[i])
-                    ys.append(ids[j])
-        if best_only:
-            i = np.flatnonzero(mate >= 0)
-            return ids[i], ids[mate[i]]
-        return (np.concatenate(xs), np.concatenate(ys)) if xs else (ids[:0], ids[:0])
+        every = np.arange(len(part))
+        for i in every:
+            open_ = (comp != comp[i]) & ((part > part[i]) if two else (every > i))
+            open_ &= 100 * np.minimum(n, n[i]) >= self.percent * np.maximum(n, n[i])
+            j = np.flatnonzero(open_)
+            if not len(j):
+                continue
+            j = j[keys[i][(keys[j] == keys[i]).argmax(axis=1)] == key]
+            ok, _ = likely(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], self.least, self.scheme.batch)
+            if len(ok):
+                yield i, j[ok]
+
+    def links(self, part: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, keys: np.ndarray, key: int, sets: list) -> list[tuple[int, int]]:
+        """Verified links between components, enough of them to join what can be joined."""
+        names, at = np.unique(comp, return_inverse=True)
+        up = np.arange(len(names))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        out = []
+        for i, j in self.survivors(part, comp, n, sig, keys, key):
+            mine = root(at[i])
+            j = j[np.array([root(at[y]) != mine for y in j])]
+            for lo in range(0, len(j), 512):
+                some = j[lo : lo + 512]
+                both = overlaps(sets[i], [sets[y] for y in some])
+                for y in some[100 * both >= self.percent * (n[i] + n[some] - both)]:
+                    r, q = root(at[i]), root(at[y])
+                    if r != q:
+                        up[max(r, q)] = min(r, q)
+                        out.append((int(ids[i]), int(ids[y])))
+        return out
+
+
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with others; none is empty."""
+    flat = np.concatenate(others)
+    spot = np.searchsorted(one, flat)
+    spot[spot == len(one)] = 0
+    starts = np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat((one[spot] == flat).astype(np.int64), starts)
+
+
+def settled(members: DataFrame, keyed: DataFrame, sets: DataFrame, scheme: Scheme, least: list[int], percent: int, chunk: int, chunk_shingles: int) -> DataFrame:
+    """Verified links ``a, b`` between different components inside buckets.
+
+    ``members``: ``key, id, comp, n`` (the set's size), ``m`` and ``total`` (the bucket's members and their sizes' sum).
+    A bucket over ``chunk`` members or ``chunk_shingles`` shingles is cut into chunks, and each pair of chunks is a
+    group of its own, so what a task holds is bounded and a hot bucket is spread over many. Pairs live inside the task only: what leaves it
+    joins components, at most a link a member.
+    """
+    g = F.greatest(F.lit(1), F.ceil(F.col("m") / chunk), F.ceil(F.col("total") / chunk_shingles)).cast("int")
+    rows = members.withColumn("g", g).withColumn("part", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.select("id", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("group"), "key", "part", "comp", "n")
+    rows = rows.join(keyed, "id").join(sets, "id").select("group", "key", "part", "id", "comp", "n", "sig", "keys", "set").repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = _Group(scheme, least, percent)
         held: list[tuple] = []
 
-        def flush() -> pa.RecordBatch | None:
-            group, key, part, ids, comp = (np.concatenate([h[k] for h in held]) for k in range(5))
-            sig = np.concatenate([h[5] for h in held])
+        def flush() -> pa.RecordBatch:
+            _, key, part, ids, comp, n, sig, keys = (np.concatenate([h[k] for h in held]) for k in range(8))
+            sets_ = [x for h in held for x in h[8]]
             held.clear()
-            a, b = [], []
+            out = []
             for k in np.unique(key):  # one, unless hashes of groups collide
-                at = key == k
-                x, y = pairs_in(part[at], ids[at], comp[at], sig[at])
-                a.append(np.minimum(x, y))
-                b.append(np.maximum(x, y))
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                at = np.flatnonzero(key == k)
+                out += group.links(part[at], ids[at], comp[at], n[at], sig[at], keys[at], k, [sets_[x] for x in at])
+            return pa.RecordBatch.from_arrays([pa.array([min(e) for e in out], pa.int64()), pa.array([max(e) for e in out], pa.int64())], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)] + [_signatures(b.column(5), scheme.k)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            cols += [_signatures(b.column(6), scheme.k), b.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, scheme.bands)]
+            sets_ = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in b.column(8)]
             cuts = [0, *(np.flatnonzero(np.diff(cols[0])) + 1).tolist(), b.num_rows]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and held[-1][0][0] != cols[0][i]:
                     yield flush()
-                held.append(tuple(c[i:j] for c in cols))
+                held.append((*(c[i:j] for c in cols), sets_[i:j]))
         if held:
             yield flush()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, miss: float = 1e-6, chunk: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, miss: float = 1e-6, chunk: int = 2048, chunk_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of word shingles.
@@ -241,11 +272,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     3. First each bucket's members against one hub (drawn anew for each bucket), so a large group of copies costs a
        pair a member, not its square. Candidates are compared by batches of the signature and pruned when the posterior
        chance of a link falls below ``miss``; what survives is checked on full sets, and links give components.
-    4. Then, in buckets that still span several components, each member against all of the other components,
-       by bounded chunks; each one's best survivor is checked, and components are joined.
-    5. Last, all survivors between components that are left and weren't checked yet. So each candidate pair is
-       either checked, pruned by the posterior bound, or inside one component already; there is no cap.
-    Full sets are made anew from the text for the documents in surviving pairs only. Tables between the steps are in the shared folder.
+    4. Then, in buckets that still span several components, each member against all of the other components, by
+       chunks of bounded size: pruned by size and by signature batches, then checked on full sets in the same
+       task. Only links that join components leave it. So each candidate pair is either checked, pruned by the
+       posterior bound, or inside one component already; there is no cap. Members that are like each other but not
+       enough so are compared pair by pair; that is the square of such a bucket, spread over its pairs of chunks.
+    Full sets are made anew from the text for the documents in surviving pairs and such buckets only. Tables between the steps are in the shared folder.
 
     Null and empty texts, and those without words: no shingles, linked with nothing. Repeated rows have equal sets, so
     they are one class, each with its row. A null id is linked with nothing and kept. An empty table gives no rows. Other columns are ignored.
@@ -255,27 +287,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     feats = saved(featured(docs, shingle, scheme, id_col, text_col), "features")
     some = feats.filter("n > 0 and id is not null")
     classes = some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    reps = some.join(classes, ["n", "h1", "h2"]).filter("id = rep").select("id", "sig", "keys").dropDuplicates(["id"])
+    reps = some.join(classes, ["n", "h1", "h2"]).filter("id = rep").select("id", "n", "sig", "keys").dropDuplicates(["id"])
     keyed = saved(reps, "classes")
     sigs = keyed.select("id", "sig")
-    entries = keyed.select("id", F.explode("keys").alias("key"))
+    entries = keyed.select("id", "n", F.explode("keys").alias("key"))
     mask = F.xxhash64("key")  # a hub is the member with the smallest masked id: another order in each bucket
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("id").bitwiseXOR(mask)).alias("m")).filter("n > 1").select("key", "n", F.col("m").bitwiseXOR(mask).alias("hub"))
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min(F.col("id").bitwiseXOR(mask)).alias("low")).filter("m > 1")
+    buckets = buckets.select("key", "m", "total", F.col("low").bitwiseXOR(mask).alias("hub"))
     members = saved(entries.join(buckets, "key"), "members")
     stars = members.filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     tried = saved(probable(stars, sigs, scheme, least), "pairs")
     links = saved(confirmed(tried, docs, shingle, percent, id_col, text_col), "confirmed")
     comp = saved(components(links), "components")
-    for best_only in (True, False):
-        labelled = members.filter("n > 2").join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-        open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-        more = within(labelled.join(open_, "key"), sigs, scheme, least, best_only, chunk)
-        more = saved(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        new = saved(confirmed(more, docs, shingle, percent, id_col, text_col), "confirmed")
-        tried, links = tried.union(more), links.union(new)
-        comp = saved(components(links), "components")
+    labelled = members.filter("m > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    unsettled = saved(labelled.join(open_, "key").select("key", "id", "n", "m", "total", "comp"), "unsettled")
+    if not unsettled.isEmpty():
+        sets = sets_of(unsettled.select("id").distinct(), docs, shingle, id_col, text_col)
+        more = settled(unsettled, keyed.select("id", "sig", "keys"), sets, scheme, least, percent, chunk, chunk_shingles)
+        comp = saved(components(links.union(saved(more, "confirmed"))), "components")
     of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     in_class = some.select("id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"]).select("id", "n", "component")
     alone = feats.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
