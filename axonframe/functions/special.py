@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -69,26 +70,26 @@ def _each(f: object, *cols: pd.Series) -> pd.Series:
     return pd.Series([f(*x) if all(v is not None and v == v for v in x) and x[-1] > 0 else None for x in zip(*cols, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of a t statistic."""
     return _each(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_upper(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(T >= t)."""
     return _each(lambda x, d: t_cdf(-x, d), t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
     """The quantile of the t distribution."""
     seen: dict = {}
     return _each(lambda q, d: seen.setdefault((q, d), None) or seen.update({(q, d): t_quantile(q, d)}) or seen[q, d], p, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p_value(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal statistic."""
     return pd.Series([math.erfc(abs(x) / math.sqrt(2)) if x is not None and x == x else None for x in z], dtype="float64")
