@@ -86,5 +86,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_COMPONENTS = "re AS (SELECT id, id AS c FROM ids UNION SELECT l.b, re.c FROM re JOIN links l ON re.id = l.a), co AS (SELECT id, min(c) AS component_id FROM re GROUP BY id)"
+
+#: Brute force over all rows, in SQL.
+_OP2 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)) AS b FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.b, v.b), lambda p: (p[1] <> p[2])::INT))::BIGINT AS distance FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, rank::INT AS rank, vec_id, distance::INT AS distance FROM r WHERE rank <= 10"""
+
+_OP7 = f"""WITH RECURSIVE ids AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (SELECT * FROM ids WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.id AS a, b.id AS b FROM ok a JOIN ok b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.9), {_COMPONENTS}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = co.id) AS n_links, component_id, id = component_id AS kept FROM co"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0b\\f\\r]+')"
+_OP8 = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents),
+sh AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id), ids AS (SELECT id FROM w),
+it AS (SELECT x.id AS a, y.id AS b, count(*) AS m FROM sh x JOIN sh y ON x.s = y.s AND x.id <> y.id GROUP BY 1, 2),
+links AS (SELECT a, b FROM it JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * m >= 80 * (p.n + q.n - m)), {_COMPONENTS}
+SELECT co.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, co.id = component_id AS kept FROM co LEFT JOIN n ON n.id = co.id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_multi_index_hashing": _OP2, "op7_epsilon_grid_join": _OP7, "op8_minhash_bayes": _OP8}
