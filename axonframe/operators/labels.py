@@ -49,8 +49,7 @@ def landmark_counts(nodes: DataFrame, label: str, patterns: dict[str, str]) -> D
 
 def parsed_point(text: str, scale: float = 1.0) -> list[Column]:
     """x, y, z of a text ``x,y,z``; 0 for what is missing or no number."""
-    parts = F.split(text, ",")
-    return [(F.coalesce(F.expr(f"try_cast(trim(get(split(`{text}`, ','), {k})) AS double)"), F.lit(0.0)) * scale).alias(n) for k, n in enumerate("xyz")] if parts is not None else []
+    return [(F.coalesce(F.expr(f"try_cast(trim(get(split(`{text}`, ','), {k})) AS double)"), F.lit(0.0)) * scale).alias(n) for k, n in enumerate("xyz")]
 
 
 def substituted(text: str, table: list[tuple[str, str]]) -> Column:

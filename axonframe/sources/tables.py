@@ -79,7 +79,6 @@ def read_feather(spark: SparkSession, path: str, columns: list[str] | None = Non
     """Arrow IPC files, a file a task, in their own batches; validity is kept, so nulls are nulls."""
     import io
 
-    import pandas as pd
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -98,7 +97,6 @@ def read_feather(spark: SparkSession, path: str, columns: list[str] | None = Non
                     t = pa.Table.from_batches([reader.get_batch(k)]).select(plain.names).cast(plain)
                     yield from t.to_batches()
 
-    del pd
     return files.select("content").mapInArrow(run, from_arrow_schema(plain))
 
 
