@@ -147,7 +147,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: floa
         .withColumn("block", F.explode(F.expr("sequence(pos div len, (pos + size - 1) div len)")))
         .select(*key, "block", "k", "dup", F.greatest(F.lit(0).cast("long"), F.expr("block * len - pos")).alias("lo"), F.expr("least(size, (block + 1) * len - pos)").alias("hi"))
     )
-    return slots.join(pieces, [*key, "block"]), placed
+    return slots.join(pieces.hint("merge"), [*key, "block"]), placed  # slots are far more than the size of the table they come from tells
 
 
 def taken_words(docs: DataFrame, **options: object) -> DataFrame:
