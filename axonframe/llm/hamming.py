@@ -77,7 +77,8 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, widths: list[int], k: in
         flipped = [F.bit_count(F.col(s).bitwiseXOR(F.col(f"q{s}"))) for s in segs]
         first = F.array_position(F.array(*[(x <= radius) for x in flipped]), F.lit(True)) - 1
         new = reduce(lambda a, b: a & b, [x >= radius for x in flipped])  # nothing of it was within the last radius
-        hits = probes.join(index, ["seg", "value"]).filter(new & (F.col("seg") == first)).select("query_id", F.explode("ids").alias("id"), distance.cast("int").alias("distance")).filter("id != query_id")
+        met = probes.join(index.hint("merge"), ["seg", "value"])  # probes are far more than their table's size tells
+        hits = met.filter(new & (F.col("seg") == first)).select("query_id", F.explode("ids").alias("id"), distance.cast("int").alias("distance")).filter("id != query_id")
         if found is not None:
             hits = hits.unionByName(found)
         by = W.partitionBy("query_id").orderBy("distance", "id")
