@@ -214,7 +214,7 @@ def _joined(entries: DataFrame, dims: int, cosine: float, grid: int, fine: int,
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(near), pa.int64()), pa.array([min(block, n) for n in near], pa.int64()), pa.array([max(block, n) for n in near], pa.int64())], ["block", "x", "y"])
 
     pairs = spark.createDataFrame([(b,) for b in names], "block long").mapInArrow(partners, "block long, x long, y long")
-    sides = ordered.join(pairs, "block")
+    sides = ordered.hint("merge").join(pairs, "block")
 
     def joined(p: pd.DataFrame) -> pd.DataFrame:
         def side(q: pd.DataFrame) -> tuple:
