@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN = re.compile(r"[^\W\d_]+")
@@ -98,8 +98,8 @@ def counted(labelled: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             rows = list(held.items())
             held.clear()
-            for k in range(0, len(rows), 50_000):
-                part = rows[k : k + 50_000]
+            for k in range(0, len(rows), 20_000):
+                part = rows[k : k + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in part]), pa.array([x[0][1] for x in part], pa.int32()), pa.array([x[0][2] for x in part]), pa.array([x[1] for x in part], pa.int64())], ["lang", "kind", "item", "n"])
 
         for b in batches:
@@ -109,7 +109,7 @@ def counted(labelled: DataFrame) -> DataFrame:
                     for size in SIZES:
                         for g in grams(w, size):
                             held[lang, size, g] += c
-                if len(held) > 500_000:
+                if len(held) > 200_000:
                     yield from out()
         yield from out()
 
@@ -135,25 +135,22 @@ def train(docs: DataFrame, learn: Column, sample_docs: int = 2000, max_items: in
     return Model(sorted(size), [(r.lang, r.kind, r.item, r.n) for r in items.collect()])
 
 
-def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; the model goes to the tasks as a broadcast variable, no shuffle.
+def prediction(spark: SparkSession, model: Model, text_col: str = "text") -> Column:
+    """A struct of ``lang_pred`` and ``score`` for the text column; only the text goes to Python, only the struct comes back.
 
-    ``und`` with score 0 for a null text, one without a letter, or an empty model. Whole texts are scored. Repeated
-    rows and null ids are kept; an empty table gives no rows; other columns are carried through, whatever they are called.
+    The model goes to the tasks as a broadcast variable. ``und`` with score 0 for a null text, one without a letter, or
+    an empty model. Whole texts are scored; no shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index(text_col)
+    sent = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
-        for b in batches:
-            got = [m.predict(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*[f"c{k}" for k in range(len(names))], "lang_pred", "score"])
+        for texts in batches:
+            got = [m.predict(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])
 
-    slim = docs.select([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
-    kinds = ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(slim.dtypes))
-    return slim.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    # not to be computed again for a filter on it
+    return F.arrow_udf(run, "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(F.col(text_col).cast("string"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -162,7 +159,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options: object) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every document, by a model learned from the rows not held out."""
+    """``doc_id, held_out, lang_pred, score`` of every document, by a model learned from the rows not held out.
+
+    Repeated rows and null ids are kept; an empty table gives no rows; other columns are ignored.
+    """
     model = train(docs, ~held_out(id_col) & F.col(id_col).isNotNull(), id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
-    slim = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return predicted(slim, model).select(F.col("c0").alias("doc_id"), F.col("c1").alias("held_out"), "lang_pred", "score")
+    slim = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), prediction(docs.sparkSession, model, text_col).alias("p"))
+    return slim.select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -20,7 +20,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 class Hashes(dict):
     """64-bit hashes of tokens, remembered; forgotten when there are too many."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.MOST:
@@ -65,21 +65,17 @@ def counts_of(docs: DataFrame, target_ids: list, bits: int, id_col: str, text_co
     return raw, target
 
 
-def weighed(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``log_weight``: the sum over the document's n-grams of log p(target) - log p(raw); 0 without any."""
+def log_weight(spark: SparkSession, ratio: np.ndarray, text_col: str = "text") -> Column:
+    """The sum over the text's n-grams of log p(target) - log p(raw), 0 without any; only the text goes to Python."""
     bits = len(ratio).bit_length() - 1
-    sent = docs.sparkSession.sparkContext.broadcast(ratio)
-    names = docs.columns
-    at = names.index(text_col)
+    sent = spark.sparkContext.broadcast(ratio)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes, r = Hashes(), sent.value
-        for b in batches:
-            w = [float(r[features(t, hashes, bits)].sum()) if (t := x.as_py()) else 0.0 for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64())], [*[f"c{k}" for k in range(len(names))], "log_weight"])
+        for texts in batches:
+            yield pa.array([float(r[features(t, hashes, bits)].sum()) if (t := x.as_py()) else 0.0 for x in texts], pa.float64())
 
-    slim = docs.select([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
-    return slim.mapInArrow(run, ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(slim.dtypes)) + ", log_weight double")
+    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(F.col(text_col).cast("string"))
 
 
 def kth_largest(rows: DataFrame, col: str, k: int, bins: int = 4096) -> float:
@@ -132,7 +128,8 @@ def decided(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, bits:
         ratio = np.log(target + prior) - np.log(raw * (target.sum() / raw.sum()) + prior)  # a bucket's prior is the raw model's share
     else:
         ratio = np.zeros(1 << bits)
-    got = weighed(docs, ratio, text_col)
+    got = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    got = got.withColumn("log_weight", log_weight(docs.sparkSession, ratio, f"c{names.index(text_col)}"))
     at = f"c{names.index(id_col)}"
     u = (F.pmod(F.xxhash64(at, F.lit(seed + 1)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     got = saved(got.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "weights")
