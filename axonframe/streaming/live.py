@@ -36,8 +36,9 @@ def leaky(events: DataFrame, by: list[str], order: list[str], value: str, k: flo
     fades by (1 - k)^chunk, so a chunk depends on as many chunks before it as matter in double precision, by lag.
     """
     keep = 1 - k
+    chunk = max(chunk, math.ceil(0.5 / k))  # few lags for a slow level, too
     fade = keep**chunk
-    reach = max(1, math.ceil(-37 / math.log(fade))) if 0 < fade < 1 else 1
+    reach = max(1, math.ceil(-37 / math.log(fade))) if 0 < fade < 1 else 1  # 3 / (k * chunk) lags or so
     w = W.partitionBy(*by).orderBy(*order)
     rows = events.withColumn("_i", F.row_number().over(w) - 1).withColumn("_chunk", F.floor(F.col("_i") / chunk)).withColumn("_r", F.col("_i") % chunk)
     scaled = F.sum(F.col(value) * F.pow(F.lit(keep), -F.col("_r"))).over(W.partitionBy(*by, "_chunk").orderBy("_r"))
