@@ -102,7 +102,7 @@ def autocorrelation_time(series: DataFrame, by: list[str], width: float, most: i
     ``include_zero``: lag 0 counts; ``cutoff``: only lags before the first acf under it. Null for a constant series.
     """
     w = W.partitionBy(*by)
-    d = series.withColumn("x", F.col("x") - F.avg("x").over(w)).withColumn("v", F.sum(F.col("x") * F.col("x")).over(w))
+    d = series.withColumn("x", F.col("x") - F.avg("x").over(w))
     d = d.withColumn("v", F.sum(F.col("x") * F.col("x")).over(w))
     lagged = d.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).select(*by, "lag", (F.col("bin") + F.col("lag")).alias("bin"), F.col("x").alias("y"))
     acf = d.join(lagged, [*by, "bin"]).groupBy(*by, "lag").agg(ratio(F.sum(F.col("x") * F.col("y")), F.max("v")).alias("acf"))
@@ -111,7 +111,7 @@ def autocorrelation_time(series: DataFrame, by: list[str], width: float, most: i
     if cutoff is not None:
         low = F.min(F.when(F.col("acf") < cutoff, F.col("lag"))).over(w)
         acf = acf.withColumn("low", low).filter("low is null or lag < low")
-    return acf.groupBy(*by).agg((F.sum(F.greatest(F.lit(0.0), F.col("acf"))) * width).alias("tau"))
+    return acf.groupBy(*by).agg((F.sum(F.when(F.col("acf").isNotNull(), F.greatest(F.lit(0.0), F.col("acf")))) * width).alias("tau"))
 
 
 def participation_ratio(df: DataFrame, by: list[str], columns: list[Column]) -> DataFrame:

@@ -110,3 +110,15 @@ def grid_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neuron_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg((F.count(F.lit(1)) / 30.0).alias("rate"))
     return V.grid_heat(r, 12, 10).select("id", "gx", "gy", *_r("heat"))
+
+
+@query("""WITH f AS (SELECT user_id AS key, ts, event_id, abs(value - lag(value, 4) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS motion FROM events),
+g AS (SELECT key, list_reduce(list_prepend(0.0::DOUBLE, list(motion ORDER BY ts, event_id)), lambda a, v: a + 0.4 * (v - a)) AS level FROM f WHERE motion IS NOT NULL GROUP BY key) SELECT key, round(level, 6) AS level FROM g""")
+def view_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change against the fourth frame before, smoothed."""
+    from pyspark.sql import Window as W
+
+    e = _stamped(table(spark, sf_dir, "events"))
+    m = e.withColumn("motion", F.abs(F.col("value") - F.lag("value", 4).over(W.partitionBy("key").orderBy("ts", "event_id")))).filter("motion is not null")
+    x = V.leaky(m, ["key"], ["ts", "event_id"], "motion", 0.4)
+    return x.groupBy("key").agg(F.round(F.max_by("level", F.struct("ts", "event_id")), 6).alias("level"))

@@ -300,3 +300,32 @@ def gain_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = run_trials(_plan(spark, [(f"k{k}", 0.6, 0.0, k, 0.0) for k in (0.5, 1.0, 2.0)], 1), c, np.arange(40), 0.5)
     rate = s.groupBy("arm", "trial").agg((F.count(F.lit(1)) / F.lit(n * 0.5)).alias("rate_hz"), (F.countDistinct("neuron") / F.lit(float(n))).alias("active"))
     return rate.join(conductances(s, e, n, 0.5), ["arm", "trial"], "left")
+
+
+@query()
+def steady_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs with the pool's right or left half driven; how selective cells and populations are for the side."""
+    from axonframe.operators.simulate import run_trials
+
+    c, _, n = _circuit(spark, sf_dir)
+    halves = {"right": np.arange(20), "left": np.arange(20, 40)}
+    runs = {side: run_trials(_plan(spark, [(side, 0.8, 0.0, 1.0, 0.0)], 1), c, pool, 0.5) for side, pool in halves.items()}
+    s = runs["right"].unionByName(runs["left"]).groupBy("neuron").agg((F.count_if(F.col("arm") == "right") / 0.5).alias("r"), (F.count_if(F.col("arm") == "left") / 0.5).alias("l"))
+    every = spark.range(n).withColumnRenamed("id", "neuron").join(s, "neuron", "left").fillna(0.0, ["r", "l"])
+    return R.direction_index(every.withColumn("w", (F.col("neuron") % 5 - 2).cast("double")).withColumn("population", F.col("neuron") % 4), ["population"])
+
+
+@query()
+def scenario_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five presets of drive and resting tone, one short run each: spikes, active cells and the rate."""
+    from axonframe.operators.simulate import run_trials
+
+    c, _, n = _circuit(spark, sf_dir)
+    presets = {"rest": (0.0, 0.0), "tone": (0.0, 5.0), "weak": (0.2, 0.0), "strong": (1.0, 0.0), "strong tone": (1.0, 5.0)}
+    runs = [run_trials(_plan(spark, [(name, drive, 0.0, 1.0, 0.0)], 1), c, np.arange(40), 0.5, resting=tone) for name, (drive, tone) in presets.items()]
+    s = runs[0]
+    for r in runs[1:]:
+        s = s.unionByName(r)
+    got = s.groupBy("arm").agg(F.count(F.lit(1)).alias("spikes"), F.countDistinct("neuron").alias("active"))
+    every = spark.createDataFrame([(a,) for a in presets], "arm string").join(got, "arm", "left").fillna(0, ["spikes", "active"])
+    return every.withColumn("rate_hz", F.col("spikes") / F.lit(n * 0.5))

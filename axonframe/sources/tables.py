@@ -100,6 +100,28 @@ def read_feather(spark: SparkSession, path: str, columns: list[str] | None = Non
     return files.select("content").mapInArrow(run, from_arrow_schema(plain))
 
 
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """``path, text`` of whole text files: UTF-16 by its byte-order mark, else UTF-8 without one; bytes that are neither become U+FFFD."""
+    head = F.substring("content", 1, 2)
+    utf16 = (head == F.lit(bytearray(b"\xff\xfe"))) | (head == F.lit(bytearray(b"\xfe\xff")))
+    text = F.when(utf16, F.expr("decode(content, 'UTF-16')")).otherwise(F.regexp_replace(F.expr("try_validate_utf8(cast(content as string))"), "^\ufeff", ""))
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.coalesce(text, F.expr("make_valid_utf8(cast(content as string))")).alias("text"))
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Rows added to a log in one line each, fields apart by `` | ``; a run never rewrites the lines before it."""
+    df.select(F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).alias("value")).write.mode("append").text(path)
+
+
+def write_summary(df: DataFrame, path: str, facts: dict[str, object]) -> None:
+    """A small table as one CSV file under lines ``# key,value``; read it back with :func:`read_trials`."""
+    head = df.sparkSession.createDataFrame([(k, f"# {n},{v}") for k, (n, v) in enumerate(facts.items())] + [(len(facts), ",".join(df.columns))], "k int, value string")
+    cells = [F.when(F.col(f"`{c}`").isNull(), "").otherwise(F.col(f"`{c}`").cast("string")) for c in df.columns]
+    body = df.select(F.lit(len(facts) + 1).alias("k"), F.concat_ws(",", *cells).alias("value"))
+    head.union(body).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+
+
 def write_once(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Parquet, left alone if it is there already unless ``overwrite``."""
     df.write.mode("overwrite" if overwrite else "ignore").option("compression", "zstd").parquet(path)

@@ -56,6 +56,21 @@ def test_labels(spark):
     assert [tuple(r) for r in p.collect()] == [(2.0, 5.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
 
 
+def test_text_encodings(spark, tmp_path):
+    for n, b in (("a", b"\xef\xbb\xbfh\xc3\xa9"), ("b", "h\xe9".encode("utf-16")), ("c", b"h\xff")):
+        (tmp_path / n).write_bytes(b)
+    assert {r.path[-1]: r.text for r in T.read_text(spark, str(tmp_path)).collect()} == {"a": "h\xe9", "b": "h\xe9", "c": "h\ufffd"}
+
+
+def test_log_and_summary(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1, 2.5), ("y", 2, None)], "arm string, trial int, v double")
+    for _ in range(2):
+        T.append_log(df, f"{tmp_path}/log")
+    assert T.read_piped_log(spark, f"{tmp_path}/log", [("arm", "string"), ("trial", "int"), ("v", "double")]).count() == 4
+    T.write_summary(df, f"{tmp_path}/s", {"cells": 5})
+    assert [tuple(r) for r in T.read_trials(spark, f"{tmp_path}/s").collect()] == [("x", 1, 2.5), ("y", 2, None)]
+
+
 @pytest.mark.parametrize("x", [0.0, 3.5, -3.5, 100.0])
 def test_wrapped_angle(spark, x):
     from axonframe.functions.exprs import wrap_angle
