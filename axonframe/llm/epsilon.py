@@ -117,7 +117,8 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, grid_dims: int = 8
        provably distant, and what is left is one matrix product in double precision. Exact for every skip.
     4. A task returns link counts by row and a spanning forest, so groups of copies give no quadratic output;
        components come from the forests.
-    The boxes of all blocks go to the tasks by broadcast: 2 * dims numbers for ``block_rows`` vectors. In evenly spread high-dimensional data few blocks are
+    Blocks are paired range by range of neighbours: only the boxes of at most 2048 ranges come to the driver and go back
+    by broadcast, whatever the input; those of blocks stay in a table. In evenly spread high-dimensional data few blocks are
     provably distant, and the work is then the square of the rows, in matrix products: an exact join of such data has no known better bound.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors of different lengths
@@ -191,29 +192,40 @@ def _joined(entries: DataFrame, dims: int, cosine: float, grid: int, fine: int,
 
     ordered = saved(ordered.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(blocks, "id long, n long, v array<double>, " + ", ".join(f"{c} int" for c in cells) + ", block long"), "ordered")
 
+    ranges = min(parts, 2048)  # of neighbouring blocks; what is broadcast is bounded by their number
+
     def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             for block, q in p.groupby("block"):
                 u = _unit(_matrix(q.v, dims)) @ axes
                 yield pd.DataFrame({"block": [block], "lo": [u.min(0)], "hi": [u.max(0)]})
 
-    # a block can span batches: its boxes are joined
-    lo_hi = ordered.select("block", "v").mapInPandas(boxes, "block long, lo array<double>, hi array<double>").toPandas()
-    box = {b: (np.min(list(q.lo), axis=0), np.max(list(q.hi), axis=0)) for b, q in lo_hi.groupby("block")} if len(lo_hi) else {}
-    names = sorted(box)
+    def joined_boxes(p: pd.DataFrame) -> pd.DataFrame:  # a block can span batches, a range has many blocks
+        return pd.DataFrame({"k": [p.k.iloc[0]], "lo": [np.min(list(p.lo), axis=0)], "hi": [np.max(list(p.hi), axis=0)]})
+
+    box = "k long, lo array<double>, hi array<double>"
+    box_of = ordered.select("block", "v").mapInPandas(boxes, "block long, lo array<double>, hi array<double>")
+    box_of = saved(box_of.withColumnRenamed("block", "k").groupBy("k").applyInPandas(joined_boxes, box), "boxes")
+    box_of = box_of.withColumn("range", (F.shiftright("k", 20) * ranges / F.lit(parts)).cast("long"))
+    wide = box_of.select(F.col("range").alias("k"), "lo", "hi").groupBy("k").applyInPandas(joined_boxes, box).orderBy("k").toPandas()
     eps2 = 2 * (1 - cosine) + 1e-9
-    sent = spark.sparkContext.broadcast((names, np.array([box[b][0] for b in names]).reshape(-1, dims), np.array([box[b][1] for b in names]).reshape(-1, dims)))
+    sent = spark.sparkContext.broadcast((wide.k.to_numpy(np.int64), _matrix(wide.lo, dims), _matrix(wide.hi, dims)))
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, lo, hi = sent.value
         for b in batches:
-            for block in b.column(0).to_pylist():
-                k = names.index(block)
-                gap = np.maximum(0, np.maximum(lo - hi[k], lo[k] - hi))
-                near = [n for n, d in zip(names, (gap * gap).sum(1), strict=True) if d <= eps2]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(near), pa.int64()), pa.array([min(block, n) for n in near], pa.int64()), pa.array([max(block, n) for n in near], pa.int64())], ["block", "x", "y"])
-
-    pairs = spark.createDataFrame([(b,) for b in names], "block long").mapInArrow(partners, "block long, x long, y long")
+            for i in b.column(0).to_pylist():
+                gap = np.maximum(0, np.maximum(lo - hi[i], lo[i] - hi))
+                near = np.flatnonzero((gap * gap).sum(1) <= eps2)
+                near = near[near >= i]
+                yield pa.RecordBatch.from_arrays([pa.array(names[np.full(len(near), i)]), pa.array(names[near])], ["rx", "ry"])
+
+    near = spark.range(len(wide)).mapInArrow(partners, "rx long, ry long")
+    side = lambda n: box_of.select(F.col("range").alias(f"r{n}"), F.col("k").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}"))
+    near = near.join(side("x").hint("merge"), "rx").join(side("y").hint("merge"), "ry").filter("x <= y")
+    gap = F.zip_with(F.zip_with("lo_x", "hi_y", lambda p, q: p - q), F.zip_with("lo_y", "hi_x", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
+    pairs = near.filter(F.aggregate(gap, F.lit(0.0), lambda t, g: t + g * g) <= eps2).select("x", "y")
+    pairs = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
     sides = ordered.hint("merge").join(pairs, "block")
 
     def joined(p: pd.DataFrame) -> pd.DataFrame:
