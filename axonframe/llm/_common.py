@@ -29,13 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int | None = None, each: int = 5_000) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: cuts the lineage, survives lost executors.
 
+    ``rows``, about how many there are: then no more files, and tasks, than one for ``each`` of them, as a small table dealt
+    over many partitions would leave as many tiny files. A large table keeps its partitions.
     The reader's :attr:`saved_path` lets :func:`dropped` remove the files once nothing needs them.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // each + 1)).write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.saved_path = path
     return back
@@ -51,15 +53,15 @@ def dropped(*frames: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
-    ``edges`` has long columns ``a`` and ``b``. Returns ``id`` and ``component`` (the smallest id reachable)
+    ``edges`` has long columns ``a`` and ``b`` (``rows``: about how many, see :func:`saved`). Returns ``id`` and ``component`` (the smallest id reachable)
     for each id that has a link to another one. Every round is a partial aggregation and an equi-join on the
     vertex; its table is written to the shared folder and the one before it removed. A hub's neighbours are
     never gathered in one row, and no links come to the driver. No links give no rows.
     """
-    now = saved(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    now = saved(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", rows)
     was = None
     while True:
         print_ = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -71,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = saved(small, "links")
+        after = saved(small, "links", print_[0])
         dropped(now)
         now = after
     both = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")))

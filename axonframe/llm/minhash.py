@@ -288,24 +288,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     some = feats.filter("n > 0 and id is not null")
     classes = some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     reps = some.join(classes, ["n", "h1", "h2"]).filter("id = rep").select("id", "n", "sig", "keys").dropDuplicates(["id"])
-    keyed = saved(reps, "classes")
+    size = feats.count()
+    keyed = saved(reps, "classes", size)
     sigs = keyed.select("id", "sig")
     entries = keyed.select("id", "n", F.explode("keys").alias("key"))
     mask = F.xxhash64("key")  # a hub is the member with the smallest masked id: another order in each bucket
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min(F.col("id").bitwiseXOR(mask)).alias("low")).filter("m > 1")
     buckets = buckets.select("key", "m", "total", F.col("low").bitwiseXOR(mask).alias("hub"))
-    members = saved(entries.join(buckets, "key"), "members")
+    members = saved(entries.join(buckets, "key"), "members", size)
     stars = members.filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    tried = saved(probable(stars, sigs, scheme, least), "pairs")
-    links = saved(confirmed(tried, docs, shingle, percent, id_col, text_col), "confirmed")
-    comp = saved(components(links), "components")
+    tried = saved(probable(stars, sigs, scheme, least), "pairs", size)
+    links = saved(confirmed(tried, docs, shingle, percent, id_col, text_col), "confirmed", size)
+    comp = saved(components(links, size), "components", size)
     labelled = members.filter("m > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
     open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    unsettled = saved(labelled.join(open_, "key").select("key", "id", "n", "m", "total", "comp"), "unsettled")
+    unsettled = saved(labelled.join(open_, "key").select("key", "id", "n", "m", "total", "comp"), "unsettled", size)
     if not unsettled.isEmpty():
         sets = sets_of(unsettled.select("id").distinct(), docs, shingle, id_col, text_col)
         more = settled(unsettled, keyed.select("id", "sig", "keys"), sets, scheme, least, percent, chunk, chunk_shingles)
-        comp = saved(components(links.union(saved(more, "confirmed"))), "components")
+        comp = saved(components(links.union(saved(more, "confirmed", size)), size), "components", size)
     of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     in_class = some.select("id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"]).select("id", "n", "component")
     alone = feats.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))

@@ -112,7 +112,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: floa
         .withColumn("pos", F.col("lane_at") + F.coalesce(F.sum("size").over(in_lane.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("dup", F.row_number().over(W.partitionBy(*key, "lane", "k").orderBy("pos")))
     )
-    placed = saved(placed.drop("lane", "lane_at"), "places")
+    placed = saved(placed.drop("lane", "lane_at"), "places", rows.count())
 
     # shards: as many as the slots need; each of n slots
     shards = F.greatest(F.lit(1), F.round(F.col("all_quota") / shard_slots)).cast("long")

@@ -104,8 +104,8 @@ def kth_largest(rows: DataFrame, col: str, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def decided(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, bits: int = 14, prior: float = 10.0, lose: float = 0.002, slack: float = 1.5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` as ``c0, c1, ...``, with ``log_weight``, ``gumbel_key`` and ``kept``, the sample drawn by importance resampling.
+def decided(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, sample_docs: int = 20_000, bits: int = 14, prior: float = 10.0, lose: float = 0.002, slack: float = 1.5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` (only those in ``carry``, if given, and the id) as ``c0, c1, ...``, with ``log_weight``, ``gumbel_key`` and ``kept``, the sample drawn by importance resampling.
 
     The target model counts the n-grams of documents labelled good (quality 1 and not toxic; a document with several
     labels is good if all are), a bounded sample of ``sample_docs`` of them by a hash of the id; their ids are
@@ -131,6 +131,7 @@ def decided(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, bits:
     got = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
     got = got.withColumn("log_weight", log_weight(docs.sparkSession, ratio, f"c{names.index(text_col)}"))
     at = f"c{names.index(id_col)}"
+    got = got.select(*[f"c{k}" for k, c in enumerate(names) if carry is None or c in carry or c == id_col], "log_weight")
     u = (F.pmod(F.xxhash64(at, F.lit(seed + 1)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     got = saved(got.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "weights")
     if target.sum():
@@ -149,4 +150,5 @@ def decided(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, bits:
 def resample(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
     """:func:`decided` under the names of ``docs``; a column of ``docs`` that is called like one of the results gives way to it."""
     new = ["log_weight", "gumbel_key", "kept"]
-    return decided(docs, labels, **options).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in new], *new)
+    got = decided(docs, labels, **options)
+    return got.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in new and f"c{k}" in got.columns], *new)

@@ -24,7 +24,7 @@ def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import resample
 
-    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
