@@ -69,14 +69,34 @@ def pair_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(mw, ["metric", "a", "b"]).select("metric", "a", "b", "n_a", "n_b", *_r("diff", "t", "df", "d", "d_plain", "d_lo", "d_hi", "g", "u", "z", "rank_biserial"))
 
 
-@query()
+def _simpson(f: str, top: str) -> str:
+    """The integral of f(x), a SQL expression in x, from 0 to ``top``."""
+    return f"(list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f.replace('[x]', f'({top} * i / 2000)')})) * {top} / 6000)"
+
+
+def _half_t(t: str, df: str) -> str:
+    """P(0 <= T <= |t|), with T = sqrt(df) * tan(angle)."""
+    return f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {_simpson(f'pow(cos([x]), {df} - 1)', f'atan(abs({t}) / sqrt({df}))')}"
+
+
+@query(f"""WITH {_PAIR}, {_RANKS}, q AS (SELECT metric, a, b, t, df, greatest(0, 1 - 2 * {_half_t('t', 'df')}) AS p FROM pc WHERE t IS NOT NULL AND df IS NOT NULL),
+h AS (SELECT *, least(1, (count(*) OVER (PARTITION BY metric) - row_number() OVER (PARTITION BY metric ORDER BY round(p, 12), a, b) + 1) * p) AS raised FROM q)
+SELECT metric, a, b, round(t, 6) AS t, round(df, 6) AS df, round(p, 8) AS p, round(max(raised) OVER (PARTITION BY metric ORDER BY round(p, 12), a, b ROWS UNBOUNDED PRECEDING), 8) AS p_holm,
+round(greatest(0, 1 - 2 * {_simpson('exp(-[x] * [x] / 2) / sqrt(2 * pi())', 'abs(z)')}), 8) AS p_mw FROM h JOIN (SELECT metric, a, b, z FROM mw) USING (metric, a, b)""")
 def pair_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p values and intervals that need the t distribution; Mann-Whitney p by the normal one; Holm within each metric."""
+    """p of Welch's t with Holm's correction within each metric, and the Mann-Whitney p by the normal distribution."""
     from axonframe.functions.special import normal_p_value
 
     long, c = _contrasts(spark, sf_dir)
     c = S.with_p_values(c).join(S.mann_whitney(S.pooled_values(long, c)), ["metric", "a", "b"]).withColumn("p_mw", normal_p_value("z"))
-    return S.holm(c.filter("p is not null"), ["metric"], "p", ["a", "b"]).select("metric", "a", "b", "t", "df", "p", "p_holm", "p_mw", "diff_lo", "diff_hi")
+    c = S.holm(c.filter("p is not null").withColumn("p12", F.round("p", 12)), ["metric"], "p12", ["a", "b"])
+    return c.select("metric", "a", "b", *_r("t", "df"), *_r("p", "p_holm", "p_mw", digits=8))
+
+
+@query()
+def pair_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """95 % intervals of the differences, by the t quantile."""
+    return S.with_p_values(_contrasts(spark, sf_dir)[1]).select("metric", "a", "b", "diff", "diff_lo", "diff_hi")
 
 
 @query(f"""WITH {_PAIR}, p AS (SELECT metric, a, b, 2 / (1 + exp(1.702 * abs(t))) AS p FROM pc WHERE t IS NOT NULL AND 'view' IN (a, b)),
@@ -103,11 +123,25 @@ def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.permutation_test(v, 200, "perm").select("metric", "a", "b", *_r("diff"), "hits", *_r("p", digits=9))
 
 
-@query()
+def _upper_t(t: str, df: str) -> str:
+    return f"(0.5 - sign({t}) * {_half_t(t, df)})"
+
+
+@query(f"""WITH {_MOM}, pa AS (SELECT x.metric, x.arm AS a, y.arm AS b, x.n AS na, y.n AS nb, x.mean - y.mean AS diff, abs(y.mean) AS mb, x.var AS va, y.var AS vb, sqrt(va / na + vb / nb) AS se, sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS sp FROM mo x JOIN mo y ON x.metric = y.metric AND y.arm = 'view' AND x.arm <> 'view'),
+q AS (SELECT *, pow(se, 4) / nullif(pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1), 0) AS df, 0.5 * sp AS bd, 0.1 * mb AS bs FROM pa), u AS (SELECT *, (diff + bd) / nullif(se, 0) AS d1, (bd - diff) / nullif(se, 0) AS d2, (diff + bs) / nullif(se, 0) AS s1, (bs - diff) / nullif(se, 0) AS s2 FROM q)
+SELECT metric, a, b, round(diff, 6) AS diff, round(se, 6) AS se, round(df, 6) AS df, round(bd, 6) AS bound_d, round(bs, 6) AS bound_share, se = 0 AS degenerate,
+CASE WHEN df IS NOT NULL THEN round(greatest({_upper_t('d1', 'df')}, {_upper_t('d2', 'df')}), 8) END AS p_d, CASE WHEN df IS NOT NULL THEN round(greatest({_upper_t('s1', 'df')}, {_upper_t('s2', 'df')}), 8) END AS p_share FROM u""")
 def equivalence_tost(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = long_trials(spark, sf_dir)
     e = S.equivalence(S.contrasts(S.arm_pairs(S.moments(long), "view")))
-    return e.select("metric", "a", "b", "n_a", "n_b", "diff", "se", "df", "d", "bound_d", "p_d", "bound_share", "p_share", "ci90_lo", "ci90_hi", "degenerate")
+    return e.select("metric", "a", "b", *_r("diff", "se", "df", "bound_d", "bound_share"), "degenerate", *_r("p_d", "p_share", digits=8))
+
+
+@query()
+def equivalence_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """90 % intervals of the differences to the reference arm, by the t quantile."""
+    long = long_trials(spark, sf_dir)
+    return S.equivalence(S.contrasts(S.arm_pairs(S.moments(long), "view"))).select("metric", "a", "b", "ci90_lo", "ci90_hi")
 
 
 _BF = f"""list_sum(list_transform(range(4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(exp({math.log(1e-8)!r}::DOUBLE + i * {(math.log(1e3) - math.log(1e-8)) / 4000!r}::DOUBLE), -0.5)
