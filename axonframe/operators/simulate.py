@@ -104,7 +104,7 @@ class Network:
 
 @dataclass
 class Loop:
-    """Steering feedback: a bin's left-right difference, its slow mean taken off, smoothed, scaled and clamped, turns the heading."""
+    """Steering feedback: a bin's left-right difference a cell, its slow mean taken off, smoothed, scaled and clamped, turns the heading."""
 
     gain: float = 1.0
     slow: float = 0.03
@@ -154,7 +154,7 @@ def run_trials(plan: DataFrame, circuit: Circuit, pool: np.ndarray, seconds: flo
                 if row.gain and sides:
                     sums += [np.isin(fired, x).sum() for x in sides]
                     if (s + 1) % loop_bin == 0:
-                        loop.update(float(sums[1] - sums[0]), loop_bin * membrane.dt / 1000)
+                        loop.update(float(sums[1] - sums[0]) / max(1, sum(map(len, sides))), loop_bin * membrane.dt / 1000)
                         sums[:] = 0
         if not out:
             return pd.DataFrame({"arm": pd.Series(dtype=str), "trial": pd.Series(dtype="int64"), "neuron": pd.Series(dtype="int64"), "t": pd.Series(dtype=float)})

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from axonframe.functions.exprs import clamp, ratio
 from axonframe.functions.rng import hash_key, uniform
 
+#: Fixed values of the stimulus: waves (amplitude, Hz, phase), offset, noise amplitude, lowest and highest level.
+FLOW_WAVES, FLOW_OFFSET, FLOW_NOISE, FLOW_RANGE = ((0.30, 0.7, 0.0), (0.10, 2.3, 1.1)), 0.45, 0.08, (0.05, 1.0)
+HEADING_WAVES, HEADING_OFFSET, HEADING_NOISE, HEADING_RANGE = ((0.5, 0.25, 0.0), (0.3, 0.6, 0.7)), 0.0, 0.12, (-1.0, 1.0)
+#: Fixed values of the drive: a body-locked region's share of the world's slip, and the yaw drive's baseline.
+BODY_SLIP, YAW_BASELINE = 0.1, 0.12
+
 #: Arms: name, driven, patch strategy, share of the shuffled signal.
 ARMS = [("rest", False, "none", 0.0), ("self", True, "none", 0.0), ("flow", True, "body", 0.0), ("randmat", True, "random", 0.0), ("shuffle", True, "body", 0.5), ("decorr", True, "body", 1.0)]
 
@@ -27,11 +33,12 @@ def steps(spark: SparkSession, trials: int, count: int) -> DataFrame:
 
 def signal(spine: DataFrame, dt: float, seed: str, heading: bool = False) -> DataFrame:
     """``spine`` with ``x``: two sinusoids and hashed noise, clamped. The noise's key has no arm: all arms of a trial share it."""
+    waves, offset, noise, (lo, hi) = (HEADING_WAVES, HEADING_OFFSET, HEADING_NOISE, HEADING_RANGE) if heading else (FLOW_WAVES, FLOW_OFFSET, FLOW_NOISE, FLOW_RANGE)
     t = F.col("step") * dt
-    noise = uniform(seed, "trial", "step") - 0.5
-    wave = lambda amp, hz, phase: amp * F.sin(2 * math.pi * hz * t + phase)
-    x = clamp(wave(0.5, 0.25, 0.0) + wave(0.3, 0.6, 0.7) + 0.12 * noise, -1.0, 1.0) if heading else clamp(0.45 + wave(0.30, 0.7, 0.0) + wave(0.10, 2.3, 1.1) + 0.08 * noise, 0.05, 1.0)
-    return spine.withColumn("x", x)
+    x = F.lit(offset)
+    for amplitude, hertz, phase in waves:
+        x = x + amplitude * F.sin(2 * math.pi * hertz * t + phase)
+    return spine.withColumn("x", clamp(x + noise * (uniform(seed, "trial", "step") - 0.5), lo, hi))
 
 
 def block_shuffled(series: DataFrame, block: int, seed: str) -> DataFrame:
@@ -59,7 +66,7 @@ def injections(spine: DataFrame, cells: int, rate: Column | str, dt: float, seed
     return each.filter(uniform(seed, *key) < rate * dt)
 
 
-def flow_levels(delivered: DataFrame, slip: float = 0.1) -> DataFrame:
+def flow_levels(delivered: DataFrame, slip: float = BODY_SLIP) -> DataFrame:
     """Of ``trial, step, cell, in_patch, flow, patch_flow``: ``level`` so that each step's total is cells * flow exactly.
 
     Patch cells get ``slip`` * patch_flow, capped by the budget; the surround shares the rest.
@@ -73,7 +80,7 @@ def flow_levels(delivered: DataFrame, slip: float = 0.1) -> DataFrame:
     return delivered.withColumn("level", F.when(F.col("in_patch"), want * cap).otherwise(F.greatest(F.lit(0.0), rest)))
 
 
-def yaw_levels(delivered: DataFrame, baseline: float = 0.12) -> DataFrame:
+def yaw_levels(delivered: DataFrame, baseline: float = YAW_BASELINE) -> DataFrame:
     """Of ``trial, step, cell, pref, in_patch, yaw, patch_yaw``: ``level`` over a baseline with the natural total kept.
 
     Each cell's drive is the rectified match of its preferred direction with the rotation; patch cells follow
