@@ -48,9 +48,10 @@ def _quota(block: int, fine: int) -> list[tuple[str, Column]]:
     ]
 
 
-def _unit(*cols: Column) -> Column:
-    """A repeatable number in [0, 1) from a hash of the columns."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
+def _hash(*parts: Column) -> Column:
+    """52 bits of the md5 of the parts joined by ``|``; the same in any engine that has md5."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def _row_key(id_col: str, text_col: str, source_col: str) -> Column:
@@ -85,7 +86,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: floa
             F.col(source_col).isNull().alias("no_src"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(lanes)).cast("int").alias("lane"),
+            F.pmod(_hash(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("-"))), F.lit(lanes)).cast("int").alias("lane"),
             _row_key(id_col, text_col, source_col).alias("k"),
         ),
         "mix",
@@ -126,20 +127,20 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: floa
     def under(c: Column) -> Column:
         """How many of the shard's stratified numbers lie under c."""
         x = c * F.col("n")
-        return F.least(F.col("n"), (F.floor(x) + (_unit(F.lit(seed), F.col("shard"), F.floor(x)) < x - F.floor(x)).cast("long")).cast("long"))
+        return F.least(F.col("n"), (F.floor(x) + (_hash(F.lit(seed), F.col("shard"), F.floor(x)) / F.lit(float(1 << 52)) < x - F.floor(x)).cast("long")).cast("long"))
 
     drawn = drawn.withColumn("count", F.when(F.col("last"), F.col("n")).otherwise(under(F.col("hi_c"))) - under(F.col("lo_c"))).filter(F.col("count") > 0)
     first = F.coalesce(F.sum("count").over(W.partitionBy(*key).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     primes = F.array(*[F.lit(p) for p in PRIMES])
     slots = (
         drawn.withColumn("first", first)
+        # one of the primes comes first by the source's hash; the first that doesn't divide the number of blocks is taken
+        .withColumn("turn", F.pmod(_hash(F.lit("turn"), F.lit(seed), *map(F.col, key)), F.lit(len(PRIMES))).cast("int"))
+        .withColumn("prime", F.element_at(F.filter(F.concat(F.slice(primes, F.col("turn") + 1, len(PRIMES)), primes), lambda p: F.col("blocks") % p != 0), 1).cast("long"))
         .withColumn("j", F.explode(F.expr("sequence(first, first + count - 1)")))
         .withColumn("pass", F.expr("j div blocks").cast("int"))
         .filter(F.col("j") < F.floor(F.col("blocks") * F.lit(float(cap))))
-        # a prime that doesn't divide the number of blocks; which one is tried first depends on the source
-        .withColumn("turn", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(len(PRIMES))).cast("int"))
-        .withColumn("prime", F.element_at(F.filter(F.concat(F.slice(primes, F.col("turn") + 1, len(PRIMES)), primes), lambda p: F.col("blocks") % p != 0), 1).cast("long"))
-        .withColumn("block", F.pmod(F.pmod(F.col("j"), F.col("blocks")) * F.col("prime") + F.pmod(F.xxhash64(*key, F.col("pass"), F.lit(seed)), F.col("blocks")), F.col("blocks")))
+        .withColumn("block", F.pmod(F.pmod(F.col("j"), F.col("blocks")) * F.col("prime") + F.pmod(_hash(F.lit("step"), F.lit(seed), *map(F.col, key), F.col("pass")), F.col("blocks")), F.col("blocks")))
         .select(*key, "block", "shard", F.col("j").alias("slot"), "pass")
     )
     pieces = (
