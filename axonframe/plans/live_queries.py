@@ -39,17 +39,20 @@ def _shared(spark: SparkSession) -> str:
     return f"{named}/stream-{uuid.uuid4().hex}"
 
 
-@query()
+@query(f"SELECT * FROM ({_BLOCKS}) WHERE start + {BLOCK} <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events) / 1000")
 def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks as a stream: those that the watermark has closed."""
     run = lambda e: V.blocks(_stamped(e), BLOCK, ["kind"], late="1 hour")
     return V.replay(spark, f"{sf_dir}/events.parquet", _shared(spark), run).select("start", "kind", "n", *_r("total", "low", "high"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id AS key, count(*) AS n, list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda a, v: a + 0.1 * (v - a)) AS level, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1)
+SELECT key, n, round(level, 6) AS level, round(last, 6) AS last, CASE WHEN level < 40 THEN 'calm' WHEN level < 60 THEN 'busy' ELSE 'excited' END AS mood FROM g""")
 def stream_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed leaky state of each user over the replayed events."""
-    return V.replay(spark, f"{sf_dir}/events.parquet", _shared(spark), lambda e: V.agents(_stamped(e)))
+    """Keyed leaky state of each user over the replayed events: its last update."""
+    out = V.replay(spark, f"{sf_dir}/events.parquet", _shared(spark), lambda e: V.agents(_stamped(e)))
+    last = out.groupBy("key").agg(F.max(F.struct("n", "level", "last", "mood")).alias("s"))
+    return last.select("key", "s.n", F.round("s.level", 6).alias("level"), F.round("s.last", 6).alias("last"), "s.mood")
 
 
 @query("SELECT user_id AS key, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda a, v: a + 0.1 * (v - a)), 6) AS level FROM events GROUP BY user_id")
