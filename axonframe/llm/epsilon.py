@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, saved
+from ._common import components, dropped, saved
 
 
 def _matrix(column: pa.Array | pd.Series, dims: int) -> np.ndarray:
@@ -205,8 +205,8 @@ def _joined(entries: DataFrame, dims: int, cosine: float, grid: int, fine: int,
 
     box = "k long, lo array<double>, hi array<double>"
     box_of = ordered.select("block", "v").mapInPandas(boxes, "block long, lo array<double>, hi array<double>")
-    box_of = saved(box_of.withColumnRenamed("block", "k").groupBy("k").applyInPandas(joined_boxes, box), "boxes")
-    box_of = box_of.withColumn("range", (F.shiftright("k", 20) * ranges / F.lit(parts)).cast("long"))
+    boxed = saved(box_of.withColumnRenamed("block", "k").groupBy("k").applyInPandas(joined_boxes, box), "boxes")
+    box_of = boxed.withColumn("range", (F.shiftright("k", 20) * ranges / F.lit(parts)).cast("long"))
     wide = box_of.select(F.col("range").alias("k"), "lo", "hi").groupBy("k").applyInPandas(joined_boxes, box).orderBy("k").toPandas()
     eps2 = 2 * (1 - cosine) + 1e-9
     sent = spark.sparkContext.broadcast((wide.k.to_numpy(np.int64), _matrix(wide.lo, dims), _matrix(wide.hi, dims)))
@@ -246,6 +246,7 @@ def _joined(entries: DataFrame, dims: int, cosine: float, grid: int, fine: int,
 
     schema = "a long, b long, links long"
     found = saved(sides.groupBy("x", "y").applyInPandas(joined, schema), "found")
+    dropped(turned, ordered, boxed)
     return found.filter("links > 0").select(F.col("a").alias("rep"), "links"), found.filter("links = 0").select("a", "b")
 
 

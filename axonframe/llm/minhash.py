@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._common import components, saved
+from ._common import components, dropped, saved
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -306,7 +306,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     if not unsettled.isEmpty():
         sets = sets_of(unsettled.select("id").distinct(), docs, shingle, id_col, text_col)
         more = settled(unsettled, keyed.select("id", "sig", "keys"), sets, scheme, least, percent, chunk, chunk_shingles)
-        comp = saved(components(links.union(saved(more, "confirmed", size)), size), "components", size)
+        more = saved(more, "confirmed", size)
+        before, comp = comp, saved(components(links.union(more), size), "components", size)
+        dropped(before, more)
+    dropped(keyed, members, tried, links, unsettled)  # what comes now needs classes and components only
     of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     in_class = some.select("id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"]).select("id", "n", "component")
     alone = feats.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
