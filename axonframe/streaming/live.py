@@ -75,7 +75,7 @@ def report_due(filled: DataFrame, arms: DataFrame, least: int = 6) -> DataFrame:
 
 
 def heading_command(turn: Column, flee: Column, taxis: Column) -> Column:
-    """The fly's turn: fleeing overrides, else brain turn and odour taxis add up; clamped to [-1, 1]."""
+    """An agent's turn: fleeing overrides, else brain turn and odour taxis add up; clamped to [-1, 1]."""
     return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.when(F.abs(flee) > 0, flee).otherwise(turn + 0.5 * taxis)))
 
 
