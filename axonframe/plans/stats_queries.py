@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from axonframe.functions.exprs import exclusive_quantiles
 from axonframe.operators import stats as S
 
-from .catalogue import query
+from .catalogue import lifted, query
 from .fixtures import LONG, TRIALS, long_trials, trials
 
 ARMS = ["click", "error", "purchase", "signup", "view"]
@@ -123,6 +123,17 @@ def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.permutation_test(v, 200, "perm").select("metric", "a", "b", *_r("diff"), "hits", *_r("p", digits=9))
 
 
+PERMUTATIONS, TREND_PERMUTATIONS = 4000, 2000
+
+
+@query(lifted("permutation_p", (" AND metric = 'mean_value'", ""), ("range(1, 201)", f"range(1, {PERMUTATIONS + 1})"), ("201.0", f"{PERMUTATIONS + 1}.0")))
+def permutation_p_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric at 4000 relabellings; ``permutation_p`` is the short form that its fixed SQL describes."""
+    long = long_trials(spark, sf_dir)
+    v = S.pooled_values(long, S.arm_pairs(S.moments(long), "view"))
+    return S.permutation_test(v, PERMUTATIONS, "perm").select("metric", "a", "b", *_r("diff"), "hits", *_r("p", digits=9))
+
+
 def _upper_t(t: str, df: str) -> str:
     return f"(0.5 - sign({t}) * {_half_t(t, df)})"
 
@@ -181,6 +192,13 @@ def trend_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.trend_permutation_p(d, ["metric"], "x", "value", ["arm", "trial"], 100, "trend").select("metric", *_r("rho"), *_r("p", digits=9))
 
 
+@query(lifted("trend_permutation", (" WHERE metric IN ('n', 'mean_value')", ""), ("range(101)", f"range({TREND_PERMUTATIONS + 1})"), ("101.0", f"{TREND_PERMUTATIONS + 1}.0")))
+def trend_permutation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric at 2000 permutations; ``trend_permutation`` is the short form that its fixed SQL describes."""
+    d = _dose(spark, sf_dir)
+    return S.trend_permutation_p(d, ["metric"], "x", "value", ["arm", "trial"], TREND_PERMUTATIONS, "trend").select("metric", *_r("rho"), *_r("p", digits=9))
+
+
 @query(f"WITH {_MOM} SELECT metric, {', '.join(f'''round(max(mean) FILTER (arm = '{a}'), 6) AS \"{a}\"''' for a in ARMS)} FROM mo GROUP BY metric")
 def wide_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.digest(S.moments(long_trials(spark, sf_dir)), ARMS).select("metric", *_r(*ARMS))
