@@ -7,10 +7,14 @@ over the bins that have spikes. Spines are built only for series over time, one
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from axonframe.functions.exprs import ratio, safe_corr, safe_slope, wrap_angle
 from axonframe.functions.rng import hash_key
@@ -124,6 +128,50 @@ def participation_ratio(df: DataFrame, by: list[str], columns: list[Column]) ->
     return s.select(*by, ratio(trace * trace, norm).alias("ratio"))
 
 
+def vector_participation_ratio(df: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """:func:`participation_ratio` over all components of an array column; their number comes from the data.
+
+    Each task gives count, mean and centred products of its rows by group; those few rows are then put together, so
+    that no row is multiplied out into pairs of components. Rows with a null vector or component are left out; vectors
+    of unequal length in a group are refused.
+    """
+    sent = df.schema
+    keys = StructType([sent[c] for c in by])
+    partial = StructType([*keys, StructField("n", LongType()), StructField("mean", ArrayType(DoubleType())), StructField("m2", ArrayType(DoubleType()))])
+
+    def merged(a: tuple | None, b: tuple) -> tuple:
+        if a is None:
+            return b
+        if len(a[1]) != len(b[1]):
+            raise ValueError(f"vectors of {len(a[1])} and {len(b[1])} components in one group")
+        n, d = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple] = {}
+        for batch in batches:
+            for key, g in batch.groupby(by, dropna=False, sort=False):
+                sizes = {len(v) for v in g[vector]}
+                if len(sizes) > 1:
+                    raise ValueError(f"vectors of {min(sizes)} and {max(sizes)} components in one group")
+                x = np.stack(g[vector].to_list()).astype(float)
+                mean = x.mean(0)
+                key = tuple(None if pd.isna(k) else k for k in key)
+                held[key] = merged(held.get(key), (len(x), mean, (x - mean).T @ (x - mean)))
+        if held:
+            yield pd.DataFrame([(*k, n, m.tolist(), c.ravel().tolist()) for k, (n, m, c) in held.items()], columns=[*by, "n", "mean", "m2"])
+
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for n, m, c in zip(g["n"], g["mean"], g["m2"], strict=True):
+            total = merged(total, (n, np.asarray(m), np.asarray(c).reshape(len(m), len(m))))
+        norm = float((total[2] ** 2).sum())
+        return g[by].head(1).assign(ratio=float(np.trace(total[2]) ** 2 / norm) if norm else None)
+
+    good = df.select(*by, vector).filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull()))
+    return good.mapInPandas(parts, partial).groupBy(*by).applyInPandas(whole, StructType([*keys, StructField("ratio", DoubleType())]))
+
+
 def population_vector(bins: DataFrame, by: list[str], angle: Column) -> DataFrame:
     """``by, amplitude, angle`` of the spike-weighted mean direction; null without spikes."""
     s = bins.groupBy(*by).agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.cos(angle)).alias("c"), F.sum(F.col("n") * F.sin(angle)).alias("s"))

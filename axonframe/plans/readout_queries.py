@@ -103,6 +103,15 @@ def participation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.participation_ratio(e, ["label"], [F.get("embedding", F.lit(k)) for k in range(8)]).select("label", *_r("ratio"))
 
 
+@query("""WITH e AS (SELECT row_number() OVER () AS k, label, embedding FROM embeddings WHERE embedding IS NOT NULL), u AS (SELECT k, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM e),
+c AS (SELECT a.label, a.i, b.i AS j, covar_pop(a.x, b.x) AS c FROM u a JOIN u b ON a.k = b.k GROUP BY ALL)
+SELECT label::BIGINT AS label, round(pow(sum(c) FILTER (i = j), 2) / nullif(sum(c * c), 0), 6) AS ratio FROM c GROUP BY label""")
+def participation_ratio_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the whole vector; ``participation_ratio`` is the short form that its fixed SQL describes."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), "embedding")
+    return R.vector_participation_ratio(e, ["label"], "embedding").select("label", *_r("ratio"))
+
+
 _ANGLE = f"(neuron % 16) * {2 * math.pi / 16!r}::DOUBLE"
 _VEC = _BINS + f""", pv AS (SELECT arm, bin, sqrt(pow(sum(n * cos({_ANGLE})), 2) + pow(sum(n * sin({_ANGLE})), 2)) / sum(n) AS amplitude, atan2(sum(n * sin({_ANGLE})), sum(n * cos({_ANGLE}))) AS angle FROM bi GROUP BY 1, 2),
 st AS (SELECT *, angle - lag(angle) OVER (PARTITION BY arm ORDER BY bin) AS raw FROM pv),

@@ -117,3 +117,16 @@ def test_autocorrelation_variants(spark):
     low = next(k for k in range(1, 11) if acf[k] < 0.05)
     assert R.autocorrelation_time(df, ["g"], 2.0, 10, include_zero=False, cutoff=0.05).first().tau == pytest.approx(2 * sum(max(0, a) for a in acf[1:low]))
     assert R.autocorrelation_time(df.withColumn("x", F.lit(1.0)), ["g"], 2.0, 10).first().tau is None
+
+
+def test_participation_ratio_takes_whole_vectors(spark):
+    x = np.random.default_rng(4).normal(size=(300, 12)) + 50
+    rows = [(None if k % 3 == 2 else k % 3, v.tolist()) for k, v in enumerate(x)] + [(7, [1.0, 2.0]), (7, [1.0, 2.0]), (0, None), (0, [1.0] * 11 + [None])]
+    df = spark.createDataFrame(rows, "g long, v array<double>").repartition(5)
+    got = {r.g: r.ratio for r in R.vector_participation_ratio(df, ["g"], "v").collect()}
+    for g, k in ((0, 0), (1, 1), (None, 2)):
+        ev = np.linalg.eigvalsh(np.cov(x[k::3].T))
+        assert got[g] == pytest.approx(ev.sum() ** 2 / (ev**2).sum()) and got[g] > 8
+    assert got[7] is None
+    with pytest.raises(Exception, match="components in one group"):
+        R.vector_participation_ratio(spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "g long, v array<double>"), ["g"], "v").collect()
