@@ -245,14 +245,15 @@ def spread_step(active: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(_ids(active, "pre"), "pre", "left_semi").groupBy(F.col("post").alias("id")).agg(F.sum("w").alias("drive"))
 
 
-def near(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+def near(points: DataFrame, others: DataFrame, radius: float, places: bool = False) -> DataFrame:
     """``id, other, d``: pairs in the plane within a radius, by an equi-join on grid cells of that width.
 
-    Each point looks into its own cell and the eight around it, so no pair of distant points is formed.
+    Each point looks into its own cell and the eight around it, so no pair of distant points is formed. ``places``:
+    with both points' ``x, y, ox, oy``.
     """
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     a = points.select("id", "x", "y", around.alias("o")).select("id", "x", "y", (cell("x") + F.col("o.i")).alias("cx"), (cell("y") + F.col("o.j")).alias("cy"))
     b = others.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
     d = F.sqrt(F.pow(F.col("x") - F.col("ox"), F.lit(2)) + F.pow(F.col("y") - F.col("oy"), F.lit(2)))
-    return a.join(b, ["cx", "cy"]).select("id", "other", d.alias("d")).filter(F.col("d") <= radius)
+    return a.join(b, ["cx", "cy"]).select("id", "other", d.alias("d"), *(["x", "y", "ox", "oy"] if places else [])).filter(F.col("d") <= radius)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from axonframe.operators import graph as G
 from axonframe.operators import labels as L
 
-from .catalogue import query
+from .catalogue import lifted, query
 from .fixtures import COORDS, EVENT_GRAPH, SPARSE_GRAPH, SUPPLIERS, SUPPLY_GRAPH, coords, event_graph, sparse_graph, suppliers, supply_graph, table
 
 RULES = [("standard", 1), ("promo.*(brass|tin)", 2), ("econ", 3)]
@@ -277,6 +277,13 @@ def proximity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.near(p, p.filter("id % 3 = 0"), 0.02).select("id", "other", _r("d"))
 
 
+@query(lifted("proximity_join", ("WHERE b.id % 3 = 0", "WHERE a.id <> b.id")))
+def proximity_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points with all others; ``proximity_join`` is the short form that its fixed SQL describes."""
+    p = coords(spark, sf_dir)
+    return G.near(p, p, 0.02).filter("id <> other").select("id", "other", _r("d"))
+
+
 @query("""SELECT doc_id AS id, 'mit' AS pattern, (len(text) - len(replace(text, 'MIT License', ''))) // 11 AS hits FROM documents WHERE contains(text, 'MIT License')
 UNION ALL SELECT doc_id, 'version', (len(text) - len(replace(text, 'Version 2.0', ''))) // 11 FROM documents WHERE contains(text, 'Version 2.0')""")
 def document_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

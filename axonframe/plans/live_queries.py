@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from axonframe.operators import labels as L
 from axonframe.streaming import live as V
 
-from .catalogue import query
+from .catalogue import lifted, query
 from .fixtures import COORDS, coords, table
 
 BLOCK = 6 * 3600
@@ -104,6 +104,13 @@ def sight_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.sight(p.filter("id % 5 = 0"), p, reach=0.05).select("id", F.col("ray").cast("long").alias("ray"), "seen", *_r("nearest"))
 
 
+@query(lifted("sight_rays", (" WHERE a.id % 5 = 0", "")))
+def sight_rays_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point as a viewer; ``sight_rays`` is the short form that its fixed SQL describes."""
+    p = coords(spark, sf_dir)
+    return V.sight(p, p, reach=0.05).select("id", F.col("ray").cast("long").alias("ray"), "seen", *_r("nearest"))
+
+
 @query(f"WITH {COORDS} SELECT id % 10 AS class, round(count(DISTINCT (floor(x / 0.05), floor(y / 0.05))) / 400, 6) AS share FROM co GROUP BY 1")
 def grid_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.occupancy(coords(spark, sf_dir).withColumn("class", F.col("id") % 10), ["class"], 0.05, 400).select("class", *_r("share"))

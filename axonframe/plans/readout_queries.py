@@ -266,15 +266,23 @@ def ring_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _circuit(spark: SparkSession, sf_dir: str) -> tuple[object, DataFrame, int]:
-    """Users as neurons 0 to 199, edges between consecutive events; every fifth user is inhibitory."""
+    """A neuron for each user, numbered in the order of ids; edges between consecutive events; every fifth user is inhibitory."""
     from axonframe.operators.simulate import circuit_of
 
-    n = 200
-    e = event_graph(spark, sf_dir).groupBy((F.col("pre") % n).alias("pre"), (F.col("post") % n).alias("post")).agg(F.sum("w").alias("w"))
-    e = e.withColumn("w", F.when(F.col("pre") % 5 == 0, -F.col("w")).otherwise(F.col("w")) * 0.275 / 10)
+    g = event_graph(spark, sf_dir).groupBy("pre", "post").agg(F.sum("w").alias("w")).withColumn("w", F.when(F.col("pre") % 5 == 0, -F.col("w")).otherwise(F.col("w")) * 0.275 / 10)
+    users = sorted(r.id for r in g.select(F.col("pre").alias("id")).union(g.select("post")).distinct().collect())
+    n = len(users)
+    index = spark.createDataFrame(list(enumerate(users)), "k long, id long")
+    number = lambda side: index.select(F.col("k").alias(f"{side}_k"), F.col("id").alias(side))
+    e = g.join(number("pre"), "pre").join(number("post"), "post").select(F.col("pre_k").alias("pre"), F.col("post_k").alias("post"), "w")
     return circuit_of(e, n), e, n
 
 
+def _part(n: int, start: float, stop: float) -> np.ndarray:
+    """The neurons from one share of a circuit to another, one at least."""
+    return np.arange(min(round(n * start), n - 1), max(round(n * stop), round(n * start) + 1))
+
+
 def _plan(spark: SparkSession, rows: list[tuple[str, float, float, float, float]], trials: int) -> DataFrame:
     return spark.createDataFrame([(a, t, *x) for a, *x in rows for t in range(trials)], "arm string, trial long, drive double, patch double, kappa double, gain double")
 
@@ -285,7 +293,7 @@ def lif_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c, _, n = _circuit(spark, sf_dir)
     plan = _plan(spark, [("rest", 0.0, 0.0, 1.0, 0.0), ("self", 0.6, 0.0, 1.0, 0.0), ("flow", 0.6, 0.25, 1.0, 0.0), ("loop", 0.6, 0.0, 1.0, 0.5)], 3)
-    s = run_trials(plan, c, np.arange(40), 1.0, resting=2.0, loop_sides=(np.arange(100, 150), np.arange(150, 200)))
+    s = run_trials(plan, c, _part(n, 0, 0.2), 1.0, resting=2.0, loop_sides=(_part(n, 0.5, 0.75), _part(n, 0.75, 1)))
     return s.groupBy("arm", "trial").agg(F.count(F.lit(1)).alias("spikes"), F.countDistinct("neuron").alias("active"), (F.count(F.lit(1)) / F.lit(float(n))).alias("rate_hz"))
 
 
@@ -295,7 +303,7 @@ def dose_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c, _, n = _circuit(spark, sf_dir)
     doses = [0.0, 0.25, 0.5, 1.0]
-    s = run_trials(_plan(spark, [(f"frac{f}", 0.6, f, 1.0, 0.0) for f in doses], 2), c, np.arange(40), 0.5)
+    s = run_trials(_plan(spark, [(f"frac{f}", 0.6, f, 1.0, 0.0) for f in doses], 2), c, _part(n, 0, 0.2), 0.5)
     out = s.withColumn("frac", F.regexp_replace("arm", "^frac", "").cast("double")).groupBy("frac", "trial").agg((F.count(F.lit(1)) / F.lit(n * 0.5)).alias("rate_hz"))
     every = _plan(spark, [(str(f), 0.6, f, 1.0, 0.0) for f in doses], 2).select(F.col("patch").alias("frac"), "trial")
     return every.join(out, ["frac", "trial"], "left").select("frac", "trial", F.coalesce("rate_hz", F.lit(0.0)).alias("rate_hz"))
@@ -306,7 +314,7 @@ def gain_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from axonframe.operators.simulate import conductances, run_trials
 
     c, e, n = _circuit(spark, sf_dir)
-    s = run_trials(_plan(spark, [(f"k{k}", 0.6, 0.0, k, 0.0) for k in (0.5, 1.0, 2.0)], 1), c, np.arange(40), 0.5)
+    s = run_trials(_plan(spark, [(f"k{k}", 0.6, 0.0, k, 0.0) for k in (0.5, 1.0, 2.0)], 1), c, _part(n, 0, 0.2), 0.5)
     rate = s.groupBy("arm", "trial").agg((F.count(F.lit(1)) / F.lit(n * 0.5)).alias("rate_hz"), (F.countDistinct("neuron") / F.lit(float(n))).alias("active"))
     return rate.join(conductances(s, e, n, 0.5), ["arm", "trial"], "left")
 
@@ -317,7 +325,7 @@ def steady_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from axonframe.operators.simulate import run_trials
 
     c, _, n = _circuit(spark, sf_dir)
-    halves = {"right": np.arange(20), "left": np.arange(20, 40)}
+    halves = {"right": _part(n, 0, 0.1), "left": _part(n, 0.1, 0.2)}
     runs = {side: run_trials(_plan(spark, [(side, 0.8, 0.0, 1.0, 0.0)], 1), c, pool, 0.5) for side, pool in halves.items()}
     s = runs["right"].unionByName(runs["left"]).groupBy("neuron").agg((F.count_if(F.col("arm") == "right") / 0.5).alias("r"), (F.count_if(F.col("arm") == "left") / 0.5).alias("l"))
     every = spark.range(n).withColumnRenamed("id", "neuron").join(s, "neuron", "left").fillna(0.0, ["r", "l"])
@@ -331,7 +339,7 @@ def scenario_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c, _, n = _circuit(spark, sf_dir)
     presets = {"rest": (0.0, 0.0), "tone": (0.0, 5.0), "weak": (0.2, 0.0), "strong": (1.0, 0.0), "strong tone": (1.0, 5.0)}
-    runs = [run_trials(_plan(spark, [(name, drive, 0.0, 1.0, 0.0)], 1), c, np.arange(40), 0.5, resting=tone) for name, (drive, tone) in presets.items()]
+    runs = [run_trials(_plan(spark, [(name, drive, 0.0, 1.0, 0.0)], 1), c, _part(n, 0, 0.2), 0.5, resting=tone) for name, (drive, tone) in presets.items()]
     s = runs[0]
     for r in runs[1:]:
         s = s.unionByName(r)

@@ -94,9 +94,8 @@ def sight(points: DataFrame, others: DataFrame, rays: int = 16, spread_deg: floa
     """``id, ray, seen, nearest``: others within reach in each ray's sector, by the grid join of :func:`axonframe.operators.graph.near`."""
     from axonframe.operators.graph import near
 
-    pairs = near(points, others, reach).filter("id <> other")
-    at = pairs.join(points.select("id", F.col("x").alias("x0"), F.col("y").alias("y0")), "id").join(others.select(F.col("id").alias("other"), F.col("x").alias("x1"), F.col("y").alias("y1")), "other")
-    angle = F.degrees(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")))
+    at = near(points, others, reach, places=True).filter("id <> other")
+    angle = F.degrees(F.atan2(F.col("oy") - F.col("y"), F.col("ox") - F.col("x")))
     ray = F.floor((angle + spread_deg / 2) / (spread_deg / rays))
     return at.withColumn("ray", ray).filter((F.col("ray") >= 0) & (F.col("ray") < rays)).groupBy("id", "ray").agg(F.count(F.lit(1)).alias("seen"), F.min("d").alias("nearest"))
 

@@ -86,3 +86,16 @@ def test_silence_and_sign(spark, edges):
     assert all(r.w == 0 for r in G.silenced(edges, ids(spark, [5, 6])).filter("pre in (5, 6)").collect())
     both = G.signed(edges.withColumn("w", F.abs("w")), ids(spark, [5]), 2.0)
     assert all((r.w <= 0) == (r.pre == 5 or r.w == 0) for r in both.collect())
+
+
+def test_pair_queries_take_all_points(spark):
+    from axonframe.plans.all import QUERIES
+    from axonframe.plans.fixtures import coords
+
+    p = [tuple(r) for r in coords(spark, "/root/testdata/sf0.01").select("id", "x", "y").collect()]
+    d = {(a, b): ((x - u) ** 2 + (y - v) ** 2) ** 0.5 for a, x, y in p for b, u, v in p if a != b}
+    got = QUERIES["proximity_join_all"](spark, "/root/testdata/sf0.01").collect()
+    assert {(r.id, r.other) for r in got} == {k for k, v in d.items() if v <= 0.02} and any(r.other % 3 for r in got)
+    seen = QUERIES["sight_rays_all"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.id % 5 for r in seen} == set(range(5))
+    assert 0 < sum(r.seen for r in seen) <= sum(v <= 0.05 for v in d.values())

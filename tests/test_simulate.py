@@ -130,3 +130,14 @@ def test_participation_ratio_takes_whole_vectors(spark):
     assert got[7] is None
     with pytest.raises(Exception, match="components in one group"):
         R.vector_participation_ratio(spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "g long, v array<double>"), ["g"], "v").collect()
+
+
+def test_circuit_has_a_neuron_a_user(spark):
+    from axonframe.plans.fixtures import event_graph
+    from axonframe.plans.readout_queries import _circuit
+
+    for sf in ("0.001", "0.01"):
+        g = event_graph(spark, f"/root/testdata/sf{sf}").select("pre", "post").distinct().collect()
+        c, e, n = _circuit(spark, f"/root/testdata/sf{sf}")
+        assert n == c.n == len({u for r in g for u in r})
+        assert e.count() == len(c.targets) == len(g)
