@@ -163,6 +163,12 @@ def top_pathways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.population_matrix(*_pops(spark, sf_dir)).select(F.col("pre_pop").cast("long").alias("pre_pop"), F.col("post_pop").cast("long").alias("post_pop"), "n").orderBy(F.desc("n"), "pre_pop", "post_pop").limit(8)
 
 
+@query(lifted("top_pathways", ("LIMIT 8", "LIMIT 24")))
+def top_pathways_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top 24; ``top_pathways`` is the short form that its fixed SQL describes."""
+    return G.population_matrix(*_pops(spark, sf_dir)).select(F.col("pre_pop").cast("long").alias("pre_pop"), F.col("post_pop").cast("long").alias("post_pop"), "n").orderBy(F.desc("n"), "pre_pop", "post_pop").limit(24)
+
+
 @query(f"""WITH {_POPS}, al AS (SELECT region AS pop FROM su UNION SELECT pop FROM pp), i AS (SELECT post_pop AS pop, count(*) AS edges_in, max(abs(w)) AS strongest FROM sw GROUP BY 1), o AS (SELECT pre_pop AS pop, count(*) AS edges_out FROM sw GROUP BY 1)
 SELECT pop::BIGINT AS pop, coalesce(edges_in, 0) AS edges_in, coalesce(edges_out, 0) AS edges_out, round(strongest, 6) AS strongest FROM al LEFT JOIN i USING (pop) LEFT JOIN o USING (pop)""")
 def fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from axonframe.operators import readout as R
 from axonframe.operators import stimulus as S
 
-from .catalogue import query
+from .catalogue import lifted, query
 from .fixtures import SPIKES, event_graph, spikes, table
 
 DAY = 86400.0
@@ -79,6 +79,25 @@ def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pair_correlations(b, pairs, DAYS).select("arm", F.col("pair").cast("long").alias("pair"), *_r("r"))
 
 
+PAIRS = 300
+
+
+def _draw(side: str) -> str:
+    return f"floor(('0x' || substr(md5('pairs|' || j || '|{side}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (SELECT n FROM nn))::BIGINT"
+
+
+@query(f"""WITH {_BINS}, k AS (SELECT neuron, row_number() OVER (ORDER BY neuron) - 1 AS k FROM (SELECT DISTINCT neuron FROM sk)), nn AS (SELECT count(*) AS n FROM k),
+dr AS (SELECT least(x, y) AS x, greatest(x, y) AS y, min(j) AS j FROM (SELECT j, {_draw('a')} AS x, {_draw('b')} AS y FROM (SELECT unnest(range(1, {R.PAIR_DRAWS + 1})) AS j)) WHERE x <> y GROUP BY 1, 2 ORDER BY j LIMIT {PAIRS}),
+ch AS (SELECT 0 AS j, x.neuron AS a, y.neuron AS b FROM k x JOIN k y ON x.k < y.k WHERE (SELECT n * (n - 1) // 2 FROM nn) <= {PAIRS} UNION ALL SELECT j, u.neuron, v.neuron FROM dr JOIN k u ON u.k = x JOIN k v ON v.k = y WHERE (SELECT n * (n - 1) // 2 FROM nn) > {PAIRS}),
+pa AS (SELECT row_number() OVER (ORDER BY j, a, b) - 1 AS pair, a, b FROM ch), sp AS (SELECT arm, pair, a, b, bin FROM (SELECT DISTINCT arm FROM sk), pa, (SELECT unnest(range({DAYS})) AS bin)),
+xy AS (SELECT sp.arm, pair, coalesce(x.n, 0)::DOUBLE AS x, coalesce(y.n, 0)::DOUBLE AS y FROM sp LEFT JOIN bi x ON x.arm = sp.arm AND x.neuron = a AND x.bin = sp.bin LEFT JOIN bi y ON y.arm = sp.arm AND y.neuron = b AND y.bin = sp.bin)
+SELECT arm, pair, round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), 6) AS r FROM xy GROUP BY arm, pair HAVING sum(x) + sum(y) > 0""")
+def pair_correlation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over 300 distinct pairs, or all where there are fewer; ``pair_correlation`` is the short form that its fixed SQL describes."""
+    pairs = R.distinct_pairs(spikes(spark, sf_dir).select("neuron").distinct(), PAIRS, "pairs")
+    return R.pair_correlations(_bins(spark, sf_dir), pairs, DAYS).select("arm", "pair", *_r("r"))
+
+
 _SERIES = _BINS + f", se AS (SELECT arm, bin, coalesce(s, 0)::DOUBLE AS x FROM (SELECT arm, bin FROM (SELECT DISTINCT arm FROM bi), (SELECT unnest(range({DAYS})) AS bin)) LEFT JOIN (SELECT arm, bin, sum(n) AS s FROM bi GROUP BY 1, 2) USING (arm, bin))"
 
 
@@ -93,6 +112,15 @@ def autocorr_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.autocorrelation_time(_series(spark, sf_dir), ["arm"], 0.5, 10).select("arm", *_r("tau"))
 
 
+LAGS = min(30, DAYS // 2)
+
+
+@query(lifted("autocorr_time", ("BETWEEN 0 AND 10 ", f"BETWEEN 0 AND {LAGS - 1} ")))
+def autocorr_time_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all lags below min(30, bins / 2); ``autocorr_time`` is the short form that its fixed SQL describes."""
+    return R.autocorrelation_time(_series(spark, sf_dir), ["arm"], 0.5, LAGS - 1).select("arm", *_r("tau"))
+
+
 _COV = [(i, j) for i in range(8) for j in range(i, 8)]
 
 

@@ -99,3 +99,10 @@ def test_pair_queries_take_all_points(spark):
     seen = QUERIES["sight_rays_all"](spark, "/root/testdata/sf0.01").collect()
     assert {r.id % 5 for r in seen} == set(range(5))
     assert 0 < sum(r.seen for r in seen) <= sum(v <= 0.05 for v in d.values())
+
+
+def test_top_pathways_go_beyond_eight(spark):
+    from axonframe.plans.all import QUERIES
+
+    every = QUERIES["population_matrix"](spark, "/root/testdata/sf0.001").count()
+    assert QUERIES["top_pathways_all"](spark, "/root/testdata/sf0.001").count() == min(24, every) > 8

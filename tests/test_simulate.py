@@ -141,3 +141,14 @@ def test_circuit_has_a_neuron_a_user(spark):
         c, e, n = _circuit(spark, f"/root/testdata/sf{sf}")
         assert n == c.n == len({u for r in g for u in r})
         assert e.count() == len(c.targets) == len(g)
+
+
+def test_sizes_of_the_readouts(spark):
+    from axonframe.plans import readout_queries as Q
+
+    for n, want in ((1, 0), (15, 105), (25, 300), (26, 300), (1500, 300)):
+        got = [(r.a, r.b) for r in R.distinct_pairs(spark.range(n).withColumnRenamed("id", "neuron"), 300, "s").collect()]
+        assert len(got) == len(set(got)) == want and all(a < b for a, b in got)
+    assert Q.LAGS == 15
+    x = spark.createDataFrame([("g", k, float(k in (0, 12))) for k in range(30)], "arm string, bin long, x double")  # alike at lag 12
+    assert R.autocorrelation_time(x, ["arm"], 0.5, Q.LAGS - 1).first().tau > R.autocorrelation_time(x, ["arm"], 0.5, 10).first().tau
