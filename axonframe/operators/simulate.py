@@ -120,21 +120,22 @@ class Loop:
         return self.heading
 
 
-def run_trials(plan: DataFrame, circuit: Circuit, pool: np.ndarray, seconds: float, seed: str = "lif", max_hz: float = 150.0, resting: float = 0.0, membrane: Membrane = Membrane(), loop_sides: tuple[np.ndarray, np.ndarray] | None = None, loop_bin: int = 20) -> DataFrame:  # noqa: B008
+def run_trials(plan: DataFrame, circuit: Circuit, pool: np.ndarray, seconds: float, seed: str = "lif", max_hz: float = 150.0, resting: float = 0.0, membrane: Membrane = Membrane(), loop_sides: tuple[np.ndarray, np.ndarray] | None = None, loop_bin: int = 20, second: np.ndarray | None = None, second_hz: float = 0.0) -> DataFrame:  # noqa: B008
     """``arm, trial, neuron, t`` (ms): spikes of a trial for each row of ``plan``.
 
     ``plan``: ``arm, trial, drive`` (level of the pool's stimulation, 0 to 1), ``patch`` (share of the pool that sees
     none), ``kappa`` (scale of all weights), ``gain`` (of the closed loop, 0: open). The random stream of a trial has
-    no arm in its key: arms of a trial see the same draws. The circuit goes out once, by broadcast; trials are independent tasks.
+    no arm in its key: arms of a trial see the same draws. ``second``: a second pool, stimulated at its own
+    rate ``second_hz`` from a stream of its own, whatever the plan's drive and patch. The circuit goes out once, by broadcast; trials are independent tasks.
     """
-    sent = plan.sparkSession.sparkContext.broadcast((circuit, pool, loop_sides))
+    sent = plan.sparkSession.sparkContext.broadcast((circuit, pool, loop_sides, second))
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
-        c, cells, sides = sent.value
+        c, cells, sides, others = sent.value
         out: list[tuple[str, int, np.ndarray, float]] = []
         for row in p.itertuples():
             net = Network(Circuit(c.offsets, c.targets, c.weights * np.float32(row.kappa)), membrane)
-            draws, rest_draws = stream_of(seed, row.trial), stream_of(seed, "rest", row.trial)
+            draws, rest_draws, second_draws = stream_of(seed, row.trial), stream_of(seed, "rest", row.trial), stream_of(seed, "second", row.trial)
             covered = cells[: round(row.patch * len(cells))]
             seen = ~np.isin(cells, covered)
             chance = max_hz * membrane.dt / 1000
@@ -146,6 +147,8 @@ def run_trials(plan: DataFrame, circuit: Circuit, pool: np.ndarray, seconds: flo
                     level = max(0.0, min(1.0, row.drive - loop.heading))
                 hit = draws.random(len(cells)) < chance * level
                 net.inject(cells[hit & seen], weight)
+                if others is not None and second_hz:
+                    net.inject(others[second_draws.random(len(others)) < second_hz * membrane.dt / 1000], weight)
                 if resting:
                     net.inject(np.flatnonzero(rest_draws.random(c.n) < resting * membrane.dt / 1000), weight)
                 fired = net.step()

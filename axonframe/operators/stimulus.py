@@ -20,6 +20,18 @@ BODY_SLIP, YAW_BASELINE = 0.1, 0.12
 #: Arms: name, driven, patch strategy, share of the shuffled signal.
 ARMS = [("rest", False, "none", 0.0), ("self", True, "none", 0.0), ("flow", True, "body", 0.0), ("randmat", True, "random", 0.0), ("shuffle", True, "body", 0.5), ("decorr", True, "body", 1.0)]
 
+#: All arms of the reference, base, conflict and control: name, driven, patch strategy, share of the shuffled signal, factor of the drive, one draw for all cells.
+ALL_ARMS = [
+    ("rest", False, "none", 0.0, 1.0, False), ("flow", True, "none", 0.0, 1.0, False), ("self", True, "body", 0.0, 1.0, False), ("shuffle", True, "random", 0.0, 1.0, False),
+    ("randmat", True, "matched", 0.0, 1.0, False), ("decorr", True, "body", 1.0, 1.0, False), ("conf25", True, "body", 0.25, 1.0, False), ("conf50", True, "body", 0.5, 1.0, False),
+    ("conf75", True, "body", 0.75, 1.0, False), ("drive0.5", True, "none", 0.0, 0.5, False), ("drive1.5", True, "none", 0.0, 1.5, False), ("synch", True, "none", 0.0, 1.0, True),
+]
+
+
+def all_arms(spark: SparkSession) -> DataFrame:
+    """``arm, ord, driven, patch, alpha, drive, synch`` of :data:`ALL_ARMS`."""
+    return spark.createDataFrame([(n, k, *x) for k, (n, *x) in enumerate(ALL_ARMS)], "arm string, ord long, driven boolean, patch string, alpha double, drive double, synch boolean")
+
 
 def arm_catalogue(spark: SparkSession) -> DataFrame:
     """``arm, ord, driven, patch, alpha``."""

@@ -287,6 +287,14 @@ def arm_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.arm_catalogue(spark).withColumn("ord", F.col("ord").cast("long"))
 
 
+@query("""SELECT * FROM (VALUES ('rest', 0::BIGINT, false, 'none', 0.0::DOUBLE, 1.0::DOUBLE, false), ('flow', 1, true, 'none', 0.0, 1.0, false), ('self', 2, true, 'body', 0.0, 1.0, false), ('shuffle', 3, true, 'random', 0.0, 1.0, false),
+('randmat', 4, true, 'matched', 0.0, 1.0, false), ('decorr', 5, true, 'body', 1.0, 1.0, false), ('conf25', 6, true, 'body', 0.25, 1.0, false), ('conf50', 7, true, 'body', 0.5, 1.0, false),
+('conf75', 8, true, 'body', 0.75, 1.0, false), ('drive0.5', 9, true, 'none', 0.0, 0.5, false), ('drive1.5', 10, true, 'none', 0.0, 1.5, false), ('synch', 11, true, 'none', 0.0, 1.0, true)) a(arm, ord, driven, patch, alpha, drive, synch)""")
+def arm_catalogue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve arms; ``arm_catalogue`` is the short form that its fixed SQL describes."""
+    return S.all_arms(spark)
+
+
 @query()
 def ring_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = R.binned(spikes(spark, sf_dir).withColumn("cell", F.col("neuron") % 50), ["arm", "cell"], DAY, 0.0, SPAN)

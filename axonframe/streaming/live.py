@@ -79,6 +79,21 @@ def heading_command(turn: Column, flee: Column, taxis: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.when(F.abs(flee) > 0, flee).otherwise(turn + 0.5 * taxis)))
 
 
+def agent_motion(agents: DataFrame) -> DataFrame:
+    """Of ``turn, forward, taxis, flee, alarm, smell, wander, speed``: ``agents`` with ``turn_rate`` and ``new_speed``.
+
+    With a brain (``turn`` isn't null) its turn, taxis and flight add up, and speed nears its forward drive, at least
+    what an alarm asks for. Without one an agent wanders the more the less it smells, and heads for food.
+    """
+    c = F.col
+    near = lambda target: c("speed") + 0.15 * (target - c("speed"))
+    led = near(F.least(F.lit(90.0), F.greatest(F.lit(0.0), c("forward") * 90)))
+    led = F.when(c("alarm") > 0.05, F.greatest(led, 120 * c("alarm"))).otherwise(led)
+    brain = c("turn").isNotNull()
+    turn = F.when(brain, c("turn") * 2.2 + c("taxis") + F.when(c("alarm") > 0.05, c("flee")).otherwise(0.0)).otherwise(c("wander") * (1 - c("smell")) + c("taxis") * (0.4 + c("smell")))
+    return agents.withColumns({"turn_rate": turn, "new_speed": F.when(brain, led).otherwise(near(20 + 70 * c("smell") + 120 * c("alarm")))})
+
+
 def grid_heat(cells: DataFrame, width: int, height: int, scale: float = 4.0) -> DataFrame:
     """``gx, gy, heat``: cells laid out by index on a grid, heat = rate / ``scale`` clamped to [0, 1]."""
     heat = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rate") / scale))

@@ -45,3 +45,11 @@ def test_patches_fade_and_go(spark):
 def test_turn(spark):
     df = spark.createDataFrame([(0.4, 0.0, 0.5), (0.9, 0.0, 0.9), (0.1, -0.7, 1.0)], "turn double, flee double, taxis double")
     assert [r[0] for r in df.select(V.heading_command(F.col("turn"), F.col("flee"), F.col("taxis"))).collect()] == pytest.approx([0.65, 1.0, -0.7])
+
+
+def test_agent_motion_with_and_without_a_brain(spark):
+    rows = [(1.0, 2.0, 3.5, -4.0, 0.5, 0.0, 0.0, 10.0), (1.0, 0.5, 1.0, -4.0, 0.0, 0.0, 0.0, 10.0), (None, None, 2.0, 0.0, 0.1, 0.5, -1.0, 10.0)]
+    df = spark.createDataFrame(rows, "turn double, forward double, taxis double, flee double, alarm double, smell double, wander double, speed double")
+    got = V.agent_motion(df).select("turn_rate", "new_speed").collect()
+    assert [r.turn_rate for r in got] == pytest.approx([1.7, 3.2, 1.3])
+    assert [r.new_speed for r in got] == pytest.approx([60.0, 10 + 0.15 * 35, 10 + 0.15 * 57])

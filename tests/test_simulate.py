@@ -152,3 +152,18 @@ def test_sizes_of_the_readouts(spark):
     assert Q.LAGS == 15
     x = spark.createDataFrame([("g", k, float(k in (0, 12))) for k in range(30)], "arm string, bin long, x double")  # alike at lag 12
     assert R.autocorrelation_time(x, ["arm"], 0.5, Q.LAGS - 1).first().tau > R.autocorrelation_time(x, ["arm"], 0.5, 10).first().tau
+
+
+def test_all_arms(spark):
+    got = {r.arm: (r.patch, r.alpha, r.drive, r.synch) for r in S.all_arms(spark).collect()}
+    assert len(got) == 12
+    assert (got["self"], got["flow"], got["shuffle"]) == (("body", 0, 1, False), ("none", 0, 1, False), ("random", 0, 1, False))
+    assert (got["conf25"][1], got["drive1.5"][2], got["synch"][3]) == (0.25, 1.5, True)
+
+
+def test_second_pool_has_its_own_rate(spark):
+    plan = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, 0.0)], "arm string, trial long, drive double, patch double, kappa double, gain double")
+    c = Circuit(np.zeros(11, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))
+    fired = {hz: run_trials(plan, c, np.arange(5), 1.0, second=np.arange(5, 10), second_hz=hz).toPandas() for hz in (0.0, 40.0, 120.0)}
+    assert len(fired[0.0]) == 0 and 0 < len(fired[40.0]) < len(fired[120.0])
+    assert set(fired[120.0].neuron) == set(range(5, 10))
