@@ -9,8 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._common import dropped, saved
+
 RUN = re.compile(r"[^\W\d_]+")
 SIZES = (4, 3, 2, 1)
 
@@ -119,9 +122,11 @@ def counted(labelled: DataFrame) -> DataFrame:
 def train(docs: DataFrame, learn: Column, sample_docs: int = 2000, max_items: int = 150_000, least: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows where ``learn`` holds and text and language are not null.
 
-    The classifier is fitted on a bounded sample: about ``sample_docs`` rows a language, by a hash of the id. Of its
-    words and n-grams the ``max_items`` most frequent (ties by item) seen ``least`` times or more are kept; so what
-    comes to the driver, and goes back to the tasks, is bounded by these two parameters. No labelled row: a model without languages.
+    The classifier is fitted on a bounded sample: about ``sample_docs`` rows a language, by a hash of the id. Words and
+    n-grams seen ``least`` times or more in all languages together are ranked by that count (ties by item) among those of
+    each language, and each language chooses its share of ``max_items``; a chosen item keeps the counts of all languages.
+    So at most ``max_items`` items, with a count a language, come to the driver and go back to the tasks. No labelled
+    row: a model without languages.
     """
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h"))
     size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
@@ -131,8 +136,15 @@ def train(docs: DataFrame, learn: Column, sample_docs: int = 2000, max_items: in
     keep = F.lit(False)
     for lang, n in size.items():
         keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 31)) < F.lit(full * min(1.0, sample_docs / n))))
-    items = counted(rows.filter(keep)).filter(F.col("n") >= least).orderBy(F.desc("n"), "kind", "item", "lang").limit(max_items)
-    return Model(sorted(size), [(r.lang, r.kind, r.item, r.n) for r in items.collect()])
+    items = counted(rows.filter(keep)).groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("counts")).filter(F.col("total") >= least)
+    items = saved(items, "items")
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("total"), "kind", "item"))
+    each = items.select("kind", "item", "total", F.explode("counts.lang").alias("lang"))
+    chosen = each.withColumn("place", place).filter(F.col("place") <= max(1, max_items // len(size))).select("kind", "item").distinct()
+    kept = items.join(chosen, ["kind", "item"], "left_semi").select(F.explode("counts").alias("c"), "kind", "item").select("c.lang", "kind", "item", "c.n")
+    rows = [(r.lang, r.kind, r.item, r.n) for r in kept.collect()]
+    dropped(items)
+    return Model(sorted(size), rows)
 
 
 def prediction(spark: SparkSession, model: Model, text_col: str = "text") -> Column:

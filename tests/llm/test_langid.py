@@ -1,5 +1,6 @@
 import zlib
 
+from axonframe.llm import langid
 from axonframe.llm.langid import Model, identify, train
 from pyspark.sql import functions as F
 
@@ -35,3 +36,15 @@ def test_odd_rows(odd_docs, no_docs):
     assert {r.doc_id for r in rows if r.lang_pred == "und"} == {3, 4, 5, 6}
     assert identify(no_docs).count() == 0
     assert train(no_docs, F.lit(True)).langs == []
+
+
+def test_a_chosen_item_keeps_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "Model", lambda langs, rows: rows)
+    rows = [("x", "shared alpha beta gamma")] * 60 + [("y", "shared delta")] * 3 + [("x", "solitary")] + [("y", "solitary")]
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    every = {(lang, kind, item): n for lang, kind, item, n in train(docs, F.lit(True), max_items=100_000)}
+    assert (every["x", 0, "shared"], every["y", 0, "shared"], every["y", 0, "solitary"]) == (60, 3, 1)
+    few = {(lang, kind, item): n for lang, kind, item, n in train(docs, F.lit(True), max_items=40)}
+    kept = {key[1:] for key in few}
+    assert len(kept) <= 40 and {"x", "y"} == {key[0] for key in few}
+    assert few == {key: n for key, n in every.items() if key[1:] in kept}
