@@ -35,53 +35,82 @@ NOTICES = {
     "released into the public domain": ("public-domain", 0.7),
     "all rights reserved": ("all-rights-reserved", 0.6),
 }
-#: Words of the identifier tag, and how it is written with its expression up to the end of the line.
+#: Words of the identifier tag, and how it is written; its expression ends with the line or before the next tag.
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
+TAG_START = re.compile(r"spdx-license-identifier[ \t]*:")
+TAG_END = re.compile(r"[\r\n]|spdx-license-identifier[ \t]*:")
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # in UTF-8: all characters but the signs of ASCII, after lower-casing
 PERMISSIVE = re.compile(r"(mit|apache|bsd|isc|cc0|zlib|unlicense|0bsd|public-domain|cc-by-\d|cc-by$)")
 
-_TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
+#: Identifiers of the SPDX licence list in lower case, without the suffixes -only, -or-later and +.
+KNOWN = frozenset(
+    """0bsd aal afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 bitstream-vera blueoak-1.0.0 bsd-1-clause bsd-2-clause
+    bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 bzip2-1.0.6 cal-1.0 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-2.0 cc-by-nc-3.0 cc-by-nc-4.0
+    cc-by-nc-nd-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0 cc-pddc cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.0
+    cecill-2.1 cecill-b cecill-c cpal-1.0 cpl-1.0 curl ecl-2.0 efl-2.0 elastic-2.0 epl-1.0 epl-2.0 eudatagrid eupl-1.1 eupl-1.2 fsfap ftl gfdl-1.1 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0 hpnd
+    icu ijg imagemagick intel ipa ipl-1.0 isc jasper-2.0 json lgpl-2.0 lgpl-2.1 lgpl-3.0 libpng libpng-2.0 lppl-1.3c mit mit-0 mit-modern-variant mpl-1.0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0
+    ncsa nist-pd ntp odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 openssl osl-2.1 osl-3.0 pddl-1.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0 sissl sleepycat sspl-1.0 tcl unicode-3.0
+    unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 xnet zend-2.0 zlib zpl-2.0 zpl-2.1""".split()
+)
+_TOKEN = re.compile(r"\s*([()]|[a-z0-9][a-z0-9.+:-]*)")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
+_SUFFIX = re.compile(r"(-only|-or-later|\+)$")
+
+
+def is_licence(token: str) -> bool:
+    """A known identifier, with or without a version suffix, or a reference to a licence text of one's own."""
+    return _SUFFIX.sub("", token) in KNOWN or bool(re.match(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9]", token))
+
+
+def is_exception(token: str) -> bool:
+    """What may stand after ``with``: the listed exceptions' names all hold the word, or end in ``note``."""
+    return "exception" in token or token.endswith("-note")
 
 
 def label_of(identifier: str) -> str:
     """A licence identifier's label: without version suffixes that don't change the licence."""
-    x = re.sub(r"(-only|-or-later|\+)$", "", identifier)
+    x = _SUFFIX.sub("", identifier)
     return re.sub(r"^(gpl|lgpl|agpl|apache|mpl)-(\d+)\.0$", r"\1-\2", x)
 
 
 def parse(expression: str) -> tuple[list[str], list[str]]:
     """Reverse Polish form of a lower-case licence expression by the shunting-yard method, and its operands.
 
-    ``with`` binds closest, then ``and``, then ``or``; equals associate to the left. The expression ends where the
-    text can't continue it (prose after an identifier); a dangling operator or open parenthesis at the end is
-    dropped. No operand: two empty lists.
+    ``with`` binds closest, then ``and``, then ``or``; equals associate to the left. Operands are known identifiers
+    (:func:`is_licence`), after ``with`` names of exceptions; the expression ends where the text can't continue it, as
+    before prose or an unknown word. A dangling operator or open parenthesis at the end is dropped. No operand: two
+    empty lists. One pass over the tokens, whatever the nesting.
     """
     out: list[str] = []
     stack: list[str] = []
     operands: list[str] = []
     wants = True  # an operand or "("
-    for token in _TOKEN.findall(expression):
-        if wants and token == "(":
-            stack.append(token)
-        elif wants and token not in _STRENGTH and token != ")":
-            operands.append(token)
-            out.append(token)
+    opened = at = 0
+    while token := _TOKEN.match(expression, at):
+        at, word = token.end(), token[1]
+        if word not in _STRENGTH and word not in "()":
+            word = word.rstrip(".:-")  # the end of a sentence is no part of a name
+        excepted = wants and bool(stack) and stack[-1] == "with"
+        if wants and word == "(" and not excepted:
+            stack.append(word)
+            opened += 1
+        elif wants and (is_exception(word) if excepted else is_licence(word)):
+            operands.append(word)
+            out.append(word)
             wants = False
-        elif not wants and token in _STRENGTH:
-            while stack and stack[-1] != "(" and _STRENGTH[stack[-1]] >= _STRENGTH[token]:
+        elif not wants and word in _STRENGTH:
+            while stack and stack[-1] != "(" and _STRENGTH[stack[-1]] >= _STRENGTH[word]:
                 out.append(stack.pop())
-            stack.append(token)
+            stack.append(word)
             wants = True
-        elif not wants and token == ")" and "(" in stack:
+        elif not wants and word == ")" and opened:
             while (top := stack.pop()) != "(":
                 out.append(top)
+            opened -= 1
         else:
             break
-    if wants and out:  # what waits for an operand that never comes
-        while stack and (stack[-1] == "(" or wants):
-            wants = wants and stack.pop() == "("
+    while stack and wants:  # what waits for an operand that never comes: parentheses, then the operator before them
+        wants = stack.pop() == "("
     out += [x for x in reversed(stack) if x != "("]
     return out, operands
 
@@ -131,8 +160,10 @@ def scan_text(text: bytes | None, machine: ahocorasick.Automaton) -> dict:
         missed *= 1 - strength
         free.append(bool(PERMISSIVE.match(label)))
     if tagged:
-        for m in TAG_LINE.finditer(low.decode("utf-8", "replace")):
-            rpn, operands = parse(m[1])
+        plain = low.decode("utf-8", "replace")
+        for m in TAG_START.finditer(plain):
+            end = TAG_END.search(plain, m.end())
+            rpn, operands = parse(plain[m.end() : end.start() if end else len(plain)])
             labels, ok = evaluate(rpn)
             if operands:
                 expressions.append((" ".join(rpn), sorted(labels), ok))
@@ -147,8 +178,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Columns: ``doc_id, n_words, spans array<struct<label, word, n_words, base>>, expressions array<struct<rpn, labels,
     permissive>>, score, permissive``. Spans are all places in word order, overlapping ones each. ``score`` is the
     chance that some finding is right if each fails on its own; 0 without any. ``permissive``: all findings are; null
-    without any. Null and empty texts: no words, no findings. Repeated rows are scanned each, null ids kept; an empty
-    table gives no rows; other columns are ignored.
+    without any. Null and empty texts: no words, no findings. Very long texts are scanned whole, in one pass. Repeated rows
+    are scanned each, null ids kept; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -47,6 +48,16 @@ def test_texts_against_brute_force():
         ("mit and", "mit"),
         ("(mit or isc", "mit isc or"),
         (") or", ""),
+        ("(mit or", "mit"),
+        ("((mit and (", "mit"),
+        ("mit or isc and ((gpl-2.0 with", "mit isc gpl-2.0 and or"),
+        ("mit with isc", "mit"),
+        ("classpath-exception-2.0", ""),
+        ("see the copying file", ""),
+        ("mit or whatever", "mit"),
+        ("mit. all rights", "mit"),
+        ("licenseref-own-1 or documentref-x:licenseref-2", "licenseref-own-1 documentref-x:licenseref-2 or"),
+        ("apache-2.0+ */ and mit", "apache-2.0+"),
         ("", ""),
     ],
 )
@@ -54,6 +65,46 @@ def test_shunting_yard(text, rpn):
     assert " ".join(parse(text)[0]) == rpn
 
 
+def test_any_token_string_ends():
+    rng = random.Random(3)
+    tokens = ["(", ")", "and", "or", "with", "mit", "gpl-2.0-only", "classpath-exception-2.0", "word", "*/"]
+    for _ in range(100_000):
+        rpn, operands = parse(" ".join(rng.choices(tokens, k=rng.randint(0, 9))))
+        assert [x for x in rpn if x not in ("and", "or", "with")] == operands
+        labels, _ = evaluate(rpn)  # a well-formed reverse Polish form leaves one value
+        assert bool(labels) == bool(operands)
+    deep = "(" * 200_000 + "mit" + ")" * 200_000
+    assert parse(deep) == (["mit"], ["mit"])
+
+
+def shown(tree):
+    return tree if isinstance(tree, str) else "(" + f" {tree[0]} ".join(map(shown, tree[1:])) + ")"
+
+
+def value(tree):
+    if isinstance(tree, str):
+        return tree in ("mit", "isc")
+    a, b = map(value, tree[1:])
+    return a and b if tree[0] == "and" else a or b
+
+
+def test_values_of_random_trees():
+    rng = random.Random(4)
+    grow = lambda d: rng.choice(["mit", "isc", "gpl-2.0", "mpl-2.0"]) if not d or rng.random() < 0.2 else (rng.choice(["and", "or"]), grow(d - 1), grow(d - 1))
+    for _ in range(2000):
+        tree = grow(5)
+        assert evaluate(parse(shown(tree))[0])[1] == value(tree)
+
+
+def test_tags():
+    a = automaton()
+    one = lambda t: [(e[0], e[2]) for e in scan_text(t.encode(), a)["expressions"]]
+    assert one("SPDX-License-Identifier: (MIT OR") == [("mit", True)]
+    assert one("SPDX-License-Identifier: see the COPYING file") == []
+    assert one("x SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0 y") == [("mit", True), ("gpl-2.0", False)]
+    assert one("SPDX-License-Identifier: MIT OR SPDX-License-Identifier: ISC\nAND GPL-2.0") == [("mit", True), ("isc", True)]
+
+
 def test_evaluation():
     assert evaluate(parse("gpl-3.0-only or mit")[0]) == ({"gpl-3", "mit"}, True)
     assert evaluate(parse("gpl-3.0-only and mit")[0]) == ({"gpl-3", "mit"}, False)
