@@ -112,26 +112,30 @@ def _h(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT)"
 
 
-def _under(c: str) -> str:
-    return f"least(n, floor({c} * n)::BIGINT + ({_h('7', 'shard', f'floor({c} * n)::BIGINT')} / 4503599627370496.0::DOUBLE < {c} * n - floor({c} * n))::BIGINT)"
+_P = 2147483647
 
 
-_PRIMES = "[1048573, 1048571, 1048559, 1048549, 1048517, 1048507]"
-_OP9 = f"""WITH d AS (SELECT doc_id, source IS NULL AS no_src, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+'))::BIGINT AS size, {_h('7', "coalesce(doc_id::VARCHAR, '-')")} % 1024 AS lane FROM documents),
+def _f(side: str, k: int) -> str:
+    """The permutation's round function of a side: a keyed cubic."""
+    z = f"(({side} + k{k} % {_P}) % {_P})"
+    return f"(({z} * {z} % {_P} * {z} + k{k} // {_P}) % {_P})"
+
+
+_OP9 = f"""WITH RECURSIVE d AS (SELECT doc_id, source IS NULL AS no_src, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+'))::BIGINT AS size, {_h('7', "coalesce(doc_id::VARCHAR, '-')")} % 1024 AS lane FROM documents),
 s0 AS (SELECT no_src, src, sum(size)::BIGINT AS source_size FROM d GROUP BY 1, 2), s1 AS (SELECT *, row_number() OVER (ORDER BY no_src, src) AS nth FROM s0),
 s2 AS (SELECT *, [5, 2, 1][(nth - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap, cap / weight AS ratio FROM s1),
 s3 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
-s4 AS (SELECT no_src, src, source_size, nth, least(cap, coalesce((SELECT level FROM s3 WHERE level <= ratio ORDER BY ratio, nth LIMIT 1), 'inf'::DOUBLE) * weight) AS target, greatest(1, least(128, ceil(source_size / 512.0::DOUBLE)))::BIGINT AS len FROM s3),
-s5 AS (SELECT *, ceil(source_size / len::DOUBLE)::BIGINT AS blocks, CASE WHEN source_size > 0 THEN target * blocks / source_size ELSE 0 END AS quota FROM s4),
-s6 AS (SELECT *, sum(quota) OVER () AS all_quota, sum(quota) OVER (ORDER BY nth ROWS UNBOUNDED PRECEDING) / nullif(all_quota, 0) AS hi_c, nth = max(nth) OVER () AS last FROM s5), s7 AS (SELECT *, coalesce(lag(hi_c) OVER (ORDER BY nth), 0) AS lo_c FROM s6),
-dr AS (SELECT *, floor(round(all_quota) * (shard + 1) / shards)::BIGINT - floor(round(all_quota) * shard / shards)::BIGINT AS n FROM (SELECT *, greatest(1, round(all_quota / 8192))::BIGINT AS shards, unnest(range(shards)) AS shard FROM s7 WHERE quota > 0)),
-dc AS (SELECT *, (CASE WHEN last THEN n ELSE {_under('hi_c')} END) - {_under('lo_c')} AS cnt FROM dr),
-df AS (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY no_src, src ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM dc WHERE cnt > 0),
-pr AS (SELECT *, {_h("'turn'", '7', 'no_src', 'src')} % 6 AS turn, list_filter({_PRIMES}[turn + 1:] || {_PRIMES}, lambda p: blocks % p <> 0)[1] AS prime FROM df),
-sj AS (SELECT *, unnest(range(first, first + cnt)) AS j FROM pr), sl AS (SELECT no_src, src, ((j % blocks) * prime + {_h("'step'", '7', 'no_src', 'src', 'j // blocks')} % blocks) % blocks AS block FROM sj WHERE j < floor(blocks * 2.0)),
-pl AS (SELECT d.*, source_size, target, len, coalesce(sum(size) OVER (PARTITION BY no_src, src ORDER BY lane, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d JOIN s5 USING (no_src, src)),
-pc AS (SELECT *, unnest(range(pos // len, (pos + size - 1) // len + 1)) AS block FROM pl WHERE size > 0),
-tk AS (SELECT doc_id, sum(least(size, (block + 1) * len - pos) - greatest(0, block * len - pos)) AS got FROM pc JOIN sl USING (no_src, src, block) GROUP BY 1)
+s4 AS (SELECT no_src, src, source_size, least(cap, coalesce((SELECT level FROM s3 WHERE level <= ratio ORDER BY ratio, nth LIMIT 1), 'inf'::DOUBLE) * weight) AS target, ceil(source_size / 64.0::DOUBLE)::BIGINT AS blocks FROM s3),
+s5 AS (SELECT *, least(floor(target * blocks / source_size + 0.5)::BIGINT, 2 * blocks) AS slots, ceil(sqrt(blocks))::BIGINT AS a, ceil(blocks::DOUBLE / a)::BIGINT AS b FROM s4 WHERE source_size > 0),
+ps AS (SELECT *, unnest(range((slots - 1) // blocks + 1)) AS pass FROM s5 WHERE slots > 0),
+ks AS (SELECT *, {', '.join(f"{_h(chr(39) + 'block' + chr(39), '7', 'no_src', 'src', 'pass', str(k))} AS k{k}" for k in range(4))} FROM ps),
+sj AS (SELECT *, unnest(range(least(blocks, slots - pass * blocks))) AS j FROM ks),
+wk AS (SELECT no_src, src, pass, blocks, a, b, k0, k1, k2, k3, j, 0 AS turn, j AS y FROM sj
+UNION ALL SELECT no_src, src, pass, blocks, a, b, k0, k1, k2, k3, j, turn + 1, l2 * b + r2 FROM (SELECT *, y // b AS l0, y % b AS r0, (l0 + {_f('r0', 0)}) % a AS l1, (r0 + {_f('l1', 1)}) % b AS r1, (l1 + {_f('r1', 2)}) % a AS l2, (r1 + {_f('l2', 3)}) % b AS r2 FROM wk WHERE turn = 0 OR y >= blocks)),
+sl AS (SELECT no_src, src, y AS block FROM wk WHERE turn > 0 AND y < blocks),
+pl AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY no_src, src ORDER BY lane, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d JOIN s4 USING (no_src, src)),
+pc AS (SELECT *, unnest(range(pos // 64, (pos + size - 1) // 64 + 1)) AS block FROM pl WHERE size > 0),
+tk AS (SELECT doc_id, sum(least(size, (block + 1) * 64 - pos) - greatest(0, block * 64 - pos)) AS got FROM pc JOIN sl USING (no_src, src, block) GROUP BY 1)
 SELECT doc_id, size, source_size, target, coalesce(got, 0)::BIGINT AS taken FROM pl LEFT JOIN tk USING (doc_id)"""
 
 

@@ -1,9 +1,12 @@
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from axonframe.llm.mixing import mixed_documents, mixture, taken_words, targets
+from axonframe.llm import mixing
+from axonframe.llm.mixing import PRIME, mixed_documents, mixture, permuted, slots, taken_words, targets
 
 
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
@@ -32,7 +35,7 @@ def test_targets(spark, sizes):
     assert all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 7, "fine": 10**9, "shard_slots": 50, "lanes": 3}])
+@pytest.mark.parametrize("options", [{}, {"block": 7, "shard_slots": 50, "lanes": 3}])
 def test_laws(spark, options):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = taken_words(docs, **options).join(docs.select("doc_id", "text", "source"), "doc_id").collect()
@@ -52,6 +55,93 @@ def test_laws(spark, options):
     assert again == {(r.doc_id, r.taken) for r in rows}
 
 
+def network(x, n, keys):
+    """The permutation by its definition, in integers."""
+    a = next(k for k in range(1, n + 1) if k * k >= n)
+    b = -(-n // a)
+    y = x
+    while True:
+        left, right = divmod(y, b)
+        for k, key in enumerate(keys):
+            other = right if k % 2 == 0 else left
+            z = (other + key) % PRIME
+            f = (z**3 + key // PRIME) % PRIME
+            if k % 2 == 0:
+                left = (left + f) % a
+            else:
+                right = (right + f) % b
+        y = left * b + right
+        if y < n:
+            return y
+
+
+def test_permutations(spark):
+    rng = random.Random(5)
+    sizes = [*range(1, 60), 997, 1000, 1024]
+    keys = {n: [rng.randrange(1 << 52) for _ in range(4)] for n in sizes}
+    df = spark.createDataFrame([(x, n, keys[n]) for n in sizes for x in range(n)], "x long, n long, keys array<long>")
+    got = defaultdict(dict)
+    for r in permuted(df, "x", "n", "keys", "y").collect():
+        got[r.n][r.x] = r.y
+    for n in sizes:
+        assert sorted(got[n].values()) == list(range(n))
+        assert all(got[n][x] == network(x, n, keys[n]) for x in range(0, n, 1 + n // 50))
+    steps = [(got[1000][x + 1] - got[1000][x]) % 1000 for x in range(999)]
+    assert len(set(steps)) > 500  # no fixed stride
+
+
+def plan(spark, blocks, wanted):
+    starts = [sum(wanted[:k]) for k in range(len(wanted))]
+    return spark.createDataFrame([(False, f"s{k}", b, w, s, sum(wanted)) for k, (b, w, s) in enumerate(zip(blocks, wanted, starts, strict=True))], "no_src boolean, src string, blocks long, slots long, start long, all_slots long")
+
+
+def test_counts_of_shards_vary_as_a_multinomial_draw(spark):
+    wanted, n = [3000, 1500, 400, 100], 100
+    total = sum(wanted)
+    squares = defaultdict(float)
+    for seed in range(6):
+        rows = slots(plan(spark, [2000, 1500, 399, 50], wanted), seed, n).collect()
+        assert sorted(r.slot for r in rows) == list(range(total))
+        got = Counter((r.src, r.shard) for r in rows)
+        for k, w in enumerate(wanted):
+            assert sum(got[f"s{k}", s] for s in range(total // n)) == w
+            squares[k] += sum((got[f"s{k}", s] - n * w / total) ** 2 for s in range(total // n))
+    for k, w in enumerate(wanted):
+        p = w / total
+        want = n * p * (1 - p) * (total - n) / (total - 1)
+        assert 0.75 <= squares[k] / (6 * total / n) / want <= 1.3
+
+
+def test_each_source_and_pass_has_its_own_order(spark):
+    rows = slots(plan(spark, [500, 500], [1000, 1000]), 7, 64).collect()
+    order = {(s, p): [r.block for r in sorted(rows, key=lambda r: r.slot) if (r.src, r["pass"]) == (s, p)] for s in ("s0", "s1") for p in (0, 1)}
+    assert all(sorted(o) == list(range(500)) for o in order.values())
+    assert len({tuple(o) for o in order.values()}) == 4
+
+
+def test_a_hot_source_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 100)
+    got = slots(plan(spark, [3000, 10], [5000, 10]), 7, 64)
+    assert sorted(r.slot for r in got.collect()) == list(range(5010))
+    tasks = Counter(r.t for r in got.select(F.spark_partition_id().alias("t")).collect())
+    assert len(tasks) > 30 and max(tasks.values()) < 500
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    rows = [(1, "one two three four " * 9, "a", k) for k in range(40)] + [(2, "five six seven " * 30, "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    taken = Counter()
+    for r in taken_words(docs).collect():
+        taken[r.doc_id] += r.taken
+    once = sorted(map(tuple, mixed_documents(docs).collect()))
+    got = Counter()
+    for r in once:
+        got[r[0]] += len(r[1].split())
+    assert got == taken
+    assert once == sorted(map(tuple, mixed_documents(docs.repartition(7)).collect()))
+
+
 def test_each_pass_uses_a_block_once(spark, sf):
     mix, _ = mixture(spark.read.parquet(f"{sf}/documents.parquet"), block=32)
     rows = mix.collect()
