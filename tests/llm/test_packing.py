@@ -12,46 +12,59 @@ from axonframe.llm.packing import Encoder, Windows, pack, pack_items
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def placed_by_definition(levels, size, s):
-    """The level with the smallest sum of squares, by computing all sums."""
+def placed_by_definition(levels, size, s, room):
+    """The level with the smallest sum of squares, by computing all sums; an item is cut only where it fits nowhere."""
     best = None
-    for h in range(size - s, -1, -1):
-        if h and not levels[h]:
-            continue
-        after = levels.copy()
-        after[h] -= bool(h)
-        after[h + s] += h + s < size
-        total = int((after[1:size] ** 2).sum())
-        if best is None or total < best[0]:
-            best = (total, h)
-    return best[1]
-
-
-def test_sum_of_squares_rule():
+    for cuts in (False, True):
+        for h in range(size - 1, -1, -1):
+            if (h + s > size) != cuts or (not levels[h] if h else not room):
+                continue
+            after = levels.copy()
+            after[h] -= bool(h)
+            after[h + s - size if cuts else h + s] += cuts or h + s < size
+            total = int((after[1:size] ** 2).sum())
+            if best is None or total < best[0]:
+                best = (total, h)
+        if best:
+            return best[1]
+
+
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_sum_of_squares_rule(most):
     rng = random.Random(1)
-    w = Windows(20)
-    for k in range(400):
+    w = Windows(20, most)
+    cut = lambda x, k: ((x[0], x[1], k), (x[0], x[1] + k, x[2] - k))
+    cuts = 0
+    for k in range(600):
         s = rng.randint(1, 19)
-        h = placed_by_definition(w.levels, 20, s)
         before = w.levels.copy()
-        full = w.put(k, s)
+        h = placed_by_definition(before, 20, s, before.sum() < most)
+        full = w.put((k, 0, s), s, cut)
         before[h] -= bool(h)
-        before[h + s] += h + s < 20
+        before[(h + s) % 20] += h + s != 20
         assert (before == w.levels).all()
-        assert (full is not None) == (h + s == 20)
+        assert (full is not None) == (h + s >= 20)
+        assert w.levels.sum() == w.open <= most
+        cuts += h + s > 20
+        assert full is None or sum(m for _, m in full) == 20
+    assert (cuts > 0) == (most < 1000)
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(12))
 def test_pieces(seed):
     rng = random.Random(seed)
-    items = [(k, rng.choice([1, 2, 16, rng.randint(1, 100)])) for k in range(rng.randint(0, 300))]
-    got = defaultdict(list)
-    for seq in pack_items(iter(items), 16):
-        n = sum(m for _, _, m in seq)
+    items = [((k, 0, n), n) for k in range(rng.randint(0, 300)) for n in [rng.choice([1, 2, 16, rng.randint(1, 100)])]]
+    got, odd, moved, total = defaultdict(list), [], [], sum(n for _, n in items)
+    most = rng.choice([1, 3, 64])
+    for seq in pack_items(iter(items), 16, most=most, moved=moved):
+        n = sum(m for _, m in seq)
         assert n == 16 or n & (n - 1) == 0
-        for i, at, m in seq:
+        odd += [n] if n < 16 else []
+        for (i, at, length), m in seq:
+            assert length == m
             got[i].append((at, m))
-    for i, n in items:
+    assert sum(odd) == total % 16 and moved[0] < most * 16
+    for (i, _, n), _ in items:
         at = 0
         for start, m in sorted(got[i]):
             assert start == at and m > 0
@@ -59,6 +72,16 @@ def test_pieces(seed):
         assert at == n
 
 
+@pytest.mark.parametrize(("docs", "share"), [(300, 0.15), (1600, 0.05), (8000, 0.01)])
+def test_the_rule_places_nearly_all_tokens(docs, share):
+    rng = random.Random(docs)
+    sizes = [max(1, int(rng.lognormvariate(5.6, 1.0))) for _ in range(docs)]
+    moved = []
+    n = sum(1 for _ in pack_items((((k, 0, s), s) for k, s in enumerate(sizes)), 2048, moved=moved))
+    assert n <= -(-sum(sizes) // 2048) + 11
+    assert moved[0] <= share * sum(s % 2048 for s in sizes)
+
+
 def test_ids_of_both_libraries():
     e, t = Encoder(PATH), Tokenizer.from_file(PATH)
     assert e.fast is not None
@@ -69,6 +92,20 @@ def test_ids_of_both_libraries():
         assert e(x) == t.encode(x, add_special_tokens=False).ids
 
 
+def test_libraries_that_disagree():
+    e, t = Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = [f"text {k}" for k in range(120)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert e.run(texts) == want and e.fast is not None
+
+    class Off:
+        def encode_ordinary(self, text):
+            return [7]
+
+    e.fast = Off()
+    assert e.run(texts) == want and e.fast is None
+
+
 def check(rows, texts):
     t = Tokenizer.from_file(PATH)
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -105,5 +142,8 @@ def test_query(spark, sf):
 def test_odd_rows(odd_docs, no_docs):
     once = odd_docs.dropDuplicates(["doc_id"])
     check(pack(once, PATH).collect(), {r.doc_id: r.text for r in once.collect()})
-    assert pack(odd_docs.filter("doc_id = 1"), PATH).count() >= 2
+    twice = pack(odd_docs.filter("doc_id = 1"), PATH).collect()
+    assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens
+    for k in (0, 1):  # each of the repeated rows on its own
+        assert sorted((r.start, r.length) for r in twice)[k][0] == 0
     assert pack(no_docs, PATH).count() == 0
