@@ -14,18 +14,44 @@ from pyspark.sql import functions as F
 #: Rules (host suffix and path prefix, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: Words whose pairs make up the labelled host names.
-BAD_WORDS = (("cheap", "free", "spam", "casino", "adult", "xxx", "payday", "hot"), ("pills", "bets", "farm", "win", "cams", "loans"))
-GOOD_WORDS = (("city", "open", "old", "daily"), ("museum", "library", "garden", "news", "history", "recipes"))
-PLAIN_WORDS = ("weather", "physics", "travel", "there", "onthat", "erin", "nature", "music")
-PLACES = (("", "com", ""), ("www.", "org", "/en/12"), ("blog.", "net", "/fr/345/"), ("m.", "com", "/de/6.html"))
+#: Topics of sites to block (gambling, drugs, pornography, loans, advertising, piracy, fraud) and of ordinary ones.
+BAD_TOPICS = (
+    "casino", "poker", "bet", "betting", "slots", "jackpot", "lotto", "pills", "viagra", "pharmacy", "steroids", "porn", "xxx", "sex", "adult", "nude", "escorts", "webcams",
+    "loans", "payday", "cashnow", "spam", "linkfarm", "adserver", "ads", "popunder", "banner", "tracker", "clicks", "warez", "torrents", "keygen", "cracked", "phishing", "replica", "winner", "prize",
+)
+GOOD_TOPICS = (
+    "museum", "library", "garden", "news", "history", "recipes", "school", "university", "hospital", "weather", "council", "theatre", "orchestra", "research", "journal", "bakery", "football", "travel",
+    "science", "software", "docs", "parish", "gallery", "market", "bank", "hotel", "radio", "forum", "wiki", "health", "music", "books", "film", "park", "farm", "racetrack", "church", "railway", "physics", "energy",
+)
+#: What names add to a topic; both kinds of sites use the last ones.
+BAD_WORDS, GOOD_WORDS = ("best", "hot", "king", "vip", "free", "365", "cheap", "hub"), ("city", "royal", "new", "river", "north", "guide", "daily", "saint")
+BOTH_WORDS = ("online", "world", "club", "my", "24", "top", "the", "net")
+#: Syllables of names that say nothing, as many ordinary sites have.
+SYLLABLES = ("ra", "lo", "min", "ve", "tor", "sha", "ke", "pun", "di", "wex", "al", "ber", "zu", "ning", "fo", "gre", "thy", "cal", "os", "ten")
+ENDS = ("com", "org", "net", "info", "de", "co.uk", "fr", "io")
+FRONTS = ("", "www.", "", "m.", "blog.", "")
+PATHS = ("", "/", "/index.html", "/en/about", "/2024/05/12/a-title", "/fr/77", "/shop/item.php", "/a/b/c/")
+BAD_PATHS, GOOD_PATHS = ("/bonus/register", "/free-videos/", "/track/click.php", "/buy-now/no-prescription"), ("/articles/history.html", "/docs/guide/", "/events/calendar", "/contact")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """The small labelled table (host, path, 1 to block), by rule: pairs of words in a few places; under 200 rows."""
-    bad = [f"{a}-{b}" for a, b in product(*BAD_WORDS)]
-    good = [f"{a}-{b}" for a, b in product(*GOOD_WORDS)] + [w for w in PLAIN_WORDS for _ in range(3)]
-    rows = [(f"{PLACES[(k + j) % 4][0]}{n}.example.{PLACES[(k + j) % 4][1]}", PLACES[(k + j) % 4][2], y) for y, names in ((1, bad), (0, good)) for k, n in enumerate(names) for j in (0, 1)]
+    """The small labelled table (host, path, 1 to block): ordinary names of either kind by rule, a few hundred rows.
+
+    Each topic comes with four words before or after it, over several ends of names; names of syllables and urls
+    without a host are ordinary. Hosts, ends and paths of the data that are to be judged have no part in it.
+    """
+    rows = []
+    for topics, words, paths, y in ((BAD_TOPICS, BAD_WORDS + BOTH_WORDS, BAD_PATHS, 1), (GOOD_TOPICS, GOOD_WORDS + BOTH_WORDS, GOOD_PATHS, 0)):
+        for k, topic in enumerate(topics):
+            for j in range(4):
+                at = 5 * k + 4 * j + k // 16
+                word = words[at % 16]
+                name = (f"{word}{topic}", f"{topic}{word}", f"{word}-{topic}", f"{topic}-{word}")[(k + j) % 4]
+                path = paths[(at // 5) % 4] if j == 3 else PATHS[at % 8]
+                rows.append((f"{FRONTS[at % 6]}{name}.{ENDS[(3 * k + j) % 8]}", path, y))
+    for k in range(160):
+        name = "".join(SYLLABLES[(k * m + k // 20 * s) % 20] for m, s in ((1, 0), (7, 3), (13, 5))[: 2 + k % 2])
+        rows.append((f"{FRONTS[k % 6]}{name}.{ENDS[k % 8]}", PATHS[k * 3 % 8], 0))
     return rows + [("", "", 0), ("localhost", "/a/b", 0)]
 
 
@@ -64,6 +90,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, lab
     Host and rule are found by SQL expressions (a rule fits its host and all subdomains if the path starts with the
     rule's; the longest wins); the model judges in Arrow batches and decides where no rule fits. It is trained on the
     driver from the small labelled table and sent with the task (half a megabyte).
+    It saw no host of any data: on 31 well-known names that aren't in the table nine in ten verdicts are right (see the tests).
     Null urls and those without ``://`` have an empty host and path, which no rule fits; the model decides. Repeated
     rows are judged each; an empty table gives no rows; other columns are ignored; very long urls are judged whole.
     """
