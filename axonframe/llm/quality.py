@@ -65,15 +65,20 @@ def counts_of(docs: DataFrame, target_ids: list, bits: int, id_col: str, text_co
     return raw, target
 
 
-def log_weight(spark: SparkSession, ratio: np.ndarray, text_col: str = "text") -> Column:
-    """The sum over the text's n-grams of log p(target) - log p(raw), 0 without any; only the text goes to Python."""
+def log_weight(spark: SparkSession, ratio: np.ndarray, length: int, half: int, text_col: str = "text") -> Column:
+    """log p(target) - log p(raw) of ``length`` n-grams like the text's; only the text goes to Python.
+
+    The sum over a text's n-grams grows with its length, so that short junk lies as near to 0 as short good text. So it is
+    the mean over them, shrunk as by ``half`` more n-grams of ratio 1, that counts, times ``length``. 0 without any n-gram.
+    """
     bits = len(ratio).bit_length() - 1
     sent = spark.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes, r = Hashes(), sent.value
         for texts in batches:
-            yield pa.array([float(r[features(t, hashes, bits)].sum()) if (t := x.as_py()) else 0.0 for x in texts], pa.float64())
+            got = [r[features(t, hashes, bits)] if (t := x.as_py()) else r[:0] for x in texts]
+            yield pa.array([float(g.sum() * length / (len(g) + half)) for g in got], pa.float64())
 
     return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(F.col(text_col).cast("string"))
 
@@ -104,19 +109,22 @@ def kth_largest(rows: DataFrame, col: str, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def decided(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, sample_docs: int = 20_000, bits: int = 14, prior: float = 10.0, lose: float = 0.002, slack: float = 1.5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decided(docs: DataFrame, labels: DataFrame, k: int | None = None, carry: list[str] | None = None, sample_docs: int = 20_000, bits: int = 16, prior: float = 10.0, length: int = 100, half: int = 20, lose: float = 0.002, slack: float = 1.5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` (only those in ``carry``, if given, and the id) as ``c0, c1, ...``, with ``log_weight``, ``gumbel_key`` and ``kept``, the sample drawn by importance resampling.
 
     The target model counts the n-grams of documents labelled good (quality 1 and not toxic; a document with several
     labels is good if all are), a bounded sample of ``sample_docs`` of them by a hash of the id; their ids are
-    broadcast. The raw model counts all documents. A document's log weight plus Gumbel noise (from a hash of the id)
-    is its key, and the k largest keys are a sample without replacement by weight. A fifth of the good sample isn't
-    counted but tells how far good documents fall: from its median, ``slack`` times the way to its ``lose`` quantile.
-    k is the number of documents with a log weight of at least that: so many look like the target. Buckets that are
-    seldom seen are drawn to ratio 1 by ``prior`` counts.
+    broadcast. The raw model counts all documents. Buckets that are seldom seen are drawn to ratio 1 by ``prior`` counts. A document's
+    log weight (:func:`log_weight`) plus Gumbel noise (from a hash of the id) is its key, and the ``k`` largest keys are a
+    sample without replacement by weight.
+
+    ``k`` is a parameter. Left out, it is the number of documents that look like the target: a fifth of the good sample isn't counted
+    but tells how far good documents fall (from its median, ``slack`` times the way to its ``lose`` quantile), and k is the
+    number of documents with a log weight of at least that.
     Rows with equal keys at the threshold are all kept. No labels, or none of them good: nothing to tell apart, all are kept.
+    A toxic document in good language has the n-grams of the target but for a few words, and is not told apart by them.
 
-    Null or empty text: log weight 0. Null ids take part with one common noise. Repeated rows get equal keys. An
+    Null or empty text: log weight 0. Null ids take part with one common noise. Repeated rows get equal keys. Very long texts count whole. An
     empty table gives no rows. Other columns are carried through, whatever they are called. Two passes over the text, no shuffle of it.
     """
     names = docs.columns
@@ -129,19 +137,20 @@ def decided(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     else:
         ratio = np.zeros(1 << bits)
     got = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
-    got = got.withColumn("log_weight", log_weight(docs.sparkSession, ratio, f"c{names.index(text_col)}"))
+    got = got.withColumn("log_weight", log_weight(docs.sparkSession, ratio, length, half, f"c{names.index(text_col)}"))
     at = f"c{names.index(id_col)}"
     got = got.select(*[f"c{k}" for k, c in enumerate(names) if carry is None or c in carry or c == id_col], "log_weight")
     u = (F.pmod(F.xxhash64(at, F.lit(seed + 1)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     got = saved(got.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "weights")
-    if target.sum():
+    if k is not None:
+        edge = kth_largest(got, "gumbel_key", k)
+    elif target.sum():
         sample = docs.sparkSession.createDataFrame([(i,) for i in check or fit], "id long")  # bounded by sample_docs
         weights = got.select(F.col(at).cast("long").alias("id"), "log_weight").join(F.broadcast(sample), "id", "left_semi")
         n = weights.count()
-        low, mid = (kth_largest(weights, "log_weight", max(1, k)) for k in (n - int(lose * n), n // 2))
+        low, mid = (kth_largest(weights, "log_weight", max(1, j)) for j in (n - int(lose * n), n // 2))
         floor = mid - slack * (mid - low) if n else float("inf")
-        k = got.filter(F.col("log_weight") >= floor).count()
-        edge = kth_largest(got, "gumbel_key", k)
+        edge = kth_largest(got, "gumbel_key", got.filter(F.col("log_weight") >= floor).count())
     else:
         edge = float("-inf")
     return got.withColumn("kept", F.col("gumbel_key") >= edge)

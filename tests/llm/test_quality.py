@@ -1,5 +1,11 @@
+import math
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from axonframe.llm.quality import Hashes, features, kth_largest, resample
 
@@ -14,25 +20,66 @@ def test_kth_largest(spark):
     assert kth_largest(df.filter("false"), "x", 3) == float("inf")
 
 
+def plain_buckets(text, bits):
+    """Buckets of words and pairs of neighbours, in plain integers."""
+    tokens = re.findall(r"[^\W_]+|[^\w\s]+|_+", text or "")
+    h = [xxhash.xxh3_64_intdigest(t.lower()) for t in tokens]
+    a, b = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    out = [x * b for x in h] + [(x * a + y) * b for x, y in zip(h, h[1:])]  # noqa: B905
+    out += [xxhash.xxh3_64_intdigest("\x00upper") for t in tokens if t.isupper() and len(t) > 1]
+    return [x % (1 << 64) >> (64 - bits) for x in out]
+
+
 def test_weights_against_plain_counts(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = {r.doc_id: r for r in resample(docs.select("doc_id", "text"), labels).collect()}
-    ids = {r.doc_id for r in docs.collect()}
-    assert got.keys() == ids
-    keys = sorted((r.gumbel_key for r in got.values() if r.kept), reverse=True)
-    assert all(r.gumbel_key < keys[-1] for r in got.values() if not r.kept)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    by_id = defaultdict(list)
+    for r in labels.collect():
+        by_id[r.doc_id].append(r.quality == 1 and not r.toxic)
+    good = spark.createDataFrame([(i,) for i, g in by_id.items() if all(g)], "doc_id long").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
+    ids = [r.doc_id for r in good.collect()]
+    fit, check = ids[len(ids) // 5 :], ids[: len(ids) // 5]
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        raw.update(plain_buckets(t, 16))
+        if i in fit:
+            target.update(plain_buckets(t, 16))
+    share = sum(target.values()) / sum(raw.values())
+    weight = {}
+    for i, t in texts.items():
+        b = plain_buckets(t, 16)
+        weight[i] = 100 * sum(math.log(target[x] + 10) - math.log(raw[x] * share + 10) for x in b) / (len(b) + 20)
+        assert got[i].log_weight == pytest.approx(weight[i], abs=1e-9)
+    down = sorted((weight[i] for i in check), reverse=True)
+    n = len(down)
+    low, mid = down[n - int(0.002 * n) - 1], down[n // 2 - 1]
+    k = sum(w >= mid - 1.5 * (mid - low) - 1e-9 for w in weight.values())
+    keys = sorted((r.gumbel_key for r in got.values()), reverse=True)
+    assert {i for i, r in got.items() if r.kept} == {i for i, r in got.items() if r.gumbel_key >= keys[k - 1]}
     again = {r.doc_id: r for r in resample(docs.select("doc_id", "text").repartition(3), labels).collect()}
-    assert all(got[i].kept == again[i].kept for i in ids)
+    assert all(got[i].kept == again[i].kept for i in texts)
+    assert sum(r.kept for r in resample(docs, labels, k=50).collect()) == 50
+
+
+def test_gumbel_noise(spark):
+    """Equal weights: any k documents are as likely, and an odd is the ratio of two weights."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    keys = [r.gumbel_key for r in resample(rows, none).collect()]
+    assert np.mean(keys) == pytest.approx(0.5772, abs=0.08) and np.var(keys) == pytest.approx(math.pi**2 / 6, rel=0.12)
 
 
 def test_labelled_documents(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    rows = resample(docs, labels).join(labels, "doc_id").select("kept", "quality", "toxic").collect()
+    rows = resample(docs, labels).join(labels, "doc_id").select("kept", "quality", "toxic", "text").collect()
     good = [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
-    bad = [r.kept for r in rows if r.quality == 0]
-    assert np.mean(good) >= 0.98
-    assert np.mean(bad) <= 0.35
+    assert np.mean(good) >= 0.995
+    for lo, hi in ((50, 200), (200, 1000), (1000, 10**9)):  # by words; shorter texts say too little
+        bad = [r.kept for r in rows if r.quality == 0 and lo <= len((r.text or "").split()) < hi]
+        assert len(bad) > 30 and np.mean(bad) <= 0.1
 
 
 def test_features_are_whole_text():
