@@ -8,12 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import dropped, saved
-
 RUN = re.compile(r"[^\W\d_]+")
 SIZES = (4, 3, 2, 1)
 
@@ -34,21 +32,18 @@ def grams(word: str, n: int) -> list[str]:
 class Model:
     """Log frequencies by language of known words, and of n-grams of each size for all other words."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[str, int, str, int]], smooth: float = 0.5) -> None:
-        """``rows``: language, kind (0 for a word, else the size of an n-gram), item, count."""
+    def __init__(self, langs: list[str], counts: pa.Table, smooth: float = 0.5) -> None:
+        """``counts``: ``lang, kind`` (0 for a word, else the size of an n-gram), ``item, n``."""
         self.langs = langs
-        at = {x: k for k, x in enumerate(langs)}
-        self.index: list[dict[str, int]] = [{} for _ in range(max(SIZES) + 1)]
-        counts: list[list[np.ndarray]] = [[] for _ in self.index]
-        for lang, kind, item, n in rows:
-            k = self.index[kind].setdefault(item, len(counts[kind]))
-            if k == len(counts[kind]):
-                counts[kind].append(np.zeros(len(langs)))
-            counts[kind][k][at[lang]] += n
+        self.index: list[dict[str, int]] = []
         self.logs = []
-        for c in counts:
-            m = np.array(c).reshape(len(c), len(langs)) + smooth
-            self.logs.append(np.log(m / m.sum(axis=0)) if len(c) else m)
+        for kind in range(max(SIZES) + 1):
+            some = counts.filter(pa.compute.equal(counts["kind"], kind)).combine_chunks()
+            items = some["item"].combine_chunks().dictionary_encode()
+            self.index.append({x: k for k, x in enumerate(items.dictionary.to_pylist())})
+            m = np.full((len(items.dictionary), len(langs)), smooth)
+            np.add.at(m, (items.indices.to_numpy(), pa.compute.index_in(some["lang"], pa.array(langs, pa.string())).to_numpy()), some["n"].to_numpy())
+            self.logs.append(np.log(m / m.sum(axis=0)).astype(np.float32) if len(m) else m)
 
     def scores(self, text: str) -> np.ndarray | None:
         """Summed log frequencies by language; None if the text has no letter.
@@ -119,32 +114,20 @@ def counted(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(run, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, learn: Column, sample_docs: int = 2000, max_items: int = 150_000, least: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, learn: Column, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows where ``learn`` holds and text and language are not null.
 
-    The classifier is fitted on a bounded sample: about ``sample_docs`` rows a language, by a hash of the id. Words and
-    n-grams seen ``least`` times or more in all languages together are ranked by that count (ties by item) among those of
-    each language, and each language chooses its share of ``max_items``; a chosen item keeps the counts of all languages.
-    So at most ``max_items`` items, with a count a language, come to the driver and go back to the tasks. No labelled
-    row: a model without languages.
+    The classifier is fitted on a bounded sample: about ``sample_docs`` rows a language, by a hash of the id. Of these
+    rows, all words and n-grams count, in whole texts; their counts come to the driver and go back to the tasks with the model,
+    so its size is bounded by the sample. No labelled row: a model without languages.
     """
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h"))
     size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    if not size:
-        return Model([], [])
     full = float(1 << 31)
     keep = F.lit(False)
     for lang, n in size.items():
         keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 31)) < F.lit(full * min(1.0, sample_docs / n))))
-    items = counted(rows.filter(keep)).groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("counts")).filter(F.col("total") >= least)
-    items = saved(items, "items")
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("total"), "kind", "item"))
-    each = items.select("kind", "item", "total", F.explode("counts.lang").alias("lang"))
-    chosen = each.withColumn("place", place).filter(F.col("place") <= max(1, max_items // len(size))).select("kind", "item").distinct()
-    kept = items.join(chosen, ["kind", "item"], "left_semi").select(F.explode("counts").alias("c"), "kind", "item").select("c.lang", "kind", "item", "c.n")
-    rows = [(r.lang, r.kind, r.item, r.n) for r in kept.collect()]
-    dropped(items)
-    return Model(sorted(size), rows)
+    return Model(sorted(size), counted(rows.filter(keep)).toArrow())
 
 
 def prediction(spark: SparkSession, model: Model, text_col: str = "text") -> Column:
@@ -173,7 +156,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options: object) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document, by a model learned from the rows not held out.
 
-    Repeated rows and null ids are kept; an empty table gives no rows; other columns are ignored.
+    Repeated rows and null ids are kept; very long texts are scored whole; an empty table gives no rows; other columns are ignored.
     """
     model = train(docs, ~held_out(id_col) & F.col(id_col).isNotNull(), id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
     slim = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), prediction(docs.sparkSession, model, text_col).alias("p"))

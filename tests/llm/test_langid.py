@@ -1,19 +1,29 @@
+import math
+import re
 import zlib
+from collections import Counter, defaultdict
 
-from axonframe.llm import langid
-from axonframe.llm.langid import Model, identify, train
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from axonframe.llm.langid import Model, identify, train
+
+
+def model(langs, rows):
+    return Model(langs, pa.Table.from_pylist([dict(zip(("lang", "kind", "item", "n"), r, strict=True)) for r in rows], pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("item", pa.string()), ("n", pa.int64())])))
+
 
 def test_words_first_then_shorter_ngrams():
-    m = Model(["a", "b"], [("a", 0, "word", 9), ("b", 0, "other", 9), ("a", 4, "<unk", 5), ("b", 1, "z", 3), ("a", 1, "q", 3)])
+    m = model(["a", "b"], [("a", 0, "word", 9), ("b", 0, "other", 9), ("a", 4, "<unk", 5), ("b", 1, "z", 3), ("a", 1, "q", 3)])
     assert m.predict("word")[0] == "a"
     assert m.predict("unkn")[0] == "a"  # by a 4-gram
     assert m.predict("zz")[0] == "b"  # by characters
     assert m.predict("123 ...") == ("und", 0.0)
     assert m.predict("½") == ("und", 0.0)
     assert m.predict(None) == ("und", 0.0)
-    assert Model([], []).predict("word") == ("und", 0.0)
+    assert model([], []).predict("word") == ("und", 0.0)
 
 
 def test_held_out_accuracy(spark, sf):
@@ -38,13 +48,52 @@ def test_odd_rows(odd_docs, no_docs):
     assert train(no_docs, F.lit(True)).langs == []
 
 
-def test_a_chosen_item_keeps_every_language(spark, monkeypatch):
-    monkeypatch.setattr(langid, "Model", lambda langs, rows: rows)
+def plain(rows, text):
+    """Language and share of the likelihood, from dictionaries of counts over ``rows`` (language, text)."""
+    words = lambda t: ["".join(w) for w in re.findall(r"[^\W\d_]+", t.lower())]
+    cut = lambda w, n: list(w) if n == 1 else [f"<{w}>"[k : k + n] for k in range(len(w) + 3 - n)]
+    langs = sorted({lang for lang, _ in rows})
+    counts = defaultdict(Counter)
+    for lang, t in rows:
+        for w in words(t):
+            counts[0][w, lang] += 1
+            for n in (4, 3, 2, 1):
+                counts[n].update((g, lang) for g in cut(w, n))
+    known = {n: {x for x, _ in c} for n, c in counts.items()}
+    total = {(n, lang): sum(v for (_, y), v in counts[n].items() if y == lang) + 0.5 * len(known[n]) for n in counts for lang in langs}
+    log = lambda n, x, lang: math.log((counts[n][x, lang] + 0.5) / total[n, lang])
+    score = dict.fromkeys(langs, 0.0)
+    found = words(text)
+    if not found:
+        return "und", 0.0
+    for w in found:
+        if w in known[0]:
+            got, n = [w], 0
+        else:
+            n = next((n for n in (4, 3, 2, 1) if any(g in known[n] for g in cut(w, n))), None)
+            got = [g for g in cut(w, n) if g in known[n]] if n else []
+        for lang in langs:
+            score[lang] += sum(log(n, x, lang) for x in got) / max(1, len(got))
+    best = max(score.values())
+    lang = next(x for x in langs if score[x] == best)
+    return lang, 1 / sum(math.exp(v - best) for v in score.values())
+
+
+def test_against_a_plain_model(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    learned = [(r.lang, r.text) for r in rows if r.lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    got = {r.doc_id: r for r in identify(docs).collect()}
+    for r in rows[::25]:  # the plain model is slow
+        lang, share = plain(learned, r.text)
+        assert got[r.doc_id].lang_pred == lang
+        assert got[r.doc_id].score == pytest.approx(share, abs=1e-3)
+
+
+def test_every_count_of_the_sample_is_learned(spark):
     rows = [("x", "shared alpha beta gamma")] * 60 + [("y", "shared delta")] * 3 + [("x", "solitary")] + [("y", "solitary")]
     docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
-    every = {(lang, kind, item): n for lang, kind, item, n in train(docs, F.lit(True), max_items=100_000)}
-    assert (every["x", 0, "shared"], every["y", 0, "shared"], every["y", 0, "solitary"]) == (60, 3, 1)
-    few = {(lang, kind, item): n for lang, kind, item, n in train(docs, F.lit(True), max_items=40)}
-    kept = {key[1:] for key in few}
-    assert len(kept) <= 40 and {"x", "y"} == {key[0] for key in few}
-    assert few == {key: n for key, n in every.items() if key[1:] in kept}
+    m = train(docs, F.lit(True))
+    assert set(m.index[0]) == {"shared", "alpha", "beta", "gamma", "delta", "solitary"}
+    freq = np.exp(m.logs[0][m.index[0]["solitary"]])
+    assert freq == pytest.approx([1.5 / (241 + 3), 1.5 / (7 + 3)], rel=1e-5)
