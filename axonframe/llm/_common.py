@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (single-machine tests) a temporary folder is made and set.
+    Only on a single machine (a local master, as in tests) that names none a temporary folder is made and set; a cluster
+    must name one.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="axonframe-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -53,12 +56,31 @@ def dropped(*frames: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def hot_keys(counts: DataFrame, on: list[str], total: int, least: int = 500, most: int = 4096) -> DataFrame:
+    """Keys of many rows and the number of ``parts`` to deal them to, from ``on, m`` (rows of a key, or a bound of them).
+
+    Hot is a key with more than ``least`` rows and more than one ``most``-th of the ``total``: fewer than ``most`` keys, which are broadcast.
+    """
+    share = max(least, -(-total // most))
+    return F.broadcast(counts.filter(F.col("m") > share).select(*on, F.ceil(F.col("m") / share).cast("int").alias("parts")))
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, on: list[str], hot: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key, without a task that gets a hot key's rows.
+
+    Rows of a key in ``hot`` (:func:`hot_keys`) are dealt by a hash (of the columns in ``by``, or of all) to its parts, and the key's row in ``keyed`` goes to each.
+    """
+    dealt = rows.join(hot, on, "left").withColumn("_part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*(by or rows.columns)), F.col("parts"))).cast("int")).drop("parts")
+    each = keyed.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(each, [*on, "_part"]).drop("_part")
+
+
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     ``edges`` has long columns ``a`` and ``b`` (``rows``: about how many, see :func:`saved`). Returns ``id`` and ``component`` (the smallest id reachable)
     for each id that has a link to another one. Every round is a partial aggregation and an equi-join on the
-    vertex; its table is written to the shared folder and the one before it removed. A hub's neighbours are
+    vertex, with the neighbours of a hub dealt to many tasks; its table is written to the shared folder and the one before it removed. A hub's neighbours are
     never gathered in one row, and no links come to the driver. No links give no rows.
     """
     now = saved(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", rows)
@@ -69,12 +91,13 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
             break
         was = print_
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = saved(small, "links", print_[0])
-        dropped(now)
+        low = both.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("m"))
+        star = salted_join(both.filter("v > u"), low.select("u", F.least("u", "least").alias("least")), ["u"], hot_keys(low, ["u"], 2 * print_[0]))
+        large = saved(star.select(F.col("v").alias("u"), F.col("least").alias("v")).distinct(), "links", print_[0])
+        low = large.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("m"))
+        star = salted_join(large, low.select("u", "least"), ["u"], hot_keys(low, ["u"], print_[0])).filter("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        after = saved(star.union(low.select("u", F.col("least").alias("v"))).distinct(), "links", print_[0])
+        dropped(now, large)
         now = after
     both = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")))
     return both.groupBy("id").agg(F.min("component").alias("component"))

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._common import components, dropped, saved
+from ._common import components, dropped, hot_keys, salted_join, saved
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -90,27 +89,46 @@ def likely(a: np.ndarray, b: np.ndarray, least: list[int], batch: int) -> tuple[
     return at, m
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(_mixed(s + _ODD[0]).sum(dtype=np.uint64).view(np.int64))
+
+
 def featured(docs: DataFrame, size: int, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, h1, h2`` (the set's size and a 128-bit fingerprint), ``sig`` and ``keys``; one pass over the text, no shuffle."""
+    """``id, t, n, h1, h2`` (a hash of the text, the set's size and a 128-bit fingerprint), ``sig`` and ``keys``; one pass over the text, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, h1, h2, sig, keys = [], [], [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 s = shingles(t.as_py(), size)
                 n.append(len(s))
-                h1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                h2.append(int(_mixed(s + _ODD[0]).sum(dtype=np.uint64).view(np.int64)))
+                p, q = fingerprint(s)
+                h1.append(p)
+                h2.append(q)
                 x = scheme.signature(s) if len(s) else (b"", [])
                 sig.append(x[0])
                 keys.append(x[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "h1", "h2", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "t", "n", "h1", "h2", "sig", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("t"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "id long, t long, n long, h1 long, h2 long, sig binary, keys array<long>")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary, keys array<long>")
 
+def text_key(text_col: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
-def probable(pairs: DataFrame, sigs: DataFrame, scheme: Scheme, least: list[int]) -> DataFrame:
+
+def with_both(pairs: DataFrame, keyed: DataFrame, col: str, hot: DataFrame) -> DataFrame:
+    """``pairs`` (``a, b``) with the column of both ids from ``keyed`` as ``xa`` and ``xb``; pairs of a hub (``hot``: ``id, parts``) are dealt to many tasks."""
+    for side in ("a", "b"):
+        of = keyed.select(F.col("id").alias(side), F.col(col).alias(f"x{side}"))
+        pairs = salted_join(pairs, of, [side], F.broadcast(hot.withColumnRenamed("id", side)), ["a", "b"])
+    return pairs
+
+
+def probable(pairs: DataFrame, sigs: DataFrame, scheme: Scheme, least: list[int], hot: DataFrame) -> DataFrame:
     """Pairs ``a, b`` that survive the comparison of signature batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,31 +137,37 @@ def probable(pairs: DataFrame, sigs: DataFrame, scheme: Scheme, least: list[int]
                 at, _ = likely(_signatures(b.column(2), scheme.k), _signatures(b.column(3), scheme.k), least, scheme.batch)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["a", "b"])
 
-    got = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    return got.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return with_both(pairs, sigs, "sig", hot).select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str, most_bits: int = 26) -> DataFrame:
-    """``id, set`` of the documents whose id is in ``ids`` (and a few others): only their texts reach Python.
+def sets_of(ids: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str, names: DataFrame | None = None, most_bits: int = 26) -> DataFrame:
+    """``id, set`` of the classes whose id is in ``ids`` (and a few others): only their texts reach Python.
 
+    A class's id is that of a document. ``names`` (``id, rep, n, h1, h2``) tells which one's and the set's fingerprint where ids of documents are repeated.
     The ids become a bitmap of at most 2**``most_bits`` bits, whatever their number; it is broadcast as 64-bit words
     (a million at most) and looked up by an equi-join where the documents are read, so other texts are never shuffled.
     """
-    n = ids.count()
+    reps = ids if names is None else ids.join(names, "id").select(F.col("rep").alias("id")).distinct()
+    n = reps.count()
     bits = min(most_bits, max(12, (16 * n).bit_length()))
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
-    words = ids.select(spot.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    words = reps.select(spot.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = rows.withColumn("p", spot).withColumn("word", F.shiftright("p", 6)).join(F.broadcast(words), "word").filter(F.expr("(bits & shiftleft(1L, cast(p % 64 as int))) != 0"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], ["id", "set"])
+            sets = [shingles(t.as_py(), size) for t in b.column(1)]
+            marks = [(len(s), *fingerprint(s)) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([m[k] for m in marks], pa.int64()) for k in range(3)], pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "h1", "h2", "set"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, set binary")
+    got = rows.select("id", "text").mapInArrow(run, "rep long, n long, h1 long, h2 long, set binary")
+    if names is None:
+        return got.select(F.col("rep").alias("id"), "set")
+    return got.join(names, ["rep", "n", "h1", "h2"]).select("id", "set").dropDuplicates(["id"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
     """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +179,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = sets_of(ids, docs, size, id_col, text_col)
-    got = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return got.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return with_both(pairs, sets, "set", hot).select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
 class _Group:
@@ -261,12 +282,14 @@ def settled(members: DataFrame, keyed: DataFrame, sets: DataFrame, scheme: Schem
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, miss: float = 1e-6, chunk: int = 2048, chunk_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each document.
+def duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, miss: float = 1e-6, chunk: int = 2048, chunk_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, t, n, group, component`` of each document: ``t`` is its :func:`text_key`, ``n`` the size of its set, ``group`` a number for what
+    is linked (null: nothing), ``component`` the smallest id in it.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of word shingles.
     1. One pass over the text gives each document's set size, a 128-bit fingerprint of the set, a MinHash signature and
-       a key for each band. Documents with equal sets are one class, which its smallest id stands for from here on.
+       a key for each band. Documents with equal sets are one class, which its smallest id stands for from here on (where
+       documents of several classes have that same id, the other classes get numbers beyond all ids).
     2. Classes that share a band's key are candidates. A pair with similarity s shares one with probability
        1 - (1 - s^rows)^bands: all but 5 in 100,000 at 0.8 by default.
     3. First each bucket's members against one hub (drawn anew for each bucket), so a large group of copies costs a
@@ -277,40 +300,68 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
        task. Only links that join components leave it. So each candidate pair is either checked, pruned by the
        posterior bound, or inside one component already; there is no cap. Members that are like each other but not
        enough so are compared pair by pair; that is the square of such a bucket, spread over its pairs of chunks.
-    Full sets are made anew from the text for the documents in surviving pairs and such buckets only. Tables between the steps are in the shared folder.
+    Full sets are made anew from the text for the documents in surviving pairs and such buckets only. Joins on classes,
+    buckets and hubs deal the rows of hot keys to many tasks. Tables between the steps are in the shared folder.
 
-    Null and empty texts, and those without words: no shingles, linked with nothing. Repeated rows have equal sets, so
-    they are one class, each with its row. A null id is linked with nothing and kept. An empty table gives no rows. Other columns are ignored.
+    Null and empty texts, and those without words: no shingles, linked with nothing. Very long texts count whole. Repeated rows have equal sets, so
+    they are one class, each with its row; rows of one id with other texts are documents of their own. A null id is linked with nothing. An empty table gives no rows. Other columns are ignored.
     """
     scheme = Scheme(bands, rows)
     least = scheme.least_matches(percent, miss)
     feats = saved(featured(docs, shingle, scheme, id_col, text_col), "features")
     some = feats.filter("n > 0 and id is not null")
-    classes = some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    reps = some.join(classes, ["n", "h1", "h2"]).filter("id = rep").select("id", "n", "sig", "keys").dropDuplicates(["id"])
-    size = feats.count()
-    keyed = saved(reps, "classes", size)
-    sigs = keyed.select("id", "sig")
+    mark = ["n", "h1", "h2"]
+    size, top, bottom = feats.agg(F.count(F.lit(1)), F.max("id"), F.min("id")).first()
+    repeated = not some.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+    classes = some.groupBy(*mark).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"))
+    if repeated:
+        first = classes.groupBy("rep").agg(F.min(F.struct(*mark)).alias("first"))
+        beyond = F.lit(top + 1) + F.monotonically_increasing_id() if top < 1 << 62 else F.lit(bottom - 1) - F.monotonically_increasing_id()
+        classes = classes.join(first, "rep").withColumn("id", F.when(F.col("first") == F.struct(*mark), F.col("rep")).otherwise(beyond)).drop("first")
+    else:
+        classes = classes.withColumn("id", F.col("rep"))
+    classes = saved(classes, "classes", size)
+    keyed = some.withColumnRenamed("id", "rep").join(classes.drop("m"), ["rep", *mark])  # by the id, too, so a group of copies isn't one task's
+    keyed = saved((keyed.dropDuplicates(["id"]) if repeated else keyed).select("id", "n", "sig", "keys"), "signatures", size)
+    names = classes.select("id", "rep", *mark) if repeated else None
+    sets = lambda ids: sets_of(ids, docs, shingle, id_col, text_col, names)
     entries = keyed.select("id", "n", F.explode("keys").alias("key"))
     mask = F.xxhash64("key")  # a hub is the member with the smallest masked id: another order in each bucket
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min(F.col("id").bitwiseXOR(mask)).alias("low")).filter("m > 1")
-    buckets = buckets.select("key", "m", "total", F.col("low").bitwiseXOR(mask).alias("hub"))
-    members = saved(entries.join(buckets, "key"), "members", size)
+    buckets = saved(buckets.select("key", "m", "total", F.col("low").bitwiseXOR(mask).alias("hub")), "buckets", size)
+    members = saved(salted_join(entries, buckets, ["key"], hot_keys(buckets, ["key"], size * bands), ["id"]), "members", size)
     stars = members.filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    tried = saved(probable(stars, sigs, scheme, least), "pairs", size)
-    links = saved(confirmed(tried, docs, shingle, percent, id_col, text_col), "confirmed", size)
+    hubs = hot_keys(buckets.groupBy(F.col("hub").alias("id")).agg(F.sum("m").alias("m")), ["id"], size * bands)
+    tried = saved(probable(stars, keyed.select("id", "sig"), scheme, least, hubs), "pairs", size)
+    links = saved(confirmed(tried, sets(tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct()), percent, hubs), "confirmed", size)
     comp = saved(components(links, size), "components", size)
     labelled = members.filter("m > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    unsettled = saved(labelled.join(open_, "key").select("key", "id", "n", "m", "total", "comp"), "unsettled", size)
+    open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("m").alias("m")).filter("lo != hi").select("key", "m")
+    open_ = saved(open_, "open", size)
+    unsettled = salted_join(labelled.select("key", "id", "n", "m", "total", "comp"), open_.select("key"), ["key"], hot_keys(open_, ["key"], size * bands), ["id"])
+    unsettled = saved(unsettled, "unsettled", size)
     if not unsettled.isEmpty():
-        sets = sets_of(unsettled.select("id").distinct(), docs, shingle, id_col, text_col)
-        more = settled(unsettled, keyed.select("id", "sig", "keys"), sets, scheme, least, percent, chunk, chunk_shingles)
+        more = settled(unsettled, keyed.select("id", "sig", "keys"), sets(unsettled.select("id").distinct()), scheme, least, percent, chunk, chunk_shingles)
         more = saved(more, "confirmed", size)
         before, comp = comp, saved(components(links.union(more), size), "components", size)
         dropped(before, more)
-    dropped(keyed, members, tried, links, unsettled)  # what comes now needs classes and components only
-    of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    in_class = some.select("id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"]).select("id", "n", "component")
-    alone = feats.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    return in_class.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    dropped(keyed, buckets, members, tried, links, open_, unsettled)  # what comes now needs classes and components only
+    of_class = classes.join(comp, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    if repeated:  # a number beyond all ids is no document's id
+        of_class = of_class.join(of_class.groupBy("group").agg(F.min("rep").alias("component")), "group")
+    else:
+        of_class = of_class.withColumn("component", F.col("group"))
+    in_class = salted_join(some.select("id", "t", *mark), of_class.select(*mark, "group", "component"), mark, hot_keys(classes, mark, size), ["id", "t"]).select("id", "t", "n", "group", "component")
+    alone = feats.filter("n = 0 or id is null").select("id", "t", "n", F.lit(None).cast("long").alias("group"), F.col("id").alias("component"))
+    out = saved(in_class.union(alone), "groups")
+    dropped(feats, classes, comp)
+    return out
+
+
+def near_duplicates(docs: DataFrame, **options: object) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each document, by :func:`duplicate_groups`, whose options it takes.
+
+    ``component_id`` is the smallest id reachable by links, and ``kept`` whether it is the document's own. A null id is kept.
+    """
+    got = duplicate_groups(docs, **options)
+    return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

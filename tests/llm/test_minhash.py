@@ -4,7 +4,10 @@ import re
 import numpy as np
 import pytest
 
-from axonframe.llm.minhash import Scheme, likely, near_duplicates, shingles
+from pyspark.sql import functions as F
+
+from axonframe.llm import _common
+from axonframe.llm.minhash import Scheme, duplicate_groups, likely, near_duplicates, shingles
 
 
 def sets(texts, size):
@@ -99,6 +102,40 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_repeated_ids(spark):
+    """Documents of one id with different texts are documents of their own."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    a, b, c = ([word() for _ in range(80)] for _ in range(3))
+    near = lambda x: " ".join([*x[:-1], word()])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, near(c)), (9, near(c)), (9, " ".join(a)), (0, ""), (0, near(c)), (9, None)]
+    want = [1, 1, 1, 1, 1, 0, 0, 1, 0, 0, 9]
+    for ids in (rows, [(i + (1 << 62), t) for i, t in rows]):
+        df = spark.createDataFrame(ids, "doc_id long, text string")
+        got = duplicate_groups(df)
+        rows_ = sorted((r.id, r.n, r.component) for r in got.collect())
+        shift = ids[0][0] - 1
+        assert sorted((i, c) for i, _, c in rows_) == sorted((i, w + shift) for (i, _), w in zip(ids, want, strict=True))
+        assert len({r.group for r in got.collect() if r.group is not None}) == 3
+        assert all(r.kept == (r.doc_id == r.component_id) for r in near_duplicates(df).collect())
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """As without: copies, near copies and hubs of many rows, each dealt to several tasks."""
+    monkeypatch.setattr(_common.hot_keys, "__defaults__", (3, 1 << 40))
+    texts = corpus(4, 15) + [(100_000 + k, "one text that many rows share word by word") for k in range(40)]
+    got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts, 4)
+
+
+def test_salted_join(spark):
+    rows = spark.range(1000).select((F.col("id") % 7 % 3).alias("k"), F.col("id").alias("x"))
+    keyed = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (5, "d")], "k long, v string")
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
+    got = _common.salted_join(rows, keyed, ["k"], _common.hot_keys(counts, ["k"], 1000, least=50, most=100))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(keyed, "k").collect()))
+
+
 def test_query_against_brute_force(spark, sf):
     from axonframe.llm.queries import queries
 
