@@ -114,12 +114,13 @@ def counted(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(run, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, learn: Column, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, learn: Column, sample_docs: int = 2000, least: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows where ``learn`` holds and text and language are not null.
 
     The classifier is fitted on a bounded sample: about ``sample_docs`` rows a language, by a hash of the id. Of these
-    rows, all words and n-grams count, in whole texts; their counts come to the driver and go back to the tasks with the model,
-    so its size is bounded by the sample. No labelled row: a model without languages.
+    rows, in whole texts, the model has all words and n-grams seen ``least`` times or more in all languages together, with the counts
+    of every language; what was seen once only is as good as unseen, and shorter n-grams speak for it. The counts come to the driver
+    and go back to the tasks, so their size is bounded by the sample. No labelled row: a model without languages.
     """
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h"))
     size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
@@ -127,7 +128,8 @@ def train(docs: DataFrame, learn: Column, sample_docs: int = 2000, id_col: str =
     keep = F.lit(False)
     for lang, n in size.items():
         keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 31)) < F.lit(full * min(1.0, sample_docs / n))))
-    return Model(sorted(size), counted(rows.filter(keep)).toArrow())
+    items = counted(rows.filter(keep)).groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("counts")).filter(F.col("total") >= least)
+    return Model(sorted(size), items.select("kind", "item", F.explode("counts").alias("c")).select("c.lang", "kind", "item", "c.n").toArrow())
 
 
 def prediction(spark: SparkSession, model: Model, text_col: str = "text") -> Column:

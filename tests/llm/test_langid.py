@@ -59,8 +59,9 @@ def plain(rows, text):
             counts[0][w, lang] += 1
             for n in (4, 3, 2, 1):
                 counts[n].update((g, lang) for g in cut(w, n))
-    known = {n: {x for x, _ in c} for n, c in counts.items()}
-    total = {(n, lang): sum(v for (_, y), v in counts[n].items() if y == lang) + 0.5 * len(known[n]) for n in counts for lang in langs}
+    seen = {n: Counter(x for (x, _), v in c.items() for _ in range(v)) for n, c in counts.items()}
+    known = {n: {x for x, v in c.items() if v >= 2} for n, c in seen.items()}
+    total = {(n, lang): sum(v for (x, y), v in counts[n].items() if y == lang and x in known[n]) + 0.5 * len(known[n]) for n in counts for lang in langs}
     log = lambda n, x, lang: math.log((counts[n][x, lang] + 0.5) / total[n, lang])
     score = dict.fromkeys(langs, 0.0)
     found = words(text)
@@ -90,8 +91,8 @@ def test_against_a_plain_model(spark, sf):
         assert got[r.doc_id].score == pytest.approx(share, abs=1e-3)
 
 
-def test_every_count_of_the_sample_is_learned(spark):
-    rows = [("x", "shared alpha beta gamma")] * 60 + [("y", "shared delta")] * 3 + [("x", "solitary")] + [("y", "solitary")]
+def test_an_item_keeps_the_counts_of_every_language(spark):
+    rows = [("x", "shared alpha beta gamma")] * 60 + [("y", "shared delta")] * 3 + [("x", "solitary")] + [("y", "solitary")] + [("y", "once")]
     docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
     m = train(docs, F.lit(True))
     assert set(m.index[0]) == {"shared", "alpha", "beta", "gamma", "delta", "solitary"}
