@@ -51,10 +51,9 @@ def counts_of(docs: DataFrame, target_ids: list, bits: int, id_col: str, text_co
         for b in batches:
             for doc, text in zip(b.column(0), b.column(1), strict=True):
                 if (t := text.as_py()) and len(f := features(t, hashes, bits)):
-                    c = np.bincount(f, minlength=n)
-                    raw += c
+                    np.add.at(raw, f, 1)
                     if doc.as_py() in sent.value:
-                        target += c
+                        np.add.at(target, f, 1)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at], pa.int64()), pa.array(target[at], pa.int64())], ["bucket", "raw", "target"])
 
@@ -76,9 +75,9 @@ def log_weight(spark: SparkSession, ratio: np.ndarray, length: int, half: int, t
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes, r = Hashes(), sent.value
+        weight = lambda f: float(r[f].sum() * length / (len(f) + half))
         for texts in batches:
-            got = [r[features(t, hashes, bits)] if (t := x.as_py()) else r[:0] for x in texts]
-            yield pa.array([float(g.sum() * length / (len(g) + half)) for g in got], pa.float64())
+            yield pa.array([weight(features(t, hashes, bits)) if (t := x.as_py()) else 0.0 for x in texts], pa.float64())
 
     return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(F.col(text_col).cast("string"))
 
