@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from axonframe.llm import _common
 from axonframe.llm.hamming import masks, nearest_codes, segment_widths, top_k
 
 
@@ -29,6 +30,15 @@ def test_against_brute_force(spark, n, dims, hot):
     assert {tuple(r) for r in got.collect()} == brute(rows, 4, 10)
 
 
+def test_hot_segment_values_are_dealt(spark, monkeypatch):
+    """Many different codes with the same first half."""
+    monkeypatch.setattr(_common.hot_keys, "__defaults__", (5, 1 << 40))
+    rng = np.random.default_rng(1)
+    rows = [(i, [1.0] * 12 + rng.normal(size=12).tolist()) for i in range(120)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, every=10)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 4, 10)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, None, float("nan"), -1.0]), (0, [1.0, None, float("nan"), -1.0]), (10, None), (20, [1.0, 2.0, 3.0, 4.0]), (None, [1.0, 1.0, 1.0, 1.0]), (3, [float("inf"), -0.0, 0.0, 1.0])]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, id int, s0 string")
