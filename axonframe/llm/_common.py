@@ -65,14 +65,14 @@ def hot_keys(counts: DataFrame, on: list[str], total: int, least: int = 500, mos
     return F.broadcast(counts.filter(F.col("m") > share).select(*on, F.ceil(F.col("m") / share).cast("int").alias("parts")))
 
 
-def salted_join(rows: DataFrame, keyed: DataFrame, on: list[str], hot: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``rows`` joined with ``keyed``, which has one row a key, without a task that gets a hot key's rows.
+def salted_join(rows: DataFrame, keyed: DataFrame, on: list[str], hot: DataFrame, by: list[str] | None = None, hint: str | None = None) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key, or a few, without a task that gets a hot key's rows.
 
-    Rows of a key in ``hot`` (:func:`hot_keys`) are dealt by a hash (of the columns in ``by``, or of all) to its parts, and the key's row in ``keyed`` goes to each.
+    Rows of a key in ``hot`` (:func:`hot_keys`) are dealt by a hash (of the columns in ``by``, or of all) to its parts, and the key's row in ``keyed`` goes to each. ``hint``: of the join.
     """
     dealt = rows.join(hot, on, "left").withColumn("_part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*(by or rows.columns)), F.col("parts"))).cast("int")).drop("parts")
     each = keyed.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(each, [*on, "_part"]).drop("_part")
+    return dealt.join(each.hint(hint) if hint else each, [*on, "_part"]).drop("_part")
 
 
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, dropped, saved
+from ._common import components, dropped, hot_keys, salted_join, saved
 
 
 def _matrix(column: pa.Array | pd.Series, dims: int) -> np.ndarray:
@@ -104,14 +104,15 @@ def join_blocks(left: tuple, right: tuple | None, cosine: float, apart: int) ->
     return na, nb, edges
 
 
-def embedding_groups(vectors: DataFrame, cosine: float = 0.9, grid_dims: int = 8, fine: int = 4, block_rows: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def embedding_groups(vectors: DataFrame, cosine: float = 0.9, grid_dims: int = 8, fine: int = 4, block_rows: int = 32768, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each vector; links are pairs with a cosine of at least ``cosine``.
 
     Unit vectors with cosine c lie sqrt(2 - 2c) = epsilon apart.
     1. Equal vectors are one entry with a weight (its smallest id stands for it; equal vectors link with each other).
     2. Axes: principal directions of all entries (each task adds up outer products; the sum has dims^2 numbers). Cells on
        the ``grid_dims`` leading ones are epsilon / ``fine`` wide. A range partitioning sorts the entries by cells,
-       and is cut into blocks of at most ``block_rows``, written to the shared folder, so that blocks stay as they are.
+       and is cut into blocks of at most ``block_rows`` (smaller ones in a small table, which should still make eight),
+       written to the shared folder, so that blocks stay as they are. A vector is sent once for each block that its own one may be near to.
     3. Blocks are joined pairwise, each pair of blocks in a task of its own; those whose boxes are provably distant are
        dropped before any vector is sent. Inside, intervals of the sorted sequences are halved and skipped while
        provably distant, and what is left is one matrix product in double precision. Exact for every skip.
@@ -131,31 +132,27 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, grid_dims: int = 8
     # -0.0 and 0.0 are one value
     rows = saved(rows.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)))), "vectors")
     entries = saved(rows.filter("ok").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "entries")
-    out = []
+    spark, out = vectors.sparkSession, []
     sizes = [r.d for r in entries.select(F.size("v").alias("d")).distinct().collect()]  # one row a vector length
     for dims in sizes:
         out.append(_joined(entries.filter(F.size("v") == dims), dims, cosine, min(grid_dims, dims), fine, block_rows))
-    spark = vectors.sparkSession
-    counts = [x[0] for x in out]
-    forests = [x[1] for x in out]
-    if counts:
-        linked = counts[0]
-        forest = forests[0]
-        for c, f in zip(counts[1:], forests[1:], strict=True):
-            linked, forest = linked.union(c), forest.union(f)
-    else:
-        linked = spark.createDataFrame([], "rep long, links long")
-        forest = spark.createDataFrame([], "a long, b long")
-    comp = components(forest)
-    known = entries.select("v", F.col("id").alias("rep"), "n").join(linked.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    found = spark.createDataFrame([], "a long, b long, links long")
+    for x in out:
+        found = found.union(x)
+    comp = components(found.filter("links = 0").select("a", "b"))
+    linked = found.filter("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    known = entries.select("v", F.col("id").alias("rep"), "n").join(linked, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    good = rows.filter("ok").join(known, "v").select("id", "n_links", "component_id")
+    hot = hot_keys(entries.select("v", F.col("n").alias("m")), ["v"], rows.count())
+    good = salted_join(rows.filter("ok").select("id", "v"), known, ["v"], hot, ["id"]).select("id", "n_links", "component_id")
     alone = rows.filter("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return good.union(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    got = saved(good.union(alone), "groups")
+    dropped(rows, entries, *out)
+    return got.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _joined(entries: DataFrame, dims: int, cosine: float, grid: int, fine: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Link counts (``rep, links``) and forests (``a, b``) of entries of one length."""
+def _joined(entries: DataFrame, dims: int, cosine: float, grid: int, fine: int, block_rows: int) -> DataFrame:
+    """Of entries of one length: rows with ``links``, the link count of ``a``, and rows with ``links`` 0, the forests' edges ``a, b``."""
     spark = entries.sparkSession
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +177,9 @@ def _joined(entries: DataFrame, dims: int, cosine: float, grid: int, fine: int,
     cells = [f"g{k}" for k in range(grid)]
     turned = entries.select("id", "n", "v").mapInArrow(turn, "id long, n long, v array<double>, " + ", ".join(f"{c} int" for c in cells))
     turned = saved(turned, "turned")
-    parts = max(1, -(-turned.count() // block_rows))
+    n = turned.count()
+    block_rows = min(block_rows, max(2048, -(-n // 8)))
+    parts = max(1, -(-n // block_rows))
     ordered = turned.repartitionByRange(parts, *cells, "id").sortWithinPartitions(*cells, "id")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +246,7 @@ def _joined(entries: DataFrame, dims: int, cosine: float, grid: int, fine: int,
     schema = "a long, b long, links long"
     found = saved(sides.groupBy("x", "y").applyInPandas(joined, schema), "found")
     dropped(turned, ordered, boxed)
-    return found.filter("links > 0").select(F.col("a").alias("rep"), "links"), found.filter("links = 0").select("a", "b")
+    return found
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
