@@ -140,6 +140,18 @@ def chain_verdict(count: Column) -> Column:
     return F.when(count == 0, "broken").when(count < 50, "sparse").otherwise("present")
 
 
+def chain(matrix: DataFrame, links: list[tuple[str, list[int], list[int]]]) -> DataFrame:
+    """``link, ord, n, verdict`` of named links, each from some populations to some others, by :func:`population_matrix`.
+
+    Links hang on the stated table, not on the edges that are there, so one without any is broken and not missing.
+    """
+    pairs = [(name, k, p, q) for k, (name, a, b) in enumerate(links) for p in a for q in b]
+    stated = matrix.sparkSession.createDataFrame(pairs, "link string, ord long, pre_pop long, post_pop long")
+    found = matrix.select(F.col("pre_pop").cast("long").alias("pre_pop"), F.col("post_pop").cast("long").alias("post_pop"), "n")
+    out = F.broadcast(stated).join(found, ["pre_pop", "post_pop"], "left").groupBy("link", "ord").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+    return out.withColumn("verdict", chain_verdict(F.col("n")))
+
+
 def fan(edges: DataFrame, of: DataFrame) -> DataFrame:
     """``pop, edges_in, edges_out, strongest``: by population, with the largest single |w| that comes in."""
     into = edges.join(of.select(F.col("id").alias("post"), "pop"), "post").groupBy("pop").agg(F.count(F.lit(1)).alias("edges_in"), F.max(F.abs("w")).alias("strongest"))

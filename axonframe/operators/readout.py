@@ -81,13 +81,6 @@ def population_deviation(bins: DataFrame, by: list[str], cells: int, count: int,
     return s.select(*by, "mean_rate", F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("mean_rate") ** 2)).alias("sd_rate"))
 
 
-def sampled_pairs(cells: DataFrame, pairs: int, seed: str) -> DataFrame:
-    """``pair, a, b``: disjoint pairs of the cells that come first by hash; 2 * pairs cells at most."""
-    first = cells.select("neuron").orderBy(hash_key(seed, "neuron")).limit(2 * pairs)
-    nth = first.withColumn("k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(hash_key(seed, "neuron"))) - 1)
-    return nth.groupBy(F.floor(F.col("k") / 2).alias("pair")).agg(F.min("neuron").alias("a"), F.max("neuron").alias("b"), F.count(F.lit(1)).alias("c")).filter("c = 2").drop("c")
-
-
 #: Draws of :func:`distinct_pairs`: 300 of the 325 pairs of 26 cells, the tightest case, take some 900.
 PAIR_DRAWS = 20000
 

@@ -17,10 +17,7 @@ HEADING_WAVES, HEADING_OFFSET, HEADING_NOISE, HEADING_RANGE = ((0.5, 0.25, 0.0),
 #: Fixed values of the drive: a body-locked region's share of the world's slip, and the yaw drive's baseline.
 BODY_SLIP, YAW_BASELINE = 0.1, 0.12
 
-#: Arms: name, driven, patch strategy, share of the shuffled signal.
-ARMS = [("rest", False, "none", 0.0), ("self", True, "none", 0.0), ("flow", True, "body", 0.0), ("randmat", True, "random", 0.0), ("shuffle", True, "body", 0.5), ("decorr", True, "body", 1.0)]
-
-#: All arms of the reference, base, conflict and control: name, driven, patch strategy, share of the shuffled signal, factor of the drive, one draw for all cells.
+#: All arms, base, conflict and control: name, driven, patch strategy, share of the shuffled signal, factor of the drive, one draw for all cells.
 ALL_ARMS = [
     ("rest", False, "none", 0.0, 1.0, False), ("flow", True, "none", 0.0, 1.0, False), ("self", True, "body", 0.0, 1.0, False), ("shuffle", True, "random", 0.0, 1.0, False),
     ("randmat", True, "matched", 0.0, 1.0, False), ("decorr", True, "body", 1.0, 1.0, False), ("conf25", True, "body", 0.25, 1.0, False), ("conf50", True, "body", 0.5, 1.0, False),
@@ -33,11 +30,6 @@ def all_arms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, k, *x) for k, (n, *x) in enumerate(ALL_ARMS)], "arm string, ord long, driven boolean, patch string, alpha double, drive double, synch boolean")
 
 
-def arm_catalogue(spark: SparkSession) -> DataFrame:
-    """``arm, ord, driven, patch, alpha``."""
-    return spark.createDataFrame([(n, k, d, p, a) for k, (n, d, p, a) in enumerate(ARMS)], "arm string, ord int, driven boolean, patch string, alpha double")
-
-
 def steps(spark: SparkSession, trials: int, count: int) -> DataFrame:
     """``trial, step``: the spine of a run; trials are rows, steps are generated in the tasks."""
     return spark.range(trials).withColumnRenamed("id", "trial").withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))

@@ -21,13 +21,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
-
-
-def lifted(name: str, *swaps: tuple[str, str]) -> str:
-    """The SQL of a registered query with its limits lifted; each (old, new) must occur. The registered SQL stays as it is."""
-    sql = ORACLE[name]
-    for old, new in swaps:
-        if old not in sql:
-            raise ValueError(f"{name}: {old!r} isn't in its SQL")
-        sql = sql.replace(old, new)
-    return sql

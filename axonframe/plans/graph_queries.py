@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from axonframe.operators import graph as G
 from axonframe.operators import labels as L
 
-from .catalogue import lifted, query
+from .catalogue import query
 from .fixtures import COORDS, EVENT_GRAPH, SPARSE_GRAPH, SUPPLIERS, SUPPLY_GRAPH, coords, event_graph, sparse_graph, suppliers, supply_graph, table
 
 RULES = [("standard", 1), ("promo.*(brass|tin)", 2), ("econ", 3)]
@@ -158,14 +158,19 @@ def population_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("pre_pop").cast("long").alias("pre_pop"), F.col("post_pop").cast("long").alias("post_pop"), "n", "n_exc", "n_inh", _r("strength"), G.chain_verdict(F.col("n")).alias("verdict"))
 
 
-@query(f"WITH {_POPS} SELECT pre_pop::BIGINT AS pre_pop, post_pop::BIGINT AS post_pop, count(*) AS n FROM sw GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 8")
-def top_pathways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.population_matrix(*_pops(spark, sf_dir)).select(F.col("pre_pop").cast("long").alias("pre_pop"), F.col("post_pop").cast("long").alias("post_pop"), "n").orderBy(F.desc("n"), "pre_pop", "post_pop").limit(8)
+#: Links of a chain that should be there: name, sending and receiving populations; no supplier sends to another, and no population 13 exists.
+CHAIN = [("home to plain", [0], [10]), ("home to standard", [0], [11]), ("abroad to standard", [1, 2, 3, 4], [11]), ("abroad to promo", [1, 2, 3, 4], [12]), ("within home", [0], [0]), ("to the missing", [0, 1, 2, 3, 4], [13]), ("back", [10, 11, 12], [0, 1, 2, 3, 4])]
+
 
+@query(f"""WITH {_POPS}, li(link, ord, pre_pops, post_pops) AS (VALUES {', '.join(f"('{n}', {k}::BIGINT, {a}, {b})" for k, (n, a, b) in enumerate(CHAIN))})
+SELECT link, ord, n, CASE WHEN n >= 50 THEN 'present' WHEN n > 0 THEN 'sparse' ELSE 'broken' END AS verdict FROM (SELECT link, ord, (SELECT count(*) FROM sw WHERE list_contains(pre_pops, pre_pop) AND list_contains(post_pops, post_pop)) AS n FROM li)""")
+def pathway_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named chain link by link; a link without an edge is broken."""
+    return G.chain(G.population_matrix(*_pops(spark, sf_dir)), CHAIN)
 
-@query(lifted("top_pathways", ("LIMIT 8", "LIMIT 24")))
-def top_pathways_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top 24; ``top_pathways`` is the short form that its fixed SQL describes."""
+
+@query(f"WITH {_POPS} SELECT pre_pop::BIGINT AS pre_pop, post_pop::BIGINT AS post_pop, count(*) AS n FROM sw GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 24")
+def top_pathways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.population_matrix(*_pops(spark, sf_dir)).select(F.col("pre_pop").cast("long").alias("pre_pop"), F.col("post_pop").cast("long").alias("post_pop"), "n").orderBy(F.desc("n"), "pre_pop", "post_pop").limit(24)
 
 
@@ -277,15 +282,8 @@ def spmv_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.spread_step(e.filter("pre % 6 = 0").select(F.col("pre").alias("id")), e).select("id", _r("drive"))
 
 
-@query(f"WITH {COORDS} SELECT a.id, b.id AS other, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS d FROM co a JOIN co b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.02 WHERE b.id % 3 = 0")
+@query(f"WITH {COORDS} SELECT a.id, b.id AS other, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS d FROM co a JOIN co b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.02 WHERE a.id <> b.id")
 def proximity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = coords(spark, sf_dir)
-    return G.near(p, p.filter("id % 3 = 0"), 0.02).select("id", "other", _r("d"))
-
-
-@query(lifted("proximity_join", ("WHERE b.id % 3 = 0", "WHERE a.id <> b.id")))
-def proximity_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All points with all others; ``proximity_join`` is the short form that its fixed SQL describes."""
     p = coords(spark, sf_dir)
     return G.near(p, p, 0.02).filter("id <> other").select("id", "other", _r("d"))
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonframe.operators import labels as L
+from axonframe.sources.tables import shared_dir
 from axonframe.streaming import live as V
 
-from .catalogue import lifted, query
+from .catalogue import query
 from .fixtures import COORDS, coords, table
 
 BLOCK = 6 * 3600
@@ -35,8 +35,7 @@ def tumbling_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="axonframe-")
-    return f"{named}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT * FROM ({_BLOCKS}) WHERE start + {BLOCK} <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events) / 1000")
@@ -97,16 +96,9 @@ def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("key", L.dominant([("view", "v"), ("click", "c"), ("purchase", "p")], "none").alias("lead"), L.ladder("v", [(60.0, "excited"), (45.0, "busy")], "calm").alias("mood"), F.round(squash(F.coalesce("v", F.lit(0.0))), 6).alias("squashed"))
 
 
-@query(f"""WITH {COORDS}, p AS (SELECT a.id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, floor((degrees(atan2(b.y - a.y, b.x - a.x)) + 120) / 15) AS ray FROM co a JOIN co b ON a.id <> b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.05 WHERE a.id % 5 = 0)
+@query(f"""WITH {COORDS}, p AS (SELECT a.id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, floor((degrees(atan2(b.y - a.y, b.x - a.x)) + 120) / 15) AS ray FROM co a JOIN co b ON a.id <> b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.05)
 SELECT id, ray::BIGINT AS ray, count(*) AS seen, round(min(d), 6) AS nearest FROM p WHERE ray >= 0 AND ray < 16 GROUP BY 1, 2""")
 def sight_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = coords(spark, sf_dir)
-    return V.sight(p.filter("id % 5 = 0"), p, reach=0.05).select("id", F.col("ray").cast("long").alias("ray"), "seen", *_r("nearest"))
-
-
-@query(lifted("sight_rays", (" WHERE a.id % 5 = 0", "")))
-def sight_rays_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every point as a viewer; ``sight_rays`` is the short form that its fixed SQL describes."""
     p = coords(spark, sf_dir)
     return V.sight(p, p, reach=0.05).select("id", F.col("ray").cast("long").alias("ray"), "seen", *_r("nearest"))
 

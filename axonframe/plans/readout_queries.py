@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from axonframe.operators import readout as R
 from axonframe.operators import stimulus as S
 
-from .catalogue import lifted, query
+from .catalogue import query
 from .fixtures import SPIKES, event_graph, spikes, table
 
 DAY = 86400.0
@@ -69,16 +69,6 @@ def population_rate_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.population_deviation(_bins(spark, sf_dir), ["arm"], 100, DAYS, 1.0).select("arm", *_r("mean_rate", "sd_rate"))
 
 
-@query(f"""WITH {_BINS}, fi AS (SELECT DISTINCT neuron, md5('pairs|' || neuron) AS h FROM sk), k AS (SELECT neuron, row_number() OVER (ORDER BY h) - 1 AS k FROM fi ORDER BY h LIMIT 60),
-pa AS (SELECT k // 2 AS pair, min(neuron) AS a, max(neuron) AS b FROM k GROUP BY 1 HAVING count(*) = 2), sp AS (SELECT arm, pair, bin FROM (SELECT DISTINCT arm FROM sk), pa, (SELECT unnest(range({DAYS})) AS bin)),
-xy AS (SELECT sp.arm, pair, coalesce(x.n, 0)::DOUBLE AS x, coalesce(y.n, 0)::DOUBLE AS y FROM sp JOIN pa USING (pair) LEFT JOIN bi x ON x.arm = sp.arm AND x.neuron = a AND x.bin = sp.bin LEFT JOIN bi y ON y.arm = sp.arm AND y.neuron = b AND y.bin = sp.bin)
-SELECT arm, pair, round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), 6) AS r FROM xy GROUP BY arm, pair HAVING sum(x) + sum(y) > 0""")
-def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bins(spark, sf_dir)
-    pairs = R.sampled_pairs(spikes(spark, sf_dir).select("neuron").distinct(), 30, "pairs")
-    return R.pair_correlations(b, pairs, DAYS).select("arm", F.col("pair").cast("long").alias("pair"), *_r("r"))
-
-
 PAIRS = 300
 
 
@@ -92,8 +82,8 @@ ch AS (SELECT 0 AS j, x.neuron AS a, y.neuron AS b FROM k x JOIN k y ON x.k < y.
 pa AS (SELECT row_number() OVER (ORDER BY j, a, b) - 1 AS pair, a, b FROM ch), sp AS (SELECT arm, pair, a, b, bin FROM (SELECT DISTINCT arm FROM sk), pa, (SELECT unnest(range({DAYS})) AS bin)),
 xy AS (SELECT sp.arm, pair, coalesce(x.n, 0)::DOUBLE AS x, coalesce(y.n, 0)::DOUBLE AS y FROM sp LEFT JOIN bi x ON x.arm = sp.arm AND x.neuron = a AND x.bin = sp.bin LEFT JOIN bi y ON y.arm = sp.arm AND y.neuron = b AND y.bin = sp.bin)
 SELECT arm, pair, round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), 6) AS r FROM xy GROUP BY arm, pair HAVING sum(x) + sum(y) > 0""")
-def pair_correlation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over 300 distinct pairs, or all where there are fewer; ``pair_correlation`` is the short form that its fixed SQL describes."""
+def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over 300 distinct pairs, or all where there are fewer."""
     pairs = R.distinct_pairs(spikes(spark, sf_dir).select("neuron").distinct(), PAIRS, "pairs")
     return R.pair_correlations(_bins(spark, sf_dir), pairs, DAYS).select("arm", "pair", *_r("r"))
 
@@ -101,41 +91,25 @@ def pair_correlation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SERIES = _BINS + f", se AS (SELECT arm, bin, coalesce(s, 0)::DOUBLE AS x FROM (SELECT arm, bin FROM (SELECT DISTINCT arm FROM bi), (SELECT unnest(range({DAYS})) AS bin)) LEFT JOIN (SELECT arm, bin, sum(n) AS s FROM bi GROUP BY 1, 2) USING (arm, bin))"
 
 
+LAGS = min(30, DAYS // 2)  #: lags below it count
+
+
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_series(_bins(spark, sf_dir), ["arm"], DAYS)
 
 
 @query(f"""WITH {_SERIES}, d AS (SELECT arm, bin, x - avg(x) OVER (PARTITION BY arm) AS x FROM se), v AS (SELECT arm, sum(x * x) AS v FROM d GROUP BY 1),
-ac AS (SELECT a.arm, b.bin - a.bin AS lag, sum(a.x * b.x) / any_value(v) AS acf FROM d a JOIN d b ON a.arm = b.arm AND b.bin - a.bin BETWEEN 0 AND 10 JOIN v ON v.arm = a.arm GROUP BY 1, 2)
+ac AS (SELECT a.arm, b.bin - a.bin AS lag, sum(a.x * b.x) / any_value(v) AS acf FROM d a JOIN d b ON a.arm = b.arm AND b.bin - a.bin BETWEEN 0 AND {LAGS - 1} JOIN v ON v.arm = a.arm GROUP BY 1, 2)
 SELECT arm, round(sum(greatest(0, acf)) * 0.5, 6) AS tau FROM ac GROUP BY arm""")
 def autocorr_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.autocorrelation_time(_series(spark, sf_dir), ["arm"], 0.5, 10).select("arm", *_r("tau"))
-
-
-LAGS = min(30, DAYS // 2)
-
-
-@query(lifted("autocorr_time", ("BETWEEN 0 AND 10 ", f"BETWEEN 0 AND {LAGS - 1} ")))
-def autocorr_time_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all lags below min(30, bins / 2); ``autocorr_time`` is the short form that its fixed SQL describes."""
     return R.autocorrelation_time(_series(spark, sf_dir), ["arm"], 0.5, LAGS - 1).select("arm", *_r("tau"))
 
 
-_COV = [(i, j) for i in range(8) for j in range(i, 8)]
-
-
-@query(f"""WITH c AS (SELECT label, {', '.join(f'covar_pop(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE) AS c{i}_{j}' for i, j in _COV)} FROM embeddings GROUP BY label)
-SELECT label::BIGINT AS label, round(pow({' + '.join(f'c{i}_{i}' for i in range(8))}, 2) / nullif({' + '.join(f'{1 if i == j else 2} * c{i}_{j} * c{i}_{j}' for i, j in _COV)}, 0), 6) AS ratio FROM c""")
-def participation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), "embedding")
-    return R.participation_ratio(e, ["label"], [F.get("embedding", F.lit(k)) for k in range(8)]).select("label", *_r("ratio"))
-
-
 @query("""WITH e AS (SELECT row_number() OVER () AS k, label, embedding FROM embeddings WHERE embedding IS NOT NULL), u AS (SELECT k, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM e),
 c AS (SELECT a.label, a.i, b.i AS j, covar_pop(a.x, b.x) AS c FROM u a JOIN u b ON a.k = b.k GROUP BY ALL)
 SELECT label::BIGINT AS label, round(pow(sum(c) FILTER (i = j), 2) / nullif(sum(c * c), 0), 6) AS ratio FROM c GROUP BY label""")
-def participation_ratio_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the whole vector; ``participation_ratio`` is the short form that its fixed SQL describes."""
+def participation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the whole vector."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), "embedding")
     return R.vector_participation_ratio(e, ["label"], "embedding").select("label", *_r("ratio"))
 
@@ -282,16 +256,11 @@ def volley_responders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.responders(spikes(spark, sf_dir), ["arm"], 0.0, DAY * 2)
 
 
-@query("SELECT ord::BIGINT AS ord, arm, driven, patch, alpha FROM (VALUES (0, 'rest', false, 'none', 0.0::DOUBLE), (1, 'self', true, 'none', 0.0), (2, 'flow', true, 'body', 0.0), (3, 'randmat', true, 'random', 0.0), (4, 'shuffle', true, 'body', 0.5), (5, 'decorr', true, 'body', 1.0)) a(ord, arm, driven, patch, alpha)")
-def arm_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.arm_catalogue(spark).withColumn("ord", F.col("ord").cast("long"))
-
-
 @query("""SELECT * FROM (VALUES ('rest', 0::BIGINT, false, 'none', 0.0::DOUBLE, 1.0::DOUBLE, false), ('flow', 1, true, 'none', 0.0, 1.0, false), ('self', 2, true, 'body', 0.0, 1.0, false), ('shuffle', 3, true, 'random', 0.0, 1.0, false),
 ('randmat', 4, true, 'matched', 0.0, 1.0, false), ('decorr', 5, true, 'body', 1.0, 1.0, false), ('conf25', 6, true, 'body', 0.25, 1.0, false), ('conf50', 7, true, 'body', 0.5, 1.0, false),
 ('conf75', 8, true, 'body', 0.75, 1.0, false), ('drive0.5', 9, true, 'none', 0.0, 0.5, false), ('drive1.5', 10, true, 'none', 0.0, 1.5, false), ('synch', 11, true, 'none', 0.0, 1.0, true)) a(arm, ord, driven, patch, alpha, drive, synch)""")
-def arm_catalogue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All twelve arms; ``arm_catalogue`` is the short form that its fixed SQL describes."""
+def arm_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve arms."""
     return S.all_arms(spark)
 
 

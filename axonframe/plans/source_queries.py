@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,7 @@ from .fixtures import coords, event_graph, table, trials
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="axonframe-")
-    return f"{named}/{name}-{uuid.uuid4().hex}"
+    return f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_type AS arm, event_id % 10 AS trial, count(*)::DOUBLE AS n, round(avg(value), 6) AS mean_value, NULL::DOUBLE AS absent FROM events GROUP BY 1, 2")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from axonframe.functions.exprs import exclusive_quantiles
 from axonframe.operators import stats as S
 
-from .catalogue import lifted, query
+from .catalogue import query
 from .fixtures import LONG, TRIALS, long_trials, trials
 
 ARMS = ["click", "error", "purchase", "signup", "view"]
@@ -99,38 +99,28 @@ def pair_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.with_p_values(_contrasts(spark, sf_dir)[1]).select("metric", "a", "b", "diff", "diff_lo", "diff_hi")
 
 
-@query(f"""WITH {_PAIR}, p AS (SELECT metric, a, b, 2 / (1 + exp(1.702 * abs(t))) AS p FROM pc WHERE t IS NOT NULL AND 'view' IN (a, b)),
-h AS (SELECT *, least(1, (count(*) OVER (PARTITION BY metric) - row_number() OVER (PARTITION BY metric ORDER BY p, a, b) + 1) * p) AS raised FROM p)
-SELECT metric, a, b, round(p, 9) AS p, round(max(raised) OVER (PARTITION BY metric ORDER BY p, a, b ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM h""")
+@query(f"""WITH {_PAIR}, p AS (SELECT metric, a, b, greatest(0, 1 - 2 * {_half_t('t', 'df')}) AS p FROM pc WHERE t IS NOT NULL AND df IS NOT NULL AND 'view' IN (a, b)),
+h AS (SELECT *, least(1, (count(*) OVER (PARTITION BY metric) - row_number() OVER (PARTITION BY metric ORDER BY round(p, 12), a, b) + 1) * p) AS raised FROM p)
+SELECT metric, a, b, round(p, 8) AS p, round(max(raised) OVER (PARTITION BY metric ORDER BY round(p, 12), a, b ROWS UNBOUNDED PRECEDING), 8) AS p_holm FROM h""")
 def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, c = _contrasts(spark, sf_dir)
-    c = c.filter("t is not null and (a = 'view' or b = 'view')").withColumn("p", 2 / (1 + F.exp(1.702 * F.abs("t"))))  # the logistic curve for the normal one
-    return S.holm(c, ["metric"], "p", ["a", "b"]).select("metric", "a", "b", *_r("p", "p_holm", digits=9))
+    """Holm's correction of Welch's p over the contrasts with one arm."""
+    c = S.with_p_values(_contrasts(spark, sf_dir)[1].filter("a = 'view' or b = 'view'")).filter("p is not null").withColumn("p12", F.round("p", 12))
+    return S.holm(c, ["metric"], "p12", ["a", "b"]).select("metric", "a", "b", *_r("p", "p_holm", digits=8))
 
 
+PERMUTATIONS, TREND_PERMUTATIONS = 4000, 2000
 _DRAW = "md5(concat_ws('|', 'perm', j, metric, a, b, arm, trial))"
 
 
-@query(f"""WITH {LONG}, pp AS (SELECT metric, x.arm AS a, 'view' AS b FROM (SELECT DISTINCT metric, arm FROM lo WHERE arm <> 'view' AND metric = 'mean_value') x),
+@query(f"""WITH {LONG}, pp AS (SELECT metric, x.arm AS a, 'view' AS b FROM (SELECT DISTINCT metric, arm FROM lo WHERE arm <> 'view') x),
 pv AS (SELECT pp.metric, a, b, arm, trial, value, arm = a AS f FROM pp JOIN lo ON lo.metric = pp.metric AND arm IN (a, b)),
 se AS (SELECT metric, a, b, avg(value) FILTER (f) - avg(value) FILTER (NOT f) AS diff, count(*) FILTER (f) AS na FROM pv GROUP BY 1, 2, 3),
-pr AS (SELECT *, row_number() OVER (PARTITION BY metric, a, b, j ORDER BY {_DRAW}) AS nth FROM pv, (SELECT unnest(range(1, 201)) AS j)),
+pr AS (SELECT *, row_number() OVER (PARTITION BY metric, a, b, j ORDER BY {_DRAW}) AS nth FROM pv, (SELECT unnest(range(1, {PERMUTATIONS + 1})) AS j)),
 ea AS (SELECT metric, a, b, j, diff, avg(value) FILTER (nth <= na) - avg(value) FILTER (nth > na) AS d FROM pr JOIN se USING (metric, a, b) GROUP BY ALL)
-SELECT metric, a, b, round(diff, 6) AS diff, count(*) FILTER (abs(d) >= abs(diff) - 1e-12) AS hits, round((count(*) FILTER (abs(d) >= abs(diff) - 1e-12) + 1) / 201.0::DOUBLE, 9) AS p FROM ea GROUP BY metric, a, b, diff""")
+SELECT metric, a, b, round(diff, 6) AS diff, count(*) FILTER (abs(d) >= abs(diff) - 1e-12) AS hits, round((count(*) FILTER (abs(d) >= abs(diff) - 1e-12) + 1) / {PERMUTATIONS + 1}.0::DOUBLE, 9) AS p FROM ea GROUP BY metric, a, b, diff""")
 def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = long_trials(spark, sf_dir).filter("metric = 'mean_value'")
-    v = S.pooled_values(long, S.arm_pairs(S.moments(long), "view"))
-    return S.permutation_test(v, 200, "perm").select("metric", "a", "b", *_r("diff"), "hits", *_r("p", digits=9))
-
-
-PERMUTATIONS, TREND_PERMUTATIONS = 4000, 2000
-
-
-@query(lifted("permutation_p", (" AND metric = 'mean_value'", ""), ("range(1, 201)", f"range(1, {PERMUTATIONS + 1})"), ("201.0", f"{PERMUTATIONS + 1}.0")))
-def permutation_p_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every metric at 4000 relabellings; ``permutation_p`` is the short form that its fixed SQL describes."""
-    long = long_trials(spark, sf_dir)
-    v = S.pooled_values(long, S.arm_pairs(S.moments(long), "view"))
+    """Every metric at 4000 relabellings."""
+    v = S.pooled_values(long_trials(spark, sf_dir), S.arm_pairs(S.moments(long_trials(spark, sf_dir)), "view"))
     return S.permutation_test(v, PERMUTATIONS, "perm").select("metric", "a", "b", *_r("diff"), "hits", *_r("p", digits=9))
 
 
@@ -162,12 +152,12 @@ _BF = f"""list_sum(list_transform(range(4001), lambda i: (CASE WHEN i IN (0, 400
 
 
 @query(f"""WITH {_PAIR}, q AS (SELECT *, diff / nullif(sp * sqrt(1 / na + 1 / nb), 0) AS ts FROM pc WHERE 'view' IN (a, b))
-SELECT metric, a, b, round(ts, 6) AS t, round(bf, 6) AS bf10, round(1 / bf, 6) AS bf01 FROM (SELECT *, {_BF} AS bf FROM q WHERE abs(ts) < 4)""")
+SELECT metric, a, b, round(ts, 6) AS t, round(log10(bf), 6) AS log10_bf10, round(-log10(bf), 6) AS log10_bf01 FROM (SELECT *, {_BF} AS bf FROM q WHERE ts IS NOT NULL)""")
 def bayes_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, c = _contrasts(spark, sf_dir)
     t = F.col("diff") / F.nullif(F.col("pooled_sd") * F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b")), F.lit(0.0))
-    c = c.filter("a = 'view' or b = 'view'").withColumn("t", t).filter("abs(t) < 4").withColumn("bf10", S.bayes_factor(F.col("t"), F.col("n_a"), F.col("n_b")))
-    return c.select("metric", "a", "b", *_r("t", "bf10"), F.round(1 / F.col("bf10"), 6).alias("bf01"))
+    c = c.filter("a = 'view' or b = 'view'").withColumn("t", t).filter("t is not null").withColumn("bf10", S.bayes_factor(F.col("t"), F.col("n_a"), F.col("n_b")))
+    return c.select("metric", "a", "b", *_r("t"), F.round(F.log10("bf10"), 6).alias("log10_bf10"), F.round(-F.log10("bf10"), 6).alias("log10_bf01"))
 
 
 _TREND = LONG + """, pt AS (SELECT metric, arm, trial, value, CASE arm WHEN 'view' THEN 0 WHEN 'click' THEN 0.25 WHEN 'signup' THEN 0.5 WHEN 'purchase' THEN 0.75 ELSE 1 END::DOUBLE AS x FROM lo),
@@ -184,19 +174,12 @@ def spearman_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.trend(_dose(spark, sf_dir), ["metric"], "x", "value").select("metric", "n", *_r("rho", "slope"))
 
 
-@query(f"""WITH {_TREND}, js AS (SELECT *, row_number() OVER (PARTITION BY metric, j ORDER BY arm, trial) AS at, row_number() OVER (PARTITION BY metric, j ORDER BY md5(concat_ws('|', 'trend', j, metric, arm, trial))) AS to_ FROM tr2, (SELECT unnest(range(101)) AS j) WHERE metric IN ('n', 'mean_value')),
+@query(f"""WITH {_TREND}, js AS (SELECT *, row_number() OVER (PARTITION BY metric, j ORDER BY arm, trial) AS at, row_number() OVER (PARTITION BY metric, j ORDER BY md5(concat_ws('|', 'trend', j, metric, arm, trial))) AS to_ FROM tr2, (SELECT unnest(range({TREND_PERMUTATIONS + 1})) AS j)),
 rh AS (SELECT l.metric, l.j, covar_samp(l.rx, r.ry) / nullif(stddev_samp(l.rx) * stddev_samp(r.ry), 0) AS rho FROM js l JOIN js r ON l.metric = r.metric AND l.j = r.j AND l.at = CASE WHEN r.j = 0 THEN r.at ELSE r.to_ END GROUP BY 1, 2)
-SELECT p.metric, round(s.rho, 6) AS rho, round((count(*) FILTER (abs(p.rho) >= abs(s.rho) - 1e-12) + 1) / 101.0::DOUBLE, 9) AS p FROM rh p JOIN rh s ON p.metric = s.metric AND s.j = 0 WHERE p.j > 0 GROUP BY 1, s.rho""")
+SELECT p.metric, round(s.rho, 6) AS rho, round((count(*) FILTER (abs(p.rho) >= abs(s.rho) - 1e-12) + 1) / {TREND_PERMUTATIONS + 1}.0::DOUBLE, 9) AS p FROM rh p JOIN rh s ON p.metric = s.metric AND s.j = 0 WHERE p.j > 0 GROUP BY 1, s.rho""")
 def trend_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _dose(spark, sf_dir).filter("metric in ('n', 'mean_value')")
-    return S.trend_permutation_p(d, ["metric"], "x", "value", ["arm", "trial"], 100, "trend").select("metric", *_r("rho"), *_r("p", digits=9))
-
-
-@query(lifted("trend_permutation", (" WHERE metric IN ('n', 'mean_value')", ""), ("range(101)", f"range({TREND_PERMUTATIONS + 1})"), ("101.0", f"{TREND_PERMUTATIONS + 1}.0")))
-def trend_permutation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every metric at 2000 permutations; ``trend_permutation`` is the short form that its fixed SQL describes."""
-    d = _dose(spark, sf_dir)
-    return S.trend_permutation_p(d, ["metric"], "x", "value", ["arm", "trial"], TREND_PERMUTATIONS, "trend").select("metric", *_r("rho"), *_r("p", digits=9))
+    """Every metric at 2000 permutations."""
+    return S.trend_permutation_p(_dose(spark, sf_dir), ["metric"], "x", "value", ["arm", "trial"], TREND_PERMUTATIONS, "trend").select("metric", *_r("rho"), *_r("p", digits=9))
 
 
 @query(f"WITH {_MOM} SELECT metric, {', '.join(f'''round(max(mean) FILTER (arm = '{a}'), 6) AS \"{a}\"''' for a in ARMS)} FROM mo GROUP BY metric")

@@ -5,17 +5,27 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster shares (``spark.checkpoint.dir``); one of our own only where none is named."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, ``spark.checkpoint.dir``; a temporary one only on a single machine that names none."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="axonframe-")
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="axonframe-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that the cluster shares (:func:`shared_dir`)."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -31,7 +41,7 @@ def read_trials(spark: SparkSession, path: str, keys: dict[str, str] | None = No
     Blank is null (not computed), NaN stays NaN (computed but undefined); metrics are doubles, keys as given.
     """
     keys = keys or {"arm": "string", "trial": "int"}
-    text = spark.read.option("header", True).option("comment", "#").csv(path)
+    text = spark.read.option("header", True).option("comment", "#").option("escape", '"').option("multiLine", True).csv(path)
     return text.select(*[F.col(f"`{c}`").cast(keys[c]).alias(c) if c in keys else F.expr(f"try_cast(`{c}` as double)").alias(c) for c in text.columns])
 
 
@@ -114,11 +124,19 @@ def append_log(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).alias("value")).write.mode("append").text(path)
 
 
+def _quoted(text: str) -> str:
+    return '"' + text.replace('"', '""') + '"' if any(c in text for c in ',"\r\n#') else text
+
+
+def quoted(c: Column) -> Column:
+    """A CSV cell: in quotes, with its own doubled, where it holds a comma, a quote, a line end or ``#``; null is blank."""
+    return F.when(c.isNull(), "").when(c.rlike('[,"\r\n#]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
 def write_summary(df: DataFrame, path: str, facts: dict[str, object]) -> None:
     """A small table as one CSV file under lines ``# key,value``; read it back with :func:`read_trials`."""
-    head = df.sparkSession.createDataFrame([(k, f"# {n},{v}") for k, (n, v) in enumerate(facts.items())] + [(len(facts), ",".join(df.columns))], "k int, value string")
-    cells = [F.when(F.col(f"`{c}`").isNull(), "").otherwise(F.col(f"`{c}`").cast("string")) for c in df.columns]
-    body = df.select(F.lit(len(facts) + 1).alias("k"), F.concat_ws(",", *cells).alias("value"))
+    head = df.sparkSession.createDataFrame([(k, f"# {n},{v}") for k, (n, v) in enumerate(facts.items())] + [(len(facts), ",".join(map(_quoted, df.columns)))], "k int, value string")
+    body = df.select(F.lit(len(facts) + 1).alias("k"), F.concat_ws(",", *[quoted(F.col(f"`{c}`").cast("string")) for c in df.columns]).alias("value"))
     head.union(body).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
 
 
@@ -134,8 +152,11 @@ def write_csv(df: DataFrame, path: str, legend: dict[str, str] | None = None) ->
         df.sparkSession.createDataFrame(sorted(legend.items()), "column string, meaning string").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path.rstrip('/')}-legend")
 
 
-def markdown(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
+def markdown(df: DataFrame, digits: int = 4, most: int = 10_000) -> str:
+    """A small result as a Markdown table; one of over ``most`` rows is refused, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no table to be read; write them to a file")
     show = lambda v: "" if v is None else f"{v:.{digits}g}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in df.limit(most).collect()])
+    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows])

@@ -94,9 +94,9 @@ def test_pair_queries_take_all_points(spark):
 
     p = [tuple(r) for r in coords(spark, "/root/testdata/sf0.01").select("id", "x", "y").collect()]
     d = {(a, b): ((x - u) ** 2 + (y - v) ** 2) ** 0.5 for a, x, y in p for b, u, v in p if a != b}
-    got = QUERIES["proximity_join_all"](spark, "/root/testdata/sf0.01").collect()
+    got = QUERIES["proximity_join"](spark, "/root/testdata/sf0.01").collect()
     assert {(r.id, r.other) for r in got} == {k for k, v in d.items() if v <= 0.02} and any(r.other % 3 for r in got)
-    seen = QUERIES["sight_rays_all"](spark, "/root/testdata/sf0.01").collect()
+    seen = QUERIES["sight_rays"](spark, "/root/testdata/sf0.01").collect()
     assert {r.id % 5 for r in seen} == set(range(5))
     assert 0 < sum(r.seen for r in seen) <= sum(v <= 0.05 for v in d.values())
 
@@ -105,4 +105,4 @@ def test_top_pathways_go_beyond_eight(spark):
     from axonframe.plans.all import QUERIES
 
     every = QUERIES["population_matrix"](spark, "/root/testdata/sf0.001").count()
-    assert QUERIES["top_pathways_all"](spark, "/root/testdata/sf0.001").count() == min(24, every) > 8
+    assert QUERIES["top_pathways"](spark, "/root/testdata/sf0.001").count() == min(24, every) > 8

@@ -106,9 +106,9 @@ def test_permutations_cover_every_metric(spark):
     from axonframe.plans.all import QUERIES
     from axonframe.plans.fixtures import METRICS
 
-    p = QUERIES["permutation_p_all"](spark, "/root/testdata/sf0.001").collect()
+    p = QUERIES["permutation_p"](spark, "/root/testdata/sf0.001").collect()
     assert {(r.metric, r.a) for r in p} == {(m, a) for m in METRICS for a in ("click", "error", "purchase", "signup")}
     assert all(r.p == round((r.hits + 1) / 4001, 9) for r in p)
-    t = QUERIES["trend_permutation_all"](spark, "/root/testdata/sf0.001").collect()
+    t = QUERIES["trend_permutation"](spark, "/root/testdata/sf0.001").collect()
     assert {r.metric for r in t} == set(METRICS)
     assert all(abs(r.p * 2001 - round(r.p * 2001)) < 1e-4 for r in t)
