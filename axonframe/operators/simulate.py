@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,8 +65,12 @@ def stream_of(*key: object) -> np.random.Generator:
 class Network:
     """State of one trial; all cells a step at once."""
 
-    def __init__(self, circuit: Circuit, m: Membrane = Membrane()) -> None:  # noqa: B008
+    def __init__(self, circuit: Circuit, m: Membrane = Membrane(), ready: np.ndarray | None = None) -> None:  # noqa: B008
+        """``ready``: cells without a refractory time."""
         self.c, self.m = circuit, m
+        self.refractory = np.full(circuit.n, m.refractory, dtype=np.float32)
+        if ready is not None:
+            self.refractory[ready] = 0
         n = circuit.n
         self.v = np.full(n, m.rest, dtype=np.float32)
         self.g = np.zeros(n, dtype=np.float32)
@@ -91,7 +94,7 @@ class Network:
         rests = ~still & ~fires
         self.v[rests] = np.maximum(v[rests], np.float32(m.floor))
         self.g[rests] *= self.decay
-        self.v[fires], self.g[fires], self.wait[fires] = m.reset, 0, m.refractory
+        self.v[fires], self.g[fires], self.wait[fires] = m.reset, 0, self.refractory[fires]
         fired = np.flatnonzero(fires)
         if len(fired):
             first, last = self.c.offsets[fired], self.c.offsets[fired + 1]
@@ -120,41 +123,63 @@ class Loop:
         return self.heading
 
 
-def run_trials(plan: DataFrame, circuit: Circuit, pool: np.ndarray, seconds: float, seed: str = "lif", max_hz: float = 150.0, resting: float = 0.0, membrane: Membrane = Membrane(), loop_sides: tuple[np.ndarray, np.ndarray] | None = None, loop_bin: int = 20, second: np.ndarray | None = None, second_hz: float = 0.0) -> DataFrame:  # noqa: B008
-    """``arm, trial, neuron, t`` (ms): spikes of a trial for each row of ``plan``.
+#: Fixed values of the rotation drive: a cell's level without its preferred rotation.
+YAW_BASELINE = 0.12
+
+
+def run_trials(
+    plan: DataFrame, circuit: Circuit, pool: np.ndarray, seconds: float, seed: str = "lif", max_hz: float = 150.0, resting: float = 0.0, membrane: Membrane = Membrane(), loop_sides: tuple[np.ndarray, np.ndarray] | None = None, loop_bin: int = 20,  # noqa: B008
+    second: np.ndarray | None = None, second_hz: float = 0.0, pools: dict[str, np.ndarray] | None = None, resting_events: float | None = None, always_ready: bool = False, preferred: np.ndarray | None = None,
+) -> DataFrame:
+    """``arm, trial, neuron, t`` (ms): spikes of a trial for each row of ``plan``; with negative neurons, -1 - cell, the injected events of the pool.
 
     ``plan``: ``arm, trial, drive`` (level of the pool's stimulation, 0 to 1), ``patch`` (share of the pool that sees
-    none), ``kappa`` (scale of all weights), ``gain`` (of the closed loop, 0: open). The random stream of a trial has
+    none), ``kappa`` (scale of all weights), ``gain`` (of the closed loop, 0: open), and, where asked for, a level for each of the ``pools``, and ``yaw``. The random stream of a trial has
     no arm in its key: arms of a trial see the same draws. ``second``: a second pool, stimulated at its own
-    rate ``second_hz`` from a stream of its own, whatever the plan's drive and patch. The circuit goes out once, by broadcast; trials are independent tasks.
+    rate ``second_hz``, whatever the plan's drive and patch. ``pools``: further ones by name, each at ``max_hz`` times the plan's column of that name. Each has a stream of its own.
+    ``preferred``: the pool's cells' signs of rotation; a cell's level is then the baseline and what of ``yaw`` it prefers, in place of ``drive``.
+    ``resting``: events a second of every cell, of the weight ``resting_events`` times one synapse (a stimulus's if None). ``always_ready``: stimulated cells have no
+    refractory time, as targets of Poisson input in the published model. The circuit goes out once, by broadcast; trials are independent tasks.
     """
-    sent = plan.sparkSession.sparkContext.broadcast((circuit, pool, loop_sides, second))
+    more = dict(sorted((pools or {}).items()))
+    sent = plan.sparkSession.sparkContext.broadcast((circuit, pool, loop_sides, second, more, preferred))
+    columns = ["drive", "patch", "kappa", "gain", *more, *(["yaw"] if preferred is not None else [])]
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
-        c, cells, sides, others = sent.value
+        c, cells, sides, others, more, preferred = sent.value
         out: list[tuple[str, int, np.ndarray, float]] = []
-        for row in p.itertuples():
-            net = Network(Circuit(c.offsets, c.targets, c.weights * np.float32(row.kappa)), membrane)
-            draws, rest_draws, second_draws = stream_of(seed, row.trial), stream_of(seed, "rest", row.trial), stream_of(seed, "second", row.trial)
-            covered = cells[: round(row.patch * len(cells))]
+        for row in p.to_dict("records"):
+            stimulated = np.unique(np.concatenate([cells, *([] if others is None else [others]), *more.values()]))
+            net = Network(Circuit(c.offsets, c.targets, c.weights * np.float32(row["kappa"])), membrane, stimulated if always_ready else None)
+            streams = {name: stream_of(seed, *([name] if name else []), row["trial"]) for name in ("", "rest", "second", *more)}
+            covered = cells[: round(row["patch"] * len(cells))]
             seen = ~np.isin(cells, covered)
             chance = max_hz * membrane.dt / 1000
             weight = membrane.w_syn * membrane.stimulus_factor
-            loop, sums = Loop(row.gain), np.zeros(2)
+            tone = weight if resting_events is None else membrane.w_syn * resting_events
+            loop, sums = Loop(row["gain"]), np.zeros(2)
+            closed = bool(row["gain"] and sides)
             for s in range(round(seconds * 1000 / membrane.dt)):
-                level = row.drive
-                if row.gain and sides:
-                    level = max(0.0, min(1.0, row.drive - loop.heading))
-                hit = draws.random(len(cells)) < chance * level
-                net.inject(cells[hit & seen], weight)
+                level = row["drive"]
+                if preferred is not None:
+                    level = YAW_BASELINE + (1 - YAW_BASELINE) * np.maximum(0, preferred * row["yaw"])
+                if closed:
+                    level = max(0.0, min(1.0, row["drive"] - loop.heading))
+                hit = cells[(streams[""].random(len(cells)) < chance * level) & seen]
+                net.inject(hit, weight)
+                if len(hit):
+                    out.append((row["arm"], row["trial"], -1 - hit, s * membrane.dt))
                 if others is not None and second_hz:
-                    net.inject(others[second_draws.random(len(others)) < second_hz * membrane.dt / 1000], weight)
+                    net.inject(others[streams["second"].random(len(others)) < second_hz * membrane.dt / 1000], weight)
+                for name, of in more.items():
+                    if row[name] > 0:
+                        net.inject(of[streams[name].random(len(of)) < chance * row[name]], weight)
                 if resting:
-                    net.inject(np.flatnonzero(rest_draws.random(c.n) < resting * membrane.dt / 1000), weight)
+                    net.inject(np.flatnonzero(streams["rest"].random(c.n) < resting * membrane.dt / 1000), tone)
                 fired = net.step()
                 if len(fired):
-                    out.append((row.arm, row.trial, fired, s * membrane.dt))
-                if row.gain and sides:
+                    out.append((row["arm"], row["trial"], fired, s * membrane.dt))
+                if closed:
                     sums += [np.isin(fired, x).sum() for x in sides]
                     if (s + 1) % loop_bin == 0:
                         loop.update(float(sums[1] - sums[0]) / max(1, sum(map(len, sides))), loop_bin * membrane.dt / 1000)
@@ -164,16 +189,29 @@ def run_trials(plan: DataFrame, circuit: Circuit, pool: np.ndarray, seconds: flo
         size = [len(f) for _, _, f, _ in out]
         return pd.DataFrame({"arm": np.repeat([a for a, _, _, _ in out], size), "trial": np.repeat([k for _, k, _, _ in out], size), "neuron": np.concatenate([f for _, _, f, _ in out]), "t": np.repeat([t for _, _, _, t in out], size)})
 
-    rows = plan.select("arm", F.col("trial").cast("long").alias("trial"), *[F.col(c).cast("double").alias(c) for c in ("drive", "patch", "kappa", "gain")])
+    rows = plan.select("arm", F.col("trial").cast("long").alias("trial"), *[F.col(c).cast("double").alias(c) for c in columns])
     return rows.groupBy("arm", "trial").applyInPandas(one, "arm string, trial long, neuron long, t double")
 
 
-def conductances(spikes: DataFrame, edges: DataFrame, neurons: int, seconds: float) -> DataFrame:
-    """``arm, trial, exc, inh``: mean excitatory and inhibitory weight that a cell receives a second, from the spikes as a table."""
-    sent = edges.groupBy("pre").agg(F.sum(F.when(F.col("w") > 0, F.col("w")).otherwise(0.0)).alias("e"), F.sum(F.when(F.col("w") < 0, F.col("w")).otherwise(0.0)).alias("i"))
-    per = spikes.groupBy("arm", "trial", F.col("neuron").alias("pre")).agg(F.count(F.lit(1)).alias("n")).join(sent, "pre")
-    scale = F.lit(neurons * seconds)
-    return per.groupBy("arm", "trial").agg((F.sum(F.col("n") * F.col("e")) / scale).alias("exc"), (F.sum(F.col("n") * F.col("i")) / scale).alias("inh"))
+def spikes_only(events: DataFrame) -> DataFrame:
+    """:func:`run_trials` without the injected events."""
+    return events.filter("neuron >= 0")
+
+
+def population_rates(spikes: DataFrame, of: DataFrame, by: list[str], seconds: float) -> DataFrame:
+    """``by, population, cells, active, rate_hz`` for all populations of ``of`` (``neuron, population``) in each group of spikes; silent ones are 0."""
+    counts = spikes.groupBy(*by, "neuron").agg(F.count(F.lit(1)).alias("n")).join(of, "neuron").groupBy(*by, "population").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("fired"))
+    sizes = of.groupBy("population").agg(F.count(F.lit(1)).alias("cells"))
+    every = spikes.select(*by).distinct().withColumn("_k", F.lit(1)).join(F.broadcast(sizes.withColumn("_k", F.lit(1))), "_k").drop("_k")  # a row a group and population
+    out = every.join(counts, [*by, "population"], "left")
+    return out.select(*by, "population", "cells", (F.coalesce("fired", F.lit(0)) / F.col("cells")).alias("active"), (F.coalesce("n", F.lit(0)) / (F.col("cells") * F.lit(float(seconds)))).alias("rate_hz"))
 
 
-Metric = Callable[[DataFrame], DataFrame]
+def input_conductances(spikes: DataFrame, edges: DataFrame, of: DataFrame, by: list[str], seconds: float, tau_s: float = 0.005) -> DataFrame:
+    """``by, population, exc, inh``: mean conductance (mV) that a cell of a population receives: weight times sender's rate times the synapse's time constant."""
+    into = edges.join(of.select(F.col("neuron").alias("post"), "population"), "post").groupBy("pre", "population")
+    sent = into.agg(F.sum(F.when(F.col("w") > 0, F.col("w")).otherwise(0.0)).alias("e"), F.sum(F.when(F.col("w") < 0, F.col("w")).otherwise(0.0)).alias("i"))
+    per = spikes.groupBy(*by, F.col("neuron").alias("pre")).agg((F.count(F.lit(1)) / F.lit(float(seconds))).alias("hz")).join(sent, "pre")
+    sizes = of.groupBy("population").agg(F.count(F.lit(1)).alias("cells"))
+    got = per.groupBy(*by, "population").agg(F.sum(F.col("hz") * F.col("e")).alias("e"), F.sum(F.col("hz") * F.col("i")).alias("i")).join(F.broadcast(sizes), "population")
+    return got.select(*by, "population", (F.col("e") * tau_s / F.col("cells")).alias("exc"), (F.col("i") * tau_s / F.col("cells")).alias("inh"))
