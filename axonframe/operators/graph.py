@@ -269,3 +269,13 @@ def near(points: DataFrame, others: DataFrame, radius: float, places: bool = Fal
     b = others.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
     d = F.sqrt(F.pow(F.col("x") - F.col("ox"), F.lit(2)) + F.pow(F.col("y") - F.col("oy"), F.lit(2)))
     return a.join(b, ["cx", "cy"]).select("id", "other", d.alias("d"), *(["x", "y", "ox", "oy"] if places else [])).filter(F.col("d") <= radius)
+
+
+def slice_census(nodes: DataFrame, sets: dict[str, DataFrame], axis: str, middle: float) -> DataFrame:
+    """A row a cell with its places, names and sets: ``nodes`` (``index, body_id, pop, pop_name, cx_family, cx_name, x, y, z, cell_type``) with 0 or 1
+    for each set of ids (``in_pool, is_lptc, is_relay, in_body_patch``), ``positive_side`` of the middle and ``no_soma`` (all coordinates 0).
+    """
+    flags = indicators(nodes.select(F.col("body_id").alias("id")), sets).withColumnRenamed("id", "body_id")
+    out = nodes.join(flags, "body_id")
+    soma = F.abs("x") + F.abs("y") + F.abs("z")
+    return out.select(*nodes.columns, *[F.col(n).cast("int").alias(n) for n in sets], (F.col(axis) > middle).cast("int").alias("positive_side"), (soma == 0).cast("int").alias("no_soma"))

@@ -297,3 +297,24 @@ def document_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, md5(replace(replace(text, 'Version 2.0', 'Version 2.1'), 'MIT License', 'MIT licence')) AS fixed FROM documents")
 def document_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(L.substituted("text", [("Version 2.0", "Version 2.1"), ("MIT License", "MIT licence")]).cast("binary")).alias("fixed"))
+
+
+@query(f"""WITH {COORDS}, n AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS index, c_custkey AS body_id, c_nationkey::BIGINT AS pop, n_name AS pop_name, n_regionkey::BIGINT AS cx_family, r_name AS cx_name, round(coalesce(x, 0), 6) AS x, round(coalesce(y, 0), 6) AS y, round(coalesce(z, 0), 6) AS z, c_mktsegment AS cell_type
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN co ON co.id = c_custkey), {EVENT_GRAPH}
+SELECT n.*, (cell_type = 'BUILDING')::BIGINT AS in_pool, (cell_type = 'MACHINERY')::BIGINT AS is_lptc, (body_id IN (SELECT post FROM eg WHERE cls = 'purchase'))::BIGINT AS is_relay, (x * x + y * y < 0.02)::BIGINT AS in_body_patch, (x > 0)::BIGINT AS positive_side, (abs(x) + abs(y) + abs(z) = 0)::BIGINT AS no_soma FROM n""")
+def slice_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the cells of a slice: sixteen columns a cell."""
+    from axonframe.functions.exprs import prefix_sums
+
+    place = coords(spark, sf_dir).withColumnRenamed("id", "c_custkey")
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, sf_dir, "customer").join(F.broadcast(named), F.col("c_nationkey") == F.col("n_nationkey")).join(place, "c_custkey", "left")
+    c = prefix_sums(c, "c_custkey", {"k": F.lit(1)})
+    nodes = c.select(
+        (F.col("k") - 1).cast("long").alias("index"), F.col("c_custkey").alias("body_id"), F.col("c_nationkey").cast("long").alias("pop"), F.col("n_name").alias("pop_name"), F.col("n_regionkey").cast("long").alias("cx_family"), F.col("r_name").alias("cx_name"),
+        *[F.round(F.coalesce(a, F.lit(0.0)), 6).alias(a) for a in "xyz"], F.col("c_mktsegment").alias("cell_type"),
+    )
+    ids = lambda df: df.select(F.col("body_id").alias("id"))
+    sets = {"in_pool": ids(nodes.filter("cell_type = 'BUILDING'")), "is_lptc": ids(nodes.filter("cell_type = 'MACHINERY'")), "is_relay": event_graph(spark, sf_dir).filter("cls = 'purchase'").select(F.col("post").alias("id")), "in_body_patch": ids(nodes.filter("x * x + y * y < 0.02"))}
+    flags = [*sets, "positive_side", "no_soma"]
+    return G.slice_census(nodes, sets, "x", 0.0).withColumns({f: F.col(f).cast("long") for f in flags})

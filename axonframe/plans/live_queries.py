@@ -124,3 +124,39 @@ def view_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = e.withColumn("motion", F.abs(F.col("value") - F.lag("value", 4).over(W.partitionBy("key").orderBy("ts", "event_id")))).filter("motion is not null")
     x = V.leaky(m, ["key"], ["ts", "event_id"], "motion", 0.4)
     return x.groupBy("key").agg(F.round(F.max_by("level", F.struct("ts", "event_id")), 6).alias("level"))
+
+
+_RAY = """WITH RECURSIVE co AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), wa AS (SELECT DISTINCT floor(x / 0.02) AS gx, floor(y / 0.02) AS gy FROM co WHERE label = 0),
+d AS (SELECT id, x, y, ray, radians(240) * (ray / 15 - 0.5::DOUBLE) AS a FROM co, (SELECT unnest(range(16)) AS ray)), u AS (SELECT *, cos(a) / sqrt(pow(cos(a), 2) + pow(sin(a) * 0.35, 2)) AS ux, sin(a) * 0.35 / sqrt(pow(cos(a), 2) + pow(sin(a) * 0.35, 2)) AS uy FROM d),
+st AS (SELECT id, ray, s, floor((x + ux * (s * (0.25::DOUBLE / 14))) / 0.02) AS gx, floor((y + uy * (s * (0.25::DOUBLE / 14))) / 0.02) AS gy FROM u, (SELECT unnest(range(1, 15)) AS s)),
+h AS (SELECT id, ray, min(s) FILTER (wa.gx IS NOT NULL) AS hit FROM st LEFT JOIN wa USING (gx, gy) GROUP BY 1, 2)
+SELECT id, ray, coalesce(hit, 0) AS hit, round(hit * (0.25::DOUBLE / 14), 6) AS distance, round(coalesce(1 - hit / 14.0::DOUBLE * 0.7, 0), 6) AS energy FROM h"""
+
+
+@query(_RAY)
+def ray_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point looks along sixteen rays; points of one label are walls."""
+    p = coords(spark, sf_dir).withColumn("heading", F.lit(0.0))
+    walls = table(spark, sf_dir, "embeddings").filter("label = 0").select(*[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate("xy")])
+    return V.ray_walk(p, walls, 0.02, reach=0.25).select("id", F.col("ray").cast("long").alias("ray"), F.coalesce("hit", F.lit(0)).cast("long").alias("hit"), *_r("distance", "energy"))
+
+
+@query("""WITH t AS (SELECT user_id AS key, ts, event_id, value / 50 - 1 AS turn, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value FROM events),
+g AS (SELECT key, list(value ORDER BY k) AS v, list(turn ORDER BY k) AS u FROM t GROUP BY key),
+l AS (SELECT key, unnest(range(1, len(v) + 1)) AS k, u, v FROM g),
+s AS (SELECT key, k, list_reduce(list_prepend(0.0::DOUBLE, v[1:k]), lambda a, x: a + 0.15 * (x - a)) AS speed, list_sum(list_transform(u[1:k], lambda x: x * 0.1)) AS heading FROM l)
+SELECT key, count(*) AS ticks, round(arg_max(heading, k), 6) AS heading, round(sum(speed * cos(heading) * 0.1), 5) AS px, round(sum(speed * sin(heading) * 0.1), 5) AS py FROM s GROUP BY key""")
+def agent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sense, motor and place of each user's agent: a value is what it turns and speeds up by; where it is after its last tick."""
+    e = _stamped(table(spark, sf_dir, "events")).withColumn("turn", F.col("value") / 50 - 1)
+    moved = V.integrated(V.leaky(e, ["key"], ["ts", "event_id"], "value", 0.15), ["key"], ["ts", "event_id"], "turn", "level", 0.1)
+    last = moved.groupBy("key").agg(F.count(F.lit(1)).alias("ticks"), F.max_by(F.struct("heading", "px", "py"), F.struct("ts", "event_id")).alias("s"))
+    return last.select("key", "ticks", F.round("s.heading", 6).alias("heading"), F.round("s.px", 5).alias("px"), F.round("s.py", 5).alias("py"))
+
+
+@query(f"""WITH w AS (SELECT epoch_us(ts) // 1000000 // {BLOCK} * {BLOCK} AS start, user_id AS key, count(*) AS n, round(arg_max(value, (ts, event_id)), 6) AS last FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE start + {BLOCK} <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events) / 1000""")
+def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last value in every window as a stream's log: the windows that the watermark has closed."""
+    run = lambda e: V.snapshots(_stamped(e), BLOCK, late="1 hour")
+    return V.replay(spark, f"{sf_dir}/events.parquet", _shared(spark), run).select("start", "key", "n", *_r("last"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,20 +65,60 @@ def read_piped_log(spark: SparkSession, path: str, columns: list[tuple[str, str]
 EDGE_RECORD = [("pre", "<i8"), ("post", "<i8"), ("weight", "<i4")]
 
 
-def read_edge_records(spark: SparkSession, path: str) -> DataFrame:
-    """Binary files of 20-byte edge records after an 8-byte count; a file a task."""
-    import numpy as np
-    import pandas as pd
+class EdgeRecords(DataSource):
+    """Files of 20-byte edge records after an 8-byte count, read in byte ranges: a file of any size is many tasks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b.content:
-                n = int(np.frombuffer(content, "<i8", 1)[0])
-                a = np.frombuffer(content, np.dtype(EDGE_RECORD), n, 8)
-                for k in range(0, n, 500_000):
-                    yield pd.DataFrame({c: a[c][k : k + 500_000].astype("int32" if c == "weight" else "int64") for c, _ in EDGE_RECORD})
+    @classmethod
+    def name(cls) -> str:
+        return "edge_records"
+
+    def schema(self) -> str:
+        return "pre long, post long, weight int"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _EdgeReader(self.options["path"], int(self.options.get("rows", 4_000_000)))
+
+
+class _EdgeReader(DataSourceReader):
+    def __init__(self, path: str, rows: int) -> None:
+        self.path, self.rows = path, rows
+
+    def _files(self) -> tuple[object, list[str]]:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.path)
+        info = system.get_file_info(path)
+        if info.type == fs.FileType.Directory:
+            return system, sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and not f.base_name.startswith(("_", ".")))
+        return system, [path]
+
+    def partitions(self) -> list[InputPartition]:
+        system, files = self._files()
+        out = []
+        for f in files:
+            with system.open_input_file(f) as h:
+                n = int.from_bytes(h.read(8), "little")
+                if h.size() < 8 + 20 * n:
+                    raise ValueError(f"{f}: {n} records are announced, but the file ends before")
+            out += [InputPartition((f, at, min(self.rows, n - at))) for at in range(0, n, self.rows)]
+        return out
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "pre long, post long, weight int")
+    def read(self, partition: InputPartition) -> Iterator[object]:
+        import numpy as np
+        import pyarrow as pa
+
+        f, at, n = partition.value
+        with self._files()[0].open_input_file(f) as h:
+            for k in range(at, at + n, 500_000):
+                some = min(500_000, at + n - k)
+                a = np.frombuffer(h.read_at(20 * some, 8 + 20 * k), np.dtype(EDGE_RECORD))
+                yield pa.RecordBatch.from_arrays([pa.array(a[c].copy()) for c, _ in EDGE_RECORD], [c for c, _ in EDGE_RECORD])
+
+
+def read_edge_records(spark: SparkSession, path: str, rows: int = 4_000_000) -> DataFrame:
+    """Binary files of 20-byte edge records after an 8-byte count, ``rows`` of them a task; ``path``: a file or a folder, local or a URI."""
+    spark.dataSource.register(EdgeRecords)
+    return spark.read.format("edge_records").option("path", path).option("rows", rows).load()
 
 
 def write_edge_records(edges: DataFrame, path: str) -> None:
@@ -87,16 +128,19 @@ def write_edge_records(edges: DataFrame, path: str) -> None:
 
 def read_feather(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Arrow IPC files, a file a task, in their own batches; validity is kept, so nulls are nulls."""
-    import io
-
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
     files = spark.read.format("binaryFile").load(path)
-    head = files.select("content").first()
+
+    def schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pa.ipc.open_file(pa.BufferReader(c.as_buffer())).schema.serialize().to_pybytes() for c in b.column(0)], pa.binary())], ["schema"])
+
+    head = files.select("content").mapInArrow(schemas, "schema binary").first()  # the file stays in its task
     if head is None:
         raise FileNotFoundError(path)
-    schema = pa.ipc.open_file(io.BytesIO(head.content)).schema
+    schema = pa.ipc.read_schema(pa.py_buffer(bytes(head.schema)))
     plain = pa.schema([(f.name, f.type.value_type if pa.types.is_dictionary(f.type) else f.type) for f in schema if not columns or f.name in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

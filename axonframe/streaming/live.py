@@ -115,6 +115,38 @@ def sight(points: DataFrame, others: DataFrame, rays: int = 16, spread_deg: floa
     return at.withColumn("ray", ray).filter((F.col("ray") >= 0) & (F.col("ray") < rays)).groupBy("id", "ray").agg(F.count(F.lit(1)).alias("seen"), F.min("d").alias("nearest"))
 
 
+def ray_walk(eyes: DataFrame, walls: DataFrame, cell: float, rays: int = 16, samples: int = 14, spread_deg: float = 240.0, reach: float = 1.0, flat: float = 0.35) -> DataFrame:
+    """``id, ray, hit, distance, energy``: sight along rays that end at the first wall.
+
+    ``eyes``: ``id, x, y, heading``; ``walls``: ``x, y`` of what blocks, in squares of a width of ``cell``. Rays spread evenly around the heading, their
+    height pressed by ``flat``. Each is looked at in ``samples`` places; the first in a walled square ends it, with an energy of
+    1 less 0.7 times its share of the way. ``hit`` is that sample's number from 1; without a wall it is null and the energy 0. An equi-join on squares.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    blocked = walls.select(at("x").alias("gx"), at("y").alias("gy")).distinct()
+    turn = F.col("heading") - math.radians(spread_deg) / 2 + math.radians(spread_deg) * (F.col("ray") / max(1, rays - 1))
+    each = eyes.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(rays - 1)))).withColumn("_dx", F.cos(turn)).withColumn("_dy", F.sin(turn) * flat)
+    each = each.withColumn("_d", F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2)).withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    step = F.col("s") * (reach / samples)
+    each = each.select("id", "ray", "s", F.floor((F.col("x") + F.col("_dx") / F.col("_d") * step) / cell).alias("gx"), F.floor((F.col("y") + F.col("_dy") / F.col("_d") * step) / cell).alias("gy"))
+    met = each.join(blocked.withColumn("_wall", F.lit(True)), ["gx", "gy"], "left").groupBy("id", "ray").agg(F.min(F.when(F.col("_wall"), F.col("s"))).alias("hit"))
+    return met.select("id", "ray", "hit", (F.col("hit") * (reach / samples)).alias("distance"), F.coalesce(1 - F.col("hit") / float(samples) * 0.7, F.lit(0.0)).alias("energy"))
+
+
+def integrated(ticks: DataFrame, by: list[str], order: list[str], turn: str, speed: str, dt: float) -> DataFrame:
+    """``ticks`` with ``heading, px, py``: turns summed to headings, and steps along them to places, from 0, along each key's order."""
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    at = ticks.withColumn("heading", F.sum(F.col(turn) * dt).over(w))
+    return at.withColumn("px", F.sum(F.col(speed) * F.cos("heading") * dt).over(w)).withColumn("py", F.sum(F.col(speed) * F.sin("heading") * dt).over(w))
+
+
+def snapshots(events: DataFrame, seconds: int, late: str | None = None) -> DataFrame:
+    """``start, key, n, last``: each key's last value in every window of ``seconds``, as a log is written at intervals; ``late``: the watermark, for a stream."""
+    e = events.withWatermark("ts", late) if late else events
+    out = e.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("ts", "event_id", "value")).alias("at"))
+    return out.select(F.unix_timestamp("w.start").alias("start"), "key", "n", F.col("at.value").alias("last"))
+
+
 READOUT = "key long, n long, level double, last double, mood string"
 
 

@@ -60,7 +60,7 @@ def test_trials_share_draws_and_rerun_alike(spark):
     c = random_circuit()
     plan = spark.createDataFrame([(a, t, 0.8, p, 1.0, 0.0) for a, p in (("x", 0.0), ("y", 0.0), ("z", 1.0)) for t in (0, 1)], "arm string, trial long, drive double, patch double, kappa double, gain double")
     rows = run_trials(plan, c, np.arange(10), 0.2).collect()
-    of = lambda a: sorted((r.trial, r.neuron, r.t) for r in rows if r.arm == a)
+    of = lambda a: sorted((r.trial, r.neuron, r.t) for r in rows if r.arm == a and r.neuron >= 0)
     assert of("x") == of("y") and of("x") and not of("z")
     assert sorted(rows) == sorted(run_trials(plan.repartition(5), c, np.arange(10), 0.2).collect())
 
@@ -167,3 +167,76 @@ def test_second_pool_has_its_own_rate(spark):
     fired = {hz: run_trials(plan, c, np.arange(5), 1.0, second=np.arange(5, 10), second_hz=hz).toPandas() for hz in (0.0, 40.0, 120.0)}
     assert len(fired[0.0]) == 0 and 0 < len(fired[40.0]) < len(fired[120.0])
     assert set(fired[120.0].neuron) == set(range(5, 10))
+
+
+PLAN = "arm string, trial long, drive double, patch double, kappa double, gain double"
+SILENT = Circuit(np.zeros(11, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))
+
+
+def test_pools_by_name_fire_at_their_own_rates(spark):
+    plan = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, 0.0, 0.2, 0.9), ("b", 0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.9)], PLAN + ", smell double, taste double")
+    rows = run_trials(plan, SILENT, np.arange(1), 2.0, pools={"smell": np.arange(2, 5), "taste": np.arange(6, 9)}).toPandas()
+    n = lambda arm, cells: int(((rows.arm == arm) & rows.neuron.isin(cells)).sum())
+    assert set(rows.neuron) == {2, 3, 4, 6, 7, 8}
+    assert 0 < n("a", [2, 3, 4]) < n("a", [6, 7, 8]) and n("b", [2, 3, 4]) == 0
+    assert n("a", [6, 7, 8]) == n("b", [6, 7, 8])  # a stream of its own
+
+
+def test_targets_without_refractory_time(spark):
+    plan = spark.createDataFrame([("a", 0, 1.0, 0.0, 1.0, 0.0)], PLAN)
+    runs = {ready: run_trials(plan, SILENT, np.arange(5), 2.0, max_hz=600.0, always_ready=ready).toPandas() for ready in (False, True)}
+    steps = {ready: np.concatenate([np.diff(np.sort(g.t)) for _, g in p[p.neuron >= 0].groupby("neuron")]) for ready, p in runs.items()}
+    assert steps[False].min() >= Membrane().refractory and steps[True].min() < Membrane().refractory
+    injected = runs[True][runs[True].neuron < 0]
+    assert abs(len(injected) - 5 * 600 * 2) < 5 * np.sqrt(5 * 600 * 2) and set(-1 - injected.neuron) == set(range(5))
+
+
+def test_rotation_drives_cells_by_their_preference(spark):
+    plan = spark.createDataFrame([("right", 0, 0.0, 0.0, 1.0, 0.0, 1.0), ("left", 0, 0.0, 0.0, 1.0, 0.0, -1.0)], PLAN + ", yaw double")
+    p = run_trials(plan, SILENT, np.arange(10), 3.0, preferred=np.where(np.arange(10) < 5, 1.0, -1.0)).toPandas()
+    hit = lambda arm, first: int(((p.arm == arm) & (p.neuron < 0) & ((-1 - p.neuron < 5) == first)).sum())
+    for arm, first in (("right", True), ("left", False)):
+        assert hit(arm, first) == pytest.approx(5 * 150 * 3, rel=0.08)
+        assert hit(arm, not first) == pytest.approx(5 * 150 * 3 * 0.12, rel=0.25)
+
+
+def test_rates_and_conductances_by_population(spark):
+    from axonframe.operators.simulate import input_conductances, population_rates
+
+    of = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)], "neuron long, population long")
+    spikes = spark.createDataFrame([("x", 0)] * 4 + [("x", 2)] * 2 + [("y", 3)] * 6, "arm string, neuron long")
+    got = {(r.arm, r.population): (r.cells, r.active, r.rate_hz) for r in population_rates(spikes, of, ["arm"], 2.0).collect()}
+    assert got == {("x", 0): (2, 0.5, 1.0), ("x", 1): (2, 0.5, 0.5), ("x", 2): (1, 0.0, 0.0), ("y", 0): (2, 0.0, 0.0), ("y", 1): (2, 0.5, 1.5), ("y", 2): (1, 0.0, 0.0)}
+    edges = spark.createDataFrame([(0, 2, 5.0), (0, 3, 1.0), (2, 3, -4.0), (3, 4, 2.0)], "pre long, post long, w double")
+    got = {(r.arm, r.population): (round(r.exc, 9), round(r.inh, 9)) for r in input_conductances(spikes, edges, of, ["arm"], 2.0).collect()}
+    assert got == {("x", 1): (2.0 * 6 * 0.005 / 2, -1.0 * 4 * 0.005 / 2), ("y", 2): (3.0 * 2 * 0.005, 0.0)}
+
+
+def test_ring_trajectory_against_singular_values(spark):
+    rng = np.random.default_rng(6)
+    x = rng.poisson(3.0, (30, 12)).astype(float) + 4 * np.add.outer(np.sin(np.arange(30) / 3), np.cos(np.arange(12)))**2 // 1
+    rows = [("g", b, c, float(x[b, c])) for b in range(30) for c in range(12)]
+    got = R.ring_trajectory(spark.createDataFrame(rows, "arm string, bin long, cell long, n double"), ["arm"], 12, 30).first()
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    angle = np.unwrap(np.arctan2(u[:, 1] * s[1], u[:, 0] * s[0]))
+    assert got.share == pytest.approx((s[:2] ** 2).sum() / (s**2).sum())
+    assert got.loop == pytest.approx(np.abs(np.diff(angle)).sum() / (2 * np.pi) / 30)
+
+
+def test_simulation_queries_hold_their_laws(spark):
+    from axonframe.plans import readout_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    s = Q.scenario_preview(spark, sf).toPandas()
+    assert len(s) == 5 * Q.POPULATIONS and set(s.scenario) == set(Q.SCENARIOS)
+    rate = s.set_index(["scenario", "population"]).rate_hz
+    for name, (smell, taste, danger, *_) in Q.SCENARIOS.items():  # a driven pool fires more than at rest
+        for k, level in enumerate((smell, taste, danger)):
+            assert not level or rate[name, k] > rate["rest", k] + 5
+    d = Q.dose_trials(spark, sf).toPandas().set_index(["frac", "trial"]).sort_index()
+    assert len(d) == 8 and (d.loc[1.0].injected == 0).all() and (d.loc[0.0].injected > d.loc[0.5].injected).all()
+    assert (d.loc[0.0].pool_hz > d.loc[1.0].pool_hz).all() and (d.dim.dropna() >= 1).all()
+    g = Q.gain_sweep(spark, sf).toPandas()
+    assert len(g) == 3 * Q.POPULATIONS and (g.exc >= 0).all() and (g.inh <= 0).all() and (g.rate_hz > 0).any()
+    z = Q.steady_direction(spark, sf).toPandas()
+    assert sorted(z.population) == list(range(Q.POPULATIONS)) and z.selectivity.dropna().between(-1, 1).all()

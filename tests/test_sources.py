@@ -77,3 +77,68 @@ def test_wrapped_angle(spark, x):
 
     got = spark.range(1).select(wrap_angle(F.lit(x))).first()[0]
     assert -np.pi < got <= np.pi and np.isclose(np.cos(got), np.cos(x)) and np.isclose(np.sin(got), np.sin(x))
+
+
+def test_edge_records_by_ranges(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    want = []
+    for name, n in (("a.bin", 0), ("b.bin", 7), ("c.bin", 1000)):
+        a = np.zeros(n, dtype=T.EDGE_RECORD)
+        a["pre"], a["post"], a["weight"] = rng.integers(0, 1 << 60, n), rng.integers(-5, 5, n), rng.integers(-9, 9, n)
+        (tmp_path / name).write_bytes(np.int64(n).tobytes() + a.tobytes())
+        want += a.tolist()
+    df = T.read_edge_records(spark, str(tmp_path), rows=100)
+    assert df.rdd.getNumPartitions() == 11
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    (tmp_path / "d.bin").write_bytes(np.int64(9).tobytes() + b"x" * 20)
+    with pytest.raises(Exception, match="ends before"):
+        T.read_edge_records(spark, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize("version", [1, 2, 3, 4])
+def test_circuit_blob(spark, tmp_path, version):
+    from axonframe.sources import circuit as C
+
+    rng = np.random.default_rng(version)
+    cells = [(k, 1000 + k, float(k), -1.5, 0.0, k % 11, k % 5) for k in range(20)]
+    edges = [(int(a), int(b), float(w), bool(p), float(w) / 2) for a, b, w, p in zip(rng.integers(0, 20, 90), rng.integers(0, 20, 90), rng.integers(-8, 8, 90), rng.integers(0, 2, 90), strict=True)]
+    groups = [(g, int(k)) for g, _ in C.GROUPS for k in rng.choice(20, 3, replace=False)]
+    make = lambda rows, name: spark.createDataFrame(rows, C.SCHEMAS[name])
+    path = str(tmp_path / "c.bin")
+    C.write_blob(path, make(cells, "neurons"), make(edges, "edges"), make(groups, "groups"), version)
+    got = C.read_blob(spark, path)
+    assert sorted(map(tuple, got["neurons"].collect())) == cells
+    assert sorted(map(tuple, got["edges"].collect())) == sorted(edges)
+    assert sorted(map(tuple, got["groups"].collect())) == sorted(g for g in groups if version >= dict(C.GROUPS)[g[0]])
+    with pytest.raises(ValueError, match="too many"):
+        C.write_blob(path, make(cells, "neurons"), make(edges, "edges"), make(groups, "groups"), version, most_edges=5)
+
+
+def test_circuit_blob_by_its_layout(spark, tmp_path):
+    """Two cells and one synapse, byte by byte, as version 1 has them."""
+    import struct
+
+    from axonframe.sources import circuit as C
+
+    cell = lambda i, x, pop: struct.pack("<qfffBBH", i, x, 0.0, 0.0, pop, 0, 0)
+    content = b"FLYMIND1" + struct.pack("<3I", 2, 1, 0) + struct.pack("<11I", *[0] * 11) + struct.pack("<3I", 1, 0, 0)
+    content += cell(7, 1.5, 3) + cell(8, 2.5, 6) + struct.pack("<3i", 0, 0, 1) + struct.pack("<i", 0) + struct.pack("<f", -2.0) + b"\x01" + struct.pack("<f", -1.0) + struct.pack("<i", 1)
+    (tmp_path / "x.bin").write_bytes(content)
+    got = C.read_blob(spark, str(tmp_path / "x.bin"))
+    assert [tuple(r) for r in got["neurons"].orderBy("index").collect()] == [(0, 7, 1.5, 0.0, 0.0, 3, 0), (1, 8, 2.5, 0.0, 0.0, 6, 0)]
+    assert [tuple(r) for r in got["edges"].collect()] == [(1, 0, -2.0, True, -1.0)]
+    assert [tuple(r) for r in got["groups"].collect()] == [("sugar", 1)]
+
+
+def test_summary_quotes_cells(spark, tmp_path):
+    rows = [('a,"b"', 1.5, None), ("plain", 2.5, "line\nend"), ("# x", 3.5, "")]
+    df = spark.createDataFrame(rows, "arm string, value double, note string")
+    T.write_summary(df, f"{tmp_path}/s", {"k": 1})
+    got = T.read_trials(spark, f"{tmp_path}/s", {"arm": "string", "note": "string"}).collect()
+    assert sorted((r.arm, r.value, r.note or "") for r in got) == sorted((a, v, n or "") for a, v, n in rows)
+
+
+def test_markdown_is_never_cut(spark):
+    assert T.markdown(spark.range(3)).count("\n") == 4
+    with pytest.raises(ValueError, match="over 2 rows"):
+        T.markdown(spark.range(3), most=2)

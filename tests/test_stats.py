@@ -2,11 +2,14 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from axonframe.functions import special
 from axonframe.operators import stats as S
+from axonframe.plans.all import QUERIES
+from axonframe.plans.fixtures import long_trials
 
 #: Bayes factors of two samples of ten at six t, and the largest evidence for no effect by sample size.
 BF10 = {0.0: 0.3973, 0.5: 0.4341, 1.0: 0.5634, 2.0: 1.4964, 3.0: 6.2818, 4.0: 34.4220}
@@ -112,3 +115,29 @@ def test_permutations_cover_every_metric(spark):
     t = QUERIES["trend_permutation"](spark, "/root/testdata/sf0.001").collect()
     assert {r.metric for r in t} == set(METRICS)
     assert all(abs(r.p * 2001 - round(r.p * 2001)) < 1e-4 for r in t)
+
+
+def half_t(t, df):
+    """P(0 <= T <= t) by Simpson's rule."""
+    x = np.linspace(0, np.arctan(t / np.sqrt(df)), 4001)
+    y = np.cos(x) ** (df - 1)
+    area = (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()) * (x[1] - x[0]) / 3
+    return math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi) * area
+
+
+def test_intervals_hold_their_share_of_the_distribution(spark):
+    sf = "/root/testdata/sf0.001"
+    c = {(r.metric, r.a, r.b): r for r in S.contrasts(S.arm_pairs(S.moments(long_trials(spark, sf)))).collect()}
+    rows = QUERIES["pair_intervals"](spark, sf).collect()
+    assert len(rows) == len(c)
+    for r in rows:
+        x = c[r.metric, r.a, r.b]
+        if x.df is not None:
+            assert r.diff_hi + r.diff_lo == pytest.approx(2 * x["diff"])
+            assert half_t((r.diff_hi - x["diff"]) / x.se, x.df) == pytest.approx(0.475, abs=1e-7)
+    e = {(r.metric, r.a): r for r in S.contrasts(S.arm_pairs(S.moments(long_trials(spark, sf)), "view")).collect()}
+    for r in QUERIES["equivalence_intervals"](spark, sf).collect():
+        x = e[r.metric, r.a]
+        if x.df is not None:
+            assert r.ci90_hi + r.ci90_lo == pytest.approx(2 * x["diff"])
+            assert half_t((r.ci90_hi - x["diff"]) / x.se, x.df) == pytest.approx(0.45, abs=1e-7)
