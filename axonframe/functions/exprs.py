@@ -72,18 +72,29 @@ def average_rank(partition: list[str], value: str) -> Column:
     return F.rank().over(W.partitionBy(*partition).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*partition, value)) - 1) / 2.0
 
 
-def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column], buckets: int = 1024) -> DataFrame:
+def _bucket_of(key: str, edges: list[float]) -> Column:
+    """How many of the sorted edges lie under the key, by a tree of comparisons."""
+
+    def tree(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"if(`{key}` <= {edges[mid]!r}{'D' if isinstance(edges[mid], float) else ''}, {tree(lo, mid)}, {tree(mid + 1, hi)})"
+
+    return F.expr(tree(0, len(edges)))
+
+
+def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column], buckets: int = 128) -> DataFrame:
     """``df`` with inclusive running sums in the order of a numeric key without a single-task window over all rows.
 
-    Rows are cut into ``buckets`` equal ranges of the key. Running sums inside a bucket are a window by bucket; what
-    lies before it is a running sum over the buckets' totals (at most ``buckets`` rows). Rows with equal keys share
-    a value (the range frame's rule).
+    Rows are cut at ``buckets`` approximate quantiles of the key, so that a bucket has about as many rows as any, however the keys lie. Running
+    sums inside a bucket are a window by bucket; what lies before it is a running sum over the buckets' totals (at most
+    ``buckets`` rows). Rows with equal keys share a value (the range frame's rule).
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
+    cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 10_000)).first()[0]
+    if cuts is None:
         return df.select("*", *[F.lit(None).cast("double").alias(n) for n in sums])
-    width = (float(hi) - float(lo)) / buckets
-    at = F.least(F.lit(buckets - 1), F.floor((F.col(key) - F.lit(lo)) / F.lit(width))).cast("int") if width > 0 else F.lit(0)
+    at = _bucket_of(key, sorted({c for c in cuts if abs(c) < math.inf}))
     rows = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()]).withColumn("_bucket", at)
     totals = rows.groupBy("_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

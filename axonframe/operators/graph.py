@@ -177,11 +177,19 @@ def push_pull(edges: DataFrame, sides: DataFrame) -> DataFrame:
     return out.withColumn("w", (F.col("ea") - F.col("ia")) - (F.col("eb") - F.col("ib")))
 
 
-def push_pull_census(weights: DataFrame, least: int = 3) -> DataFrame:
-    """One row: receivers with ``least`` edges from each side, by the signs of the two sides' net input."""
+def push_pull_census(weights: DataFrame, least: int = 3, ring: DataFrame | None = None) -> DataFrame:
+    """One row: receivers with ``least`` edges from each side, by the signs of the two sides' net input, and their mean |net| of both sides together.
+
+    ``ring``: a subset of receivers, of which ``ring_n``, ``ring_both`` and ``ring_opposite`` are counted, too.
+    """
     a, b = F.col("ea") - F.col("ia"), F.col("eb") - F.col("ib")
-    both = weights.filter((F.col("ea") + F.col("ia") >= least) & (F.col("eb") + F.col("ib") >= least))
-    return both.agg(F.count(F.lit(1)).alias("both_sides"), F.count_if(a * b < 0).alias("opposite"), F.count_if((a > 0) & (b > 0)).alias("same_exc"), F.count_if((a < 0) & (b < 0)).alias("same_inh"))
+    both = (F.col("ea") + F.col("ia") >= least) & (F.col("eb") + F.col("ib") >= least)
+    count = lambda c: F.count_if(both & c)
+    columns = [F.count_if(both).alias("both_sides"), count(a * b < 0).alias("opposite"), count((a > 0) & (b > 0)).alias("same_exc"), count((a < 0) & (b < 0)).alias("same_inh"), F.avg(F.when(both, F.abs(a) + F.abs(b))).alias("mean_net")]
+    if ring is not None:
+        weights = weights.join(_ids(ring, "id", "in_ring"), "id", "left").withColumn("in_ring", F.coalesce("in_ring", F.lit(False)))
+        columns += [F.count_if("in_ring").alias("ring_n"), count(F.col("in_ring")).alias("ring_both"), count(F.col("in_ring") & (a * b < 0)).alias("ring_opposite")]
+    return weights.agg(*columns)
 
 
 def input_share(edges: DataFrame, patch: DataFrame, target: DataFrame) -> DataFrame:

@@ -195,6 +195,28 @@ def population_vector(bins: DataFrame, by: list[str], angle: Column) -> DataFram
     return s.select(*by, ratio(F.sqrt(F.col("c") ** 2 + F.col("s") ** 2), "w").alias("amplitude"), F.atan2("s", "c").alias("angle"))
 
 
+def plane_angles(points: DataFrame) -> DataFrame:
+    """``neuron, angle``: each point's angle in the plane of the two principal axes of all (``neuron, x, y, z``), around their centre.
+
+    Only sums of coordinates and their products come to the driver. An axis's sign is free: its largest part is positive.
+    """
+    products = [(a, b) for k, a in enumerate("xyz") for b in "xyz"[k:]]
+    m = points.agg(*[F.avg(a).alias(a) for a in "xyz"], *[F.covar_pop(a, b).alias(a + b) for a, b in products]).first()
+    if m["x"] is None:
+        return points.select("neuron", F.lit(None).cast("double").alias("angle"))
+    cov = np.array([[m["".join(sorted(a + b))] for b in "xyz"] for a in "xyz"])
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+    along = [sum(((F.col(c) - F.lit(m[c])) * float(axes[k, j]) for k, c in enumerate("xyz")), F.lit(0.0)) for j in (0, 1)]
+    return points.select("neuron", F.atan2(along[1], along[0]).alias("angle"))
+
+
+def bump(bins: DataFrame, angles: DataFrame, by: list[str]) -> DataFrame:
+    """``by, bins, amplitude``: the mean over bins with spikes of the resultant's length in the plane of :func:`plane_angles`."""
+    v = population_vector(bins.join(angles, "neuron"), [*by, "bin"], F.col("angle"))
+    return v.groupBy(*by).agg(F.count(F.lit(1)).alias("bins"), F.avg("amplitude").alias("amplitude"))
+
+
 def unwrapped(series: DataFrame, by: list[str], angle: str) -> DataFrame:
     """``series`` with ``unwrapped``: the first angle plus the wrapped steps since then, in the order of bins."""
     w = W.partitionBy(*by).orderBy("bin")
@@ -265,13 +287,14 @@ def steering(series: DataFrame, by: list[str], width: float) -> DataFrame:
     return series.withColumn("d", d).groupBy(*by).agg((F.avg("left") / width).alias("rate_l"), (F.avg("right") / width).alias("rate_r"), (F.stddev_samp("d") / width).alias("asym_sd"), safe_corr("d", "command").alias("command_r"))
 
 
-def manipulation(delivered: DataFrame, by: list[str]) -> DataFrame:
-    """Of ``by, in_patch, level``: the patch's share of the drive, patch / surround mean level, and a verdict."""
+def manipulation(delivered: DataFrame, by: list[str], uniform: Column | None = None) -> DataFrame:
+    """Of ``by, in_patch, level``: the patch's share of the drive, patch / surround mean level, and a verdict; groups that are ``uniform`` have no patch by design."""
     p = F.when(F.col("in_patch"), F.col("level"))
     s = F.when(~F.col("in_patch"), F.col("level"))
     out = delivered.groupBy(*by).agg(ratio(F.coalesce(F.sum(p), F.lit(0.0)), F.sum("level")).alias("share"), ratio(F.avg(p), F.avg(s)).alias("ratio"))
     r = F.coalesce("ratio", F.lit(0.0))
-    return out.withColumn("verdict", F.when(r <= 0, "no patch").when(r < 0.5, "below natural").when(r < 0.9, "partly below natural").otherwise("not below natural"))
+    natural = F.lit(False) if uniform is None else uniform
+    return out.withColumn("verdict", F.when(natural, "natural").when(r <= 0, "no patch").when(r < 0.5, "below natural").when(r < 0.9, "partly below natural").otherwise("not below natural"))
 
 
 def drive_matching(delivered: DataFrame, reference: str) -> DataFrame:

@@ -202,10 +202,13 @@ def push_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _push(spark, sf_dir)
 
 
-@query(f"""WITH {_PUSH} SELECT count(*) AS both_sides, count(*) FILTER ((ea - ia) * (eb - ib) < 0) AS opposite, count(*) FILTER (ea > ia AND eb > ib) AS same_exc, count(*) FILTER (ea < ia AND eb < ib) AS same_inh
-FROM ps WHERE ea + ia >= 3 AND eb + ib >= 3""")
+@query(f"""WITH {_PUSH}, q AS (SELECT id % 2 = 0 AS r, ea + ia >= 3 AND eb + ib >= 3 AS bo, ea - ia AS p, eb - ib AS q FROM ps)
+SELECT count(*) FILTER (bo) AS both_sides, count(*) FILTER (bo AND p * q < 0) AS opposite, count(*) FILTER (bo AND p > 0 AND q > 0) AS same_exc, count(*) FILTER (bo AND p < 0 AND q < 0) AS same_inh, round(avg(abs(p) + abs(q)) FILTER (bo), 6) AS mean_net,
+count(*) FILTER (r) AS ring_n, count(*) FILTER (r AND bo) AS ring_both, count(*) FILTER (r AND bo AND p * q < 0) AS ring_opposite FROM q""")
 def push_pull_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.push_pull_census(_push(spark, sf_dir))
+    """The census of all receivers, and of those in a ring."""
+    ring = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000000).alias("id")).filter("id % 2 = 0")
+    return G.push_pull_census(_push(spark, sf_dir), ring=ring).withColumn("mean_net", F.round("mean_net", 6))
 
 
 @query(f"WITH {SUPPLY_GRAPH} SELECT count(*) AS inputs, count(*) FILTER (pre % 8 = 0) AS from_patch, round(count(*) FILTER (pre % 8 = 0) / count(*), 6) AS share FROM sg WHERE post % 9 = 0")

@@ -114,6 +114,15 @@ def neuron_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.grid_heat(r, 12, 10).select("id", "gx", "gy", *_r("heat"))
 
 
+@query("""WITH l AS (SELECT user_id % 12 AS population, list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda a, v: a + 0.1 * (v - a)) AS level FROM events GROUP BY user_id)
+SELECT population, count(*) AS cells, round(sum(level), 6) AS total, round(avg(level), 6) AS meter, count(*) FILTER (level < 15) AS bar0, count(*) FILTER (level >= 15 AND level < 30) AS bar1, count(*) FILTER (level >= 30 AND level < 45) AS bar2, count(*) FILTER (level >= 45) AS bar3 FROM l GROUP BY population""")
+def population_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' leaky levels by population: sums, means and a histogram."""
+    x = V.leaky(_stamped(table(spark, sf_dir, "events")), ["key"], ["ts", "event_id"], "value", 0.1)
+    last = x.groupBy("key").agg(F.max_by("level", F.struct("ts", "event_id")).alias("level")).withColumn("population", F.col("key") % 12)
+    return V.population_meters(last, 15.0, 4).select("population", "cells", *_r("total", "meter"), *[f"bar{k}" for k in range(4)])
+
+
 @query("""WITH f AS (SELECT user_id AS key, ts, event_id, abs(value - lag(value, 4) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS motion FROM events),
 g AS (SELECT key, list_reduce(list_prepend(0.0::DOUBLE, list(motion ORDER BY ts, event_id)), lambda a, v: a + 0.4 * (v - a)) AS level FROM f WHERE motion IS NOT NULL GROUP BY key) SELECT key, round(level, 6) AS level FROM g""")
 def view_motion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,14 @@ def population_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector(spark, sf_dir).select("arm", "bin", *_r("amplitude", "angle", "unwrapped"))
 
 
+@query()
+def ring_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By arm, the bump's mean amplitude in the plane that the users' places lie in."""
+    from .fixtures import coords
+
+    return R.bump(_bins(spark, sf_dir), R.plane_angles(coords(spark, sf_dir).withColumnRenamed("id", "neuron")), ["arm"]).select("arm", "bins", *_r("amplitude"))
+
+
 @query(f"""WITH {_VEC}, f AS (SELECT arm, count(*) AS n, covar_pop(bin, unwrapped) / nullif(var_pop(bin), 0) AS slope, var_pop(unwrapped) AS vy, covar_pop(bin, unwrapped) AS c, avg(bin) AS mx, avg(unwrapped) AS my FROM un GROUP BY arm),
 re AS (SELECT arm, bin, unwrapped - my - slope * (bin - mx) AS r FROM un JOIN f USING (arm)), lg AS (SELECT *, lag(r) OVER (PARTITION BY arm ORDER BY bin) AS b FROM re)
 SELECT arm, any_value(n) AS n, round(any_value(slope), 6) AS slope, round(abs(any_value(slope)), 6) AS gain, round(any_value(sqrt(greatest(0, vy - slope * c))), 6) AS rms, round(sqrt(avg(r * r)), 6) AS diffusion, round(sum(r * b) / nullif(sum(r * r), 0), 6) AS ac1 FROM lg JOIN f USING (arm) GROUP BY arm""")

@@ -100,6 +100,12 @@ def grid_heat(cells: DataFrame, width: int, height: int, scale: float = 4.0) ->
     return cells.select("id", (F.col("id") % width).alias("gx"), (F.floor(F.col("id") / width) % height).alias("gy"), heat.alias("heat"))
 
 
+def population_meters(levels: DataFrame, width: float, bars: int) -> DataFrame:
+    """Of ``population, level``: cells, summed and mean leaky level, and a histogram of ``bars`` bars of a width, the last one open."""
+    bar = F.least(F.lit(bars - 1), F.greatest(F.lit(0), F.floor(F.col("level") / width)))
+    return levels.withColumn("_bar", bar).groupBy("population").agg(F.count(F.lit(1)).alias("cells"), F.sum("level").alias("total"), F.avg("level").alias("meter"), *[F.count_if(F.col("_bar") == k).alias(f"bar{k}") for k in range(bars)])
+
+
 def occupancy(points: DataFrame, by: list[str], cell: float, grid_cells: int) -> DataFrame:
     """``by, share`` of a grid's cells that hold a point."""
     return points.groupBy(*by).agg((F.countDistinct(F.struct(F.floor(F.col("x") / cell), F.floor(F.col("y") / cell))) / F.lit(float(grid_cells))).alias("share"))

@@ -106,3 +106,15 @@ def test_top_pathways_go_beyond_eight(spark):
 
     every = QUERIES["population_matrix"](spark, "/root/testdata/sf0.001").count()
     assert QUERIES["top_pathways"](spark, "/root/testdata/sf0.001").count() == min(24, every) > 8
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_prefix_sums_of_keys_that_lie_unevenly(spark, kind):
+    from axonframe.functions.exprs import prefix_sums
+
+    rng = random.Random(2)
+    rows = [(int(rng.expovariate(1) ** 6) if kind == "bigint" else rng.expovariate(1) ** 6, rng.randint(-3, 9)) for _ in range(700)] + [(5, 1)] * 30 + [(10**9, 2)]
+    df = spark.createDataFrame([(float(k) if kind == "double" else k, v) for k, v in rows], f"k {kind}, v long")
+    got = sorted((r.k, r.v, r.s) for r in prefix_sums(df, "k", {"s": F.col("v")}, 16).collect())
+    assert got == sorted((k, v, sum(y for x, y in rows if x <= k)) for k, v in rows)
+    assert prefix_sums(df.filter("false"), "k", {"s": F.col("v")}).count() == 0

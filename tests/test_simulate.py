@@ -240,3 +240,22 @@ def test_simulation_queries_hold_their_laws(spark):
     assert len(g) == 3 * Q.POPULATIONS and (g.exc >= 0).all() and (g.inh <= 0).all() and (g.rate_hz > 0).any()
     z = Q.steady_direction(spark, sf).toPandas()
     assert sorted(z.population) == list(range(Q.POPULATIONS)) and z.selectivity.dropna().between(-1, 1).all()
+
+
+def test_bump_in_the_plane_of_places(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 3)) @ np.diag([3.0, 2.0, 0.1]) @ np.linalg.qr(rng.normal(size=(3, 3)))[0] + 10
+    n = rng.poisson(2.0, (6, 40))
+    points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(x)], "neuron long, x double, y double, z double")
+    bins = spark.createDataFrame([("g", b, k, int(n[b, k])) for b in range(6) for k in range(40) if n[b, k]], "arm string, bin long, neuron long, n long")
+    u = np.linalg.svd(x - x.mean(axis=0))[2][:2]
+    angle = np.arctan2((x - x.mean(axis=0)) @ u[1], (x - x.mean(axis=0)) @ u[0])
+    want = np.mean([abs((n[b] * np.exp(1j * angle)).sum()) / n[b].sum() for b in range(6)])
+    got = R.bump(bins, R.plane_angles(points), ["arm"]).first()
+    assert got.bins == 6 and got.amplitude == pytest.approx(want)
+
+
+def test_uniform_arms_have_no_patch_by_design(spark):
+    df = spark.createDataFrame([(a, k < 2, 0.1 if k < 2 and a != "none" else 1.0) for a in ("none", "body") for k in range(6)], "arm string, in_patch boolean, level double")
+    got = {r.arm: r.verdict for r in R.manipulation(df, ["arm"], F.col("arm") == "none").collect()}
+    assert got == {"none": "natural", "body": "below natural"}
