@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axonframe.operators import experiments as X
 from axonframe.operators import readout as R
 from axonframe.operators import stimulus as S
+from axonframe.operators.simulate import circuit_of, run_trials, spikes_only
 
 from .catalogue import query
 from .fixtures import SPIKES, event_graph, spikes, table
@@ -280,8 +282,6 @@ def ring_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _circuit(spark: SparkSession, sf_dir: str) -> tuple[object, DataFrame, int]:
     """A neuron for each user, numbered in the order of ids; edges between consecutive events; every fifth user is inhibitory."""
-    from axonframe.operators.simulate import circuit_of
-
     g = event_graph(spark, sf_dir).groupBy("pre", "post").agg(F.sum("w").alias("w")).withColumn("w", F.when(F.col("pre") % 5 == 0, -F.col("w")).otherwise(F.col("w")) * 0.275 / 10)
     users = sorted(r.id for r in g.select(F.col("pre").alias("id")).union(g.select("post")).distinct().collect())
     n = len(users)
@@ -296,10 +296,6 @@ def _part(n: int, start: float, stop: float) -> np.ndarray:
     return np.arange(min(round(n * start), n - 1), max(round(n * stop), round(n * start) + 1))
 
 
-def _plan(spark: SparkSession, rows: list[tuple[str, float, float, float, float]], trials: int) -> DataFrame:
-    return spark.createDataFrame([(a, t, *x) for a, *x in rows for t in range(trials)], "arm string, trial long, drive double, patch double, kappa double, gain double")
-
-
 POPULATIONS = 8
 
 
@@ -310,90 +306,35 @@ def _populations(spark: SparkSession, n: int) -> DataFrame:
 
 @query()
 def lif_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from axonframe.operators.simulate import run_trials, spikes_only
-
     c, _, n = _circuit(spark, sf_dir)
-    plan = _plan(spark, [("rest", 0.0, 0.0, 1.0, 0.0), ("self", 0.6, 0.0, 1.0, 0.0), ("flow", 0.6, 0.25, 1.0, 0.0), ("loop", 0.6, 0.0, 1.0, 0.5)], 3)
+    plan = X.planned(spark, [("rest", 0.0, 0.0, 1.0, 0.0), ("self", 0.6, 0.0, 1.0, 0.0), ("flow", 0.6, 0.25, 1.0, 0.0), ("loop", 0.6, 0.0, 1.0, 0.5)], 3)
     s = spikes_only(run_trials(plan, c, _part(n, 0, 0.2), 1.0, resting=2.0, loop_sides=(_part(n, 0.5, 0.75), _part(n, 0.75, 1))))
     return s.groupBy("arm", "trial").agg(F.count(F.lit(1)).alias("spikes"), F.countDistinct("neuron").alias("active"), (F.count(F.lit(1)) / F.lit(float(n))).alias("rate_hz"))
 
 
 @query()
 def dose_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dose of the patch, a row a share and trial with the dose metrics: rates of all, the pool and four families, active share, deviation, time constant, bump, dimension and injected events."""
-    from axonframe.operators.simulate import run_trials, spikes_only
-    from axonframe.sources.tables import checkpointed
-
+    """A dose of the patch, a row a share and trial."""
     c, _, n = _circuit(spark, sf_dir)
-    seconds, width = 0.5, 50.0
-    count = round(seconds * 1000 / width)
-    plan = _plan(spark, [(str(f), 0.6, f, 1.0, 0.0) for f in (0.0, 0.25, 0.5, 1.0)], 2)
-    pool = _part(n, 0, 0.2)
-    events = checkpointed(run_trials(plan, c, pool, seconds, resting=2.0))
-    s, by = spikes_only(events), ["arm", "trial"]
-    size = lambda k: len(range(k, n, 4))
-    family = lambda k: (F.count_if(F.col("neuron") % 4 == k) / F.lit(max(1, size(k)) * seconds)).alias(f"family{k}_hz")
-    base = s.groupBy(*by).agg((F.count(F.lit(1)) / F.lit(n * seconds)).alias("rate_hz"), (F.countDistinct("neuron") / F.lit(float(n))).alias("active"), (F.count_if(F.col("neuron") < len(pool)) / F.lit(len(pool) * seconds)).alias("pool_hz"), *[family(k) for k in range(4)])
-    b = R.binned(s, [*by, "neuron"], width, 0.0, seconds * 1000)
-    sd = R.population_deviation(b, by, n, count, width / 1000).select(*by, F.col("sd_rate").alias("rate_sd_hz"))
-    tau = R.autocorrelation_time(R.dense_series(b, by, count), by, width, count // 2 - 1).withColumnRenamed("tau", "tau_ms")
-    bump = R.population_vector(b, [*by, "bin"], (F.col("neuron") % 16) * (2 * math.pi / 16)).groupBy(*by).agg(F.avg("amplitude").alias("bump"))
-    spine = plan.select(*by).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    states = b.groupBy(*by, "bin").agg(*[F.sum(F.when(F.col("neuron") % 16 == k, F.col("n")).otherwise(0)).alias(f"s{k}") for k in range(16)])
-    states = spine.join(states, [*by, "bin"], "left").fillna(0).select(*by, F.array(*[F.col(f"s{k}").cast("double") for k in range(16)]).alias("state"))
-    dim = R.vector_participation_ratio(states, by, "state").withColumnRenamed("ratio", "dim")
-    injected = events.filter("neuron < 0").groupBy(*by).agg(F.count(F.lit(1)).alias("injected"))
-    out = plan.select(*by, F.col("patch").alias("frac"))
-    for part in (base, sd, tau, bump, dim, injected):
-        out = out.join(part, by, "left")
-    return out.drop("arm").fillna(0, ["rate_hz", "active", "pool_hz", "rate_sd_hz", "injected", *[f"family{k}_hz" for k in range(4)]])
+    return X.dose(spark, c, _part(n, 0, 0.2), [0.0, 0.25, 0.5, 1.0], 2, 0.5)
 
 
 @query()
 def gain_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By scale of the weights and population: cells, active share, rate, and the mean conductances that its cells receive."""
-    from axonframe.operators.simulate import input_conductances, population_rates, run_trials, spikes_only
-    from axonframe.sources.tables import checkpointed
-
+    """By scale of the weights and population."""
     c, e, n = _circuit(spark, sf_dir)
-    kappas = {f"k{k}": k for k in (0.5, 1.0, 2.0)}
-    s = checkpointed(spikes_only(run_trials(_plan(spark, [(a, 0.6, 0.0, k, 0.0) for a, k in kappas.items()], 1), c, _part(n, 0, 0.2), 0.5)))
-    of = _populations(spark, n)
-    scaled = e.withColumn("k", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(k).alias("kappa")) for a, k in kappas.items()]))).select("k.arm", "pre", "post", (F.col("w") * F.col("k.kappa")).alias("w"))
-    got = [input_conductances(s.filter(F.col("arm") == a), scaled.filter(F.col("arm") == a), of, ["arm"], 0.5) for a in kappas]
-    conductance = got[0].unionByName(got[1]).unionByName(got[2])
-    return population_rates(s, of, ["arm"], 0.5).join(conductance, ["arm", "population"], "left").fillna(0.0, ["exc", "inh"])
+    return X.gain_sweep(c, e, _populations(spark, n), _part(n, 0, 0.2), [0.5, 1.0, 2.0], 0.5)
 
 
 @query()
 def steady_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs of steady rotation, right and left, of a pool whose cells prefer either: how selective cells and populations are for the side."""
-    from axonframe.operators.simulate import run_trials, spikes_only
-
+    """Steady rotation to either side."""
     c, _, n = _circuit(spark, sf_dir)
-    pool = _part(n, 0, 0.2)
-    plan = _plan(spark, [("right", 0.0, 0.0, 1.0, 0.0), ("left", 0.0, 0.0, 1.0, 0.0)], 1).withColumn("yaw", F.when(F.col("arm") == "right", 1.0).otherwise(-1.0))
-    runs = spikes_only(run_trials(plan, c, pool, 0.5, preferred=np.where(np.arange(len(pool)) % 2, -1.0, 1.0)))
-    s = runs.groupBy("neuron").agg((F.count_if(F.col("arm") == "right") / 0.5).alias("r"), (F.count_if(F.col("arm") == "left") / 0.5).alias("l"))
-    every = _populations(spark, n).join(s, "neuron", "left").fillna(0.0, ["r", "l"])
-    return R.direction_index(every.withColumn("w", (F.col("neuron") % 5 - 2).cast("double")), ["population"])
-
-
-#: Fixed values of the scenarios: levels of smell, taste, danger, motion in view and the own body in view.
-SCENARIOS = {"rest": (0.0, 0.0, 0.0, 0.0, 0.0), "smell at rest": (0.5, 0.0, 0.0, 0.0, 0.08), "smell in flight": (0.6, 0.0, 0.0, 0.5, 0.08), "feeding": (0.6, 0.8, 0.0, 0.15, 0.08), "escape": (0.2, 0.0, 0.9, 0.8, 0.08)}
-#: What of motion and body reaches the view's pool, its share of the largest rate, and the resting events a second of every cell.
-VIEW_MOTION, VIEW_SELF, VIEW_SHARE, RESTING_HZ = 0.75, 0.5, 0.6, 6.0
+    return X.steady_direction(spark, c, _populations(spark, n), _part(n, 0, 0.2), 0.5)
 
 
 @query()
 def scenario_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five scenarios of one second, four pools driven at rates of their own: each population's rate in the second half."""
-    from axonframe.operators.simulate import population_rates, run_trials, spikes_only
-
+    """Five scenarios of one second, four pools driven at rates of their own."""
     c, _, n = _circuit(spark, sf_dir)
-    levels = [(name, smell, taste, danger, VIEW_SHARE * min(1.0, VIEW_MOTION * motion + VIEW_SELF * own)) for name, (smell, taste, danger, motion, own) in SCENARIOS.items()]
-    plan = spark.createDataFrame([(a, 0, 0.0, 0.0, 1.0, 0.0, *x) for a, *x in levels], "arm string, trial long, drive double, patch double, kappa double, gain double, smell double, taste double, danger double, view double")
-    pools = {name: _part(n, k / POPULATIONS, (k + 1) / POPULATIONS) for k, name in enumerate(("smell", "taste", "danger", "view"))}
-    s = spikes_only(run_trials(plan, c, _part(n, 0, 0), 1.0, pools=pools, resting=RESTING_HZ, resting_events=1.0)).filter("t >= 500")
-    silent = plan.select("arm").withColumn("neuron", F.lit(-1).cast("long"))  # so that a scenario without a spike is listed
-    return population_rates(s.select("arm", "neuron").unionByName(silent), _populations(spark, n), ["arm"], 0.5).withColumnRenamed("arm", "scenario")
+    return X.scenarios(c, _populations(spark, n), {name: _part(n, k / POPULATIONS, (k + 1) / POPULATIONS) for k, name in enumerate(("smell", "taste", "danger", "view"))})

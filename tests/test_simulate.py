@@ -224,13 +224,14 @@ def test_ring_trajectory_against_singular_values(spark):
 
 
 def test_simulation_queries_hold_their_laws(spark):
+    from axonframe.operators.experiments import SCENARIOS
     from axonframe.plans import readout_queries as Q
 
     sf = "/root/testdata/sf0.001"
     s = Q.scenario_preview(spark, sf).toPandas()
-    assert len(s) == 5 * Q.POPULATIONS and set(s.scenario) == set(Q.SCENARIOS)
+    assert len(s) == 5 * Q.POPULATIONS and set(s.scenario) == set(SCENARIOS)
     rate = s.set_index(["scenario", "population"]).rate_hz
-    for name, (smell, taste, danger, *_) in Q.SCENARIOS.items():  # a driven pool fires more than at rest
+    for name, (smell, taste, danger, *_) in SCENARIOS.items():  # a driven pool fires more than at rest
         for k, level in enumerate((smell, taste, danger)):
             assert not level or rate[name, k] > rate["rest", k] + 5
     d = Q.dose_trials(spark, sf).toPandas().set_index(["frac", "trial"]).sort_index()
@@ -259,3 +260,32 @@ def test_uniform_arms_have_no_patch_by_design(spark):
     df = spark.createDataFrame([(a, k < 2, 0.1 if k < 2 and a != "none" else 1.0) for a in ("none", "body") for k in range(6)], "arm string, in_patch boolean, level double")
     got = {r.arm: r.verdict for r in R.manipulation(df, ["arm"], F.col("arm") == "none").collect()}
     assert got == {"none": "natural", "body": "below natural"}
+
+
+def test_experiments_on_a_stored_circuit(spark, tmp_path, monkeypatch):
+    """From a binary file through the command line, and runs by cells' ids."""
+    import sys
+
+    from axonframe import __main__ as main
+    from axonframe.operators import experiments as X
+    from axonframe.sources import circuit as C
+
+    rng = np.random.default_rng(2)
+    cells = [(k, 500 + k, 0.0, 0.0, 0.0, k % 3, 0) for k in range(30)]
+    edges = [(int(a), int(b), 40.0, False, 40.0) for a, b in zip(rng.integers(0, 10, 120), rng.integers(10, 30, 120), strict=True)]
+    groups = [(g, k) for j, g in enumerate(("odor", "sugar", "motor", "self_motion")) for k in range(2 * j, 2 * j + 2)]
+    path = str(tmp_path / "c.bin")
+    C.write_blob(path, *(spark.createDataFrame(rows, C.SCHEMAS[name]) for rows, name in ((cells, "neurons"), (edges, "edges"), (groups, "groups"))))
+    tables = C.read_blob(spark, path)
+    fired = lambda **o: {r.id: r.n for r in X.run_exp(tables, "e", [500, 501], seconds=0.5, trials=2, **o).groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plain, quiet = fired(), fired(silence=[500, 501])
+    assert set(quiet) == {500, 501} < set(plain) and quiet[500] == plain[500]
+    assert {502} <= set(fired(excite2=[502], hz2=80.0)) - set(quiet)
+    with pytest.raises(ValueError, match="no such cells"):
+        X.run_exp(tables, "e", [1])
+    for command in (["sweep", path, f"{tmp_path}/sweep", "--kappas", "1", "2", "--seconds", "0.2"], ["scenarios", path, f"{tmp_path}/scenes", "--seconds", "0.2"], ["dose", path, f"{tmp_path}/dose", "--fracs", "0", "1", "--trials", "1", "--seconds", "0.2"], ["run", path, f"{tmp_path}/spikes", "--excite", "500", "501", "--seconds", "0.2", "--trials", "2"], ["rates", f"{tmp_path}/spikes", f"{tmp_path}/rates", "--seconds", "0.2", "--trials", "2"]):
+        monkeypatch.setattr(sys, "argv", ["axonframe", *command])
+        main.main()
+    read = lambda name: spark.read.option("header", True).csv(f"{tmp_path}/{name}")
+    assert read("sweep").count() == 6 and read("scenes").count() == 15 and read("dose").count() == 2
+    assert {int(r.neuron) for r in read("rates").collect()} >= {500, 501}
