@@ -181,6 +181,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     runs = mix.groupBy("k", "dup", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))  # a document's own blocks
     passes = runs.groupBy("k", "dup").agg(F.collect_list(F.struct("pass", "runs")).alias("passes"))  # at most cap of them
+    passes = saved(passes, "passes")  # read twice below
     repeated = placed.filter("dup > 1").select("k").distinct()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), _row_key(id_col, text_col, source_col).alias("k"))
     once = whole.join(repeated, "k", "left_anti").join(passes.drop("dup"), "k")
