@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonframe.operators import readout as R
-from axonframe.operators.simulate import Circuit, circuit_of, input_conductances, population_rates, run_trials, spikes_only
-from axonframe.sources.tables import checkpointed
+from axonframe.operators.simulate import Circuit, CircuitTable, circuit_of, input_conductances, population_rates, run_trials, spikes_only
+from axonframe.sources.tables import checkpointed, stored
 
 #: Fixed values of the scenarios: levels of smell, taste, danger, motion in view and the own body in view.
 SCENARIOS = {"rest": (0.0, 0.0, 0.0, 0.0, 0.0), "smell at rest": (0.5, 0.0, 0.0, 0.0, 0.08), "smell in flight": (0.6, 0.0, 0.0, 0.5, 0.08), "feeding": (0.6, 0.8, 0.0, 0.15, 0.08), "escape": (0.2, 0.0, 0.9, 0.8, 0.08)}
@@ -49,7 +49,7 @@ def run_exp(tables: dict[str, DataFrame], name: str, excite: list[int], excite2:
     return spikes_only(spikes).join(names, "neuron").select(F.col("arm").alias("exp_name"), "trial", "id", (F.col("t") / 1000).alias("t"))
 
 
-def gain_sweep(c: Circuit, edges: DataFrame, of: DataFrame, pool: np.ndarray, kappas: list[float], seconds: float, drive: float = 0.6) -> DataFrame:
+def gain_sweep(c: Circuit | CircuitTable, edges: DataFrame, of: DataFrame, pool: np.ndarray, kappas: list[float], seconds: float, drive: float = 0.6) -> DataFrame:
     """``arm, population, cells, active, rate_hz, exc, inh`` by scale of the weights (arm ``k...``): rates, and the mean conductances that cells receive."""
     spark, arms = of.sparkSession, {f"k{k}": float(k) for k in kappas}
     s = checkpointed(spikes_only(run_trials(planned(spark, [(a, drive, 0.0, k, 0.0) for a, k in arms.items()], 1), c, pool, seconds)))
@@ -61,7 +61,7 @@ def gain_sweep(c: Circuit, edges: DataFrame, of: DataFrame, pool: np.ndarray, ka
     return rates.join(into, ["arm", "population"], "left").fillna(0.0, ["exc", "inh"])
 
 
-def scenarios(c: Circuit, of: DataFrame, pools: dict[str, np.ndarray], seconds: float = 1.0) -> DataFrame:
+def scenarios(c: Circuit | CircuitTable, of: DataFrame, pools: dict[str, np.ndarray], seconds: float = 1.0) -> DataFrame:
     """``scenario, population, cells, active, rate_hz`` in the second half of each scenario; ``pools``: the cells for smell, taste, danger and view."""
     levels = [(name, smell, taste, danger, VIEW_SHARE * min(1.0, VIEW_MOTION * motion + VIEW_SELF * own)) for name, (smell, taste, danger, motion, own) in SCENARIOS.items()]
     plan = of.sparkSession.createDataFrame([(a, 0, 0.0, 0.0, 1.0, 0.0, *x) for a, *x in levels], "arm string, trial long, drive double, patch double, kappa double, gain double, smell double, taste double, danger double, view double")
@@ -70,11 +70,11 @@ def scenarios(c: Circuit, of: DataFrame, pools: dict[str, np.ndarray], seconds:
     return population_rates(s.select("arm", "neuron").unionByName(silent), of, ["arm"], seconds / 2).withColumnRenamed("arm", "scenario")
 
 
-def dose(spark: SparkSession, c: Circuit, pool: np.ndarray, shares: list[float], trials: int, seconds: float, drive: float = 0.6, width: float = 50.0) -> DataFrame:
+def dose(spark: SparkSession, c: Circuit | CircuitTable, pool: np.ndarray, shares: list[float], trials: int, seconds: float, drive: float = 0.6, width: float = 50.0) -> DataFrame:
     """``frac, trial`` and the dose metrics: rates of all, the pool and four families, active share, deviation over bins, time constant, bump, dimension and injected events."""
     n, count, by = c.n, round(seconds * 1000 / width), ["arm", "trial"]
     plan = planned(spark, [(str(f), drive, f, 1.0, 0.0) for f in shares], trials)
-    events = checkpointed(run_trials(plan, c, pool, seconds, resting=2.0))
+    events = stored(run_trials(plan, c, pool, seconds, resting=2.0), "spikes")
     s = spikes_only(events)
     family = lambda k: (F.count_if(F.col("neuron") % 4 == k) / F.lit(max(1, len(range(k, n, 4))) * seconds)).alias(f"family{k}_hz")
     in_pool = F.broadcast(spark.createDataFrame([(int(x), True) for x in pool], "neuron long, in_pool boolean"))
@@ -94,7 +94,7 @@ def dose(spark: SparkSession, c: Circuit, pool: np.ndarray, shares: list[float],
     return out.drop("arm").fillna(0, ["rate_hz", "active", "pool_hz", "rate_sd_hz", "injected", *[f"family{k}_hz" for k in range(4)]])
 
 
-def steady_direction(spark: SparkSession, c: Circuit, of: DataFrame, pool: np.ndarray, seconds: float) -> DataFrame:
+def steady_direction(spark: SparkSession, c: Circuit | CircuitTable, of: DataFrame, pool: np.ndarray, seconds: float) -> DataFrame:
     """Two runs of steady rotation, right and left, of a pool whose cells prefer either in turn: how selective populations are for the side."""
     plan = planned(spark, [("right", 0.0, 0.0, 1.0, 0.0), ("left", 0.0, 0.0, 1.0, 0.0)], 1).withColumn("yaw", F.when(F.col("arm") == "right", 1.0).otherwise(-1.0))
     runs = spikes_only(run_trials(plan, c, pool, seconds, preferred=np.where(np.arange(len(pool)) % 2, -1.0, 1.0)))

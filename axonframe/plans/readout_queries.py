@@ -8,10 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axonframe.functions.exprs import prefix_sums
 from axonframe.operators import experiments as X
 from axonframe.operators import readout as R
 from axonframe.operators import stimulus as S
-from axonframe.operators.simulate import circuit_of, run_trials, spikes_only
+from axonframe.operators.simulate import CircuitTable, packed, run_trials, spikes_only
+from axonframe.sources.tables import stored
 
 from .catalogue import query
 from .fixtures import SPIKES, event_graph, spikes, table
@@ -280,15 +282,16 @@ def ring_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ring_trajectory(b, ["arm"], 50, DAYS)
 
 
-def _circuit(spark: SparkSession, sf_dir: str) -> tuple[object, DataFrame, int]:
-    """A neuron for each user, numbered in the order of ids; edges between consecutive events; every fifth user is inhibitory."""
+def _circuit(spark: SparkSession, sf_dir: str) -> tuple[CircuitTable, DataFrame, int]:
+    """A neuron for each user, numbered in the order of ids; edges between consecutive events; every fifth user is inhibitory. Neither users nor edges come to the driver."""
     g = event_graph(spark, sf_dir).groupBy("pre", "post").agg(F.sum("w").alias("w")).withColumn("w", F.when(F.col("pre") % 5 == 0, -F.col("w")).otherwise(F.col("w")) * 0.275 / 10)
-    users = sorted(r.id for r in g.select(F.col("pre").alias("id")).union(g.select("post")).distinct().collect())
-    n = len(users)
-    index = spark.createDataFrame(list(enumerate(users)), "k long, id long")
+    g = stored(g, "graph")
+    ends = g.select(F.col("pre").alias("id")).union(g.select("post")).distinct()
+    index = stored(prefix_sums(ends, "id", {"k": F.lit(1)}).select((F.col("k") - 1).alias("k"), "id"), "neurons")
+    n = index.count()
     number = lambda side: index.select(F.col("k").alias(f"{side}_k"), F.col("id").alias(side))
-    e = g.join(number("pre"), "pre").join(number("post"), "post").select(F.col("pre_k").alias("pre"), F.col("post_k").alias("post"), "w")
-    return circuit_of(e, n), e, n
+    e = stored(g.join(number("pre"), "pre").join(number("post"), "post").select(F.col("pre_k").alias("pre"), F.col("post_k").alias("post"), "w"), "edges")
+    return CircuitTable(packed(e), n), e, n
 
 
 def _part(n: int, start: float, stop: float) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the folder that the cluster shares, read back: for tables of many rows, which :func:`checkpointed` keeps unpacked."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_parquet(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None) -> DataFrame:
     """Parquet files of one kind as one table, pruned to the columns; files may differ in their other columns."""
     df = spark.read.option("mergeSchema", "true").parquet(*([paths] if isinstance(paths, str) else paths))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from axonframe.operators import readout as R
 from axonframe.operators import stimulus as S
-from axonframe.operators.simulate import Circuit, Loop, Membrane, Network, circuit_of, run_trials
+from axonframe.operators.simulate import Circuit, CircuitTable, Loop, Membrane, Network, circuit_of, packed, run_trials
 
 
 def random_circuit(n=30, m=300, seed=0):
@@ -289,3 +289,43 @@ def test_experiments_on_a_stored_circuit(spark, tmp_path, monkeypatch):
     read = lambda name: spark.read.option("header", True).csv(f"{tmp_path}/{name}")
     assert read("sweep").count() == 6 and read("scenes").count() == 15 and read("dose").count() == 2
     assert {int(r.neuron) for r in read("rates").collect()} >= {500, 501}
+
+
+@pytest.mark.parametrize("name", ["dose_trials"])
+def test_no_table_comes_to_the_driver(spark, tmp_path, monkeypatch, name):
+    """Of users, edges and spikes the driver gets single rows (counts, quantiles), never the tables."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    from axonframe.plans import readout_queries as Q
+
+    whole = Frame.collect
+
+    def one_row(df):
+        got = whole(df)
+        assert len(got) <= 1
+        return got
+
+    for way in ("toPandas", "toArrow", "toLocalIterator"):
+        monkeypatch.setattr(Frame, way, None)
+    monkeypatch.setattr(Frame, "collect", one_row)
+    getattr(Q, name)(spark, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/out")
+
+
+def test_a_circuit_in_blocks_runs_like_one_on_the_driver(spark):
+    rng = np.random.default_rng(5)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 30, 400) // 3 * 3, rng.integers(0, 30, 400), strict=True)} | {(3, k) for k in range(30)})
+    w = rng.normal(5, 20, len(pairs)).astype(np.float32)
+    plain = Circuit(np.concatenate([[0], np.cumsum(np.bincount([a for a, _ in pairs], minlength=30))]), np.array([b for _, b in pairs]), w)
+    edges = spark.createDataFrame([(a, b, float(x)) for (a, b), x in zip(pairs, w, strict=True)], "pre long, post long, w double").repartition(7)
+    plan = spark.createDataFrame([(a, t, 0.8, 0.0, k, 0.0) for a, k in (("x", 1.0), ("y", 0.5)) for t in (0, 1)], PLAN)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)  # so that senders are cut between blocks
+    try:
+        got = CircuitTable(packed(edges), 30)
+        c = got.gathered()
+        assert c.offsets.tolist() == plain.offsets.tolist() and c.targets.tolist() == plain.targets.tolist() and c.weights.tolist() == w.tolist()
+        run = lambda c: sorted(run_trials(plan, c, np.arange(10), 0.2, resting=5.0).collect())
+        assert run(got) == run(plain) != []
+        none = CircuitTable(packed(edges.filter("false")), 10)
+        assert sorted(run_trials(plan, none, np.arange(5), 0.2).collect()) == sorted(run_trials(plan, SILENT, np.arange(5), 0.2).collect()) != []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
