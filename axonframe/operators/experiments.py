@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from axonframe.operators import readout as R
 from axonframe.operators.simulate import Circuit, CircuitTable, circuit_of, input_conductances, population_rates, run_trials, spikes_only
-from axonframe.sources.tables import checkpointed, stored
+from axonframe.sources.tables import stored
 
 #: Fixed values of the scenarios: levels of smell, taste, danger, motion in view and the own body in view.
 SCENARIOS = {"rest": (0.0, 0.0, 0.0, 0.0, 0.0), "smell at rest": (0.5, 0.0, 0.0, 0.0, 0.08), "smell in flight": (0.6, 0.0, 0.0, 0.5, 0.08), "feeding": (0.6, 0.8, 0.0, 0.15, 0.08), "escape": (0.2, 0.0, 0.9, 0.8, 0.08)}
@@ -52,7 +52,7 @@ def run_exp(tables: dict[str, DataFrame], name: str, excite: list[int], excite2:
 def gain_sweep(c: Circuit | CircuitTable, edges: DataFrame, of: DataFrame, pool: np.ndarray, kappas: list[float], seconds: float, drive: float = 0.6) -> DataFrame:
     """``arm, population, cells, active, rate_hz, exc, inh`` by scale of the weights (arm ``k...``): rates, and the mean conductances that cells receive."""
     spark, arms = of.sparkSession, {f"k{k}": float(k) for k in kappas}
-    s = checkpointed(spikes_only(run_trials(planned(spark, [(a, drive, 0.0, k, 0.0) for a, k in arms.items()], 1), c, pool, seconds)))
+    s = stored(spikes_only(run_trials(planned(spark, [(a, drive, 0.0, k, 0.0) for a, k in arms.items()], 1), c, pool, seconds)), "spikes")
     scales = spark.createDataFrame(list(arms.items()), "arm string, kappa double")
     into = input_conductances(s, edges, of, ["arm"], seconds).join(F.broadcast(scales), "arm")
     into = into.select("arm", "population", (F.col("exc") * F.col("kappa")).alias("exc"), (F.col("inh") * F.col("kappa")).alias("inh"))
