@@ -65,7 +65,7 @@ def scenarios(c: Circuit | CircuitTable, of: DataFrame, pools: dict[str, np.ndar
     """``scenario, population, cells, active, rate_hz`` in the second half of each scenario; ``pools``: the cells for smell, taste, danger and view."""
     levels = [(name, smell, taste, danger, VIEW_SHARE * min(1.0, VIEW_MOTION * motion + VIEW_SELF * own)) for name, (smell, taste, danger, motion, own) in SCENARIOS.items()]
     plan = of.sparkSession.createDataFrame([(a, 0, 0.0, 0.0, 1.0, 0.0, *x) for a, *x in levels], "arm string, trial long, drive double, patch double, kappa double, gain double, smell double, taste double, danger double, view double")
-    s = spikes_only(run_trials(plan, c, np.arange(1), seconds, pools=pools, resting=RESTING_HZ, resting_events=1.0)).filter(F.col("t") >= seconds * 500)
+    s = stored(spikes_only(run_trials(plan, c, np.arange(1), seconds, pools=pools, resting=RESTING_HZ, resting_events=1.0)).filter(F.col("t") >= seconds * 500), "spikes")
     silent = plan.select("arm").withColumn("neuron", F.lit(-1).cast("long"))
     return population_rates(s.select("arm", "neuron").unionByName(silent), of, ["arm"], seconds / 2).withColumnRenamed("arm", "scenario")
 
