@@ -291,7 +291,7 @@ def test_experiments_on_a_stored_circuit(spark, tmp_path, monkeypatch):
     assert {int(r.neuron) for r in read("rates").collect()} >= {500, 501}
 
 
-@pytest.mark.parametrize("name", ["dose_trials", "gain_sweep", "lif_trials", "scenario_preview"])
+@pytest.mark.parametrize("name", ["dose_trials", "gain_sweep", "lif_trials", "scenario_preview", "steady_direction"])
 def test_no_table_comes_to_the_driver(spark, tmp_path, monkeypatch, name):
     """Of users, edges and spikes the driver gets single rows (counts, quantiles), never the tables."""
     from pyspark.sql.classic.dataframe import DataFrame as Frame
