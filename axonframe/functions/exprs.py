@@ -28,6 +28,18 @@ def safe_slope(x: Column | str, y: Column | str) -> Column:
     return ratio(F.covar_pop(x, y), F.var_pop(x))
 
 
+def exact_mean(x: Column | str) -> Column:
+    """An aggregate: the mean of decimal values, such as amounts, that no order of rows changes: the double next to their true sum, divided by their number.
+
+    Sums of doubles end in other last digits by the order of rows, so that a mean lies now on a threshold, now below it. Here values
+    are added as decimals of 8 places. A group with a value that isn't one (or 1e12 or more, or not finite) has the mean of doubles.
+    """
+    x = _c(x).cast("double")
+    d = x.try_cast("decimal(20,8)")
+    mean = F.try_divide(F.try_sum(d).cast("double"), F.count(d))
+    return F.when(F.bool_and(F.when(x.isNotNull(), F.coalesce(d.cast("double") == x, F.lit(False)))) & mean.isNotNull(), mean).otherwise(F.avg(x))
+
+
 def wrap_angle(a: Column | str) -> Column:
     """The angle in (-pi, pi]."""
     a = _c(a)

@@ -89,9 +89,10 @@ def extreme_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT key, CASE WHEN coalesce(v, 0) <= 0 AND coalesce(c, 0) <= 0 AND coalesce(p, 0) <= 0 THEN 'none' WHEN coalesce(v, 0) >= coalesce(c, 0) AND coalesce(v, 0) >= coalesce(p, 0) THEN 'view' WHEN coalesce(c, 0) >= coalesce(p, 0) THEN 'click' ELSE 'purchase' END AS lead,
 CASE WHEN v >= 60 THEN 'excited' WHEN v >= 45 THEN 'busy' ELSE 'calm' END AS mood, round(coalesce(v, 0) / (1 + coalesce(v, 0)), 6) AS squashed FROM u""")
 def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from axonframe.functions.exprs import squash
+    """Moods and leading kinds by means that no order of rows changes, as they are held against thresholds and each other."""
+    from axonframe.functions.exprs import exact_mean, squash
 
-    mean = lambda k: F.avg(F.when(F.col("event_type") == k, F.col("value")))
+    mean = lambda k: exact_mean(F.when(F.col("event_type") == k, F.col("value")))
     u = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(mean("view").alias("v"), mean("click").alias("c"), mean("purchase").alias("p"))
     return u.select("key", L.dominant([("view", "v"), ("click", "c"), ("purchase", "p")], "none").alias("lead"), L.ladder("v", [(60.0, "excited"), (45.0, "busy")], "calm").alias("mood"), F.round(squash(F.coalesce("v", F.lit(0.0))), 6).alias("squashed"))
 

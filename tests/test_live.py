@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +56,29 @@ def test_agent_motion_with_and_without_a_brain(spark):
     got = V.agent_motion(df).select("turn_rate", "new_speed").collect()
     assert [r.turn_rate for r in got] == pytest.approx([1.7, 3.2, 1.3])
     assert [r.new_speed for r in got] == pytest.approx([60.0, 10 + 0.15 * 35, 10 + 0.15 * 57])
+
+
+def test_narrative_has_no_rounding_at_thresholds(spark, tmp_path):
+    """A mean of just 45 is busy, and equal sums of as many values go to the first kind, in whatever order they are added."""
+    from axonframe.plans.live_queries import narrative
+
+    views = [30.1, 59.9, 45.07, 44.93, 45.1, 44.9, 0.1, 89.9, 70.7, 19.3]
+    others = [("click", v) for v in (58.4, 58.56, 0.1, 116.86, 58.48, 58.47, 58.49)] + [("purchase", v) for v in (58.41, 58.55, 0.3, 116.66, 58.48, 58.46, 58.5)]
+    rows = []
+    for user in range(60):
+        rng = random.Random(user)
+        of = [("view", v) for v in views] + others
+        rng.shuffle(of)
+        rows += [(user, k, v) for k, v in of]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert {(r.lead, r.mood) for r in narrative(spark, str(tmp_path)).collect()} == {("click", "busy")}
+
+
+def test_exact_mean_takes_any_double(spark):
+    from axonframe.functions.exprs import exact_mean
+
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", 0.1), ("a", 0.2), ("a", None), ("b", 1e300), ("b", 1e300), ("c", inf), ("c", 1.0), ("d", None), ("e", nan), ("e", 1.0), ("f", 1 / 3), ("f", 1e-12), ("g", 9e11), ("g", 9e11), ("h", -0.07), ("h", 0.07)]
+    got = {r.g: r.m for r in spark.createDataFrame(rows, "g string, v double").groupBy("g").agg(exact_mean("v").alias("m")).collect()}
+    assert got.pop("e") != 0 and math.isnan(spark.createDataFrame([(nan,)], "v double").agg(exact_mean("v")).first()[0])
+    assert got == {"a": 0.15, "b": 1e300, "c": inf, "d": None, "f": (1 / 3 + 1e-12) / 2, "g": 9e11, "h": 0.0}
