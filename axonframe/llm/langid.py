@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +34,34 @@ class Model:
     """Log frequencies by language of known words, and of n-grams of each size for all other words."""
 
     def __init__(self, langs: list[str], counts: pa.Table, smooth: float = 0.5) -> None:
-        """``counts``: ``lang, kind`` (0 for a word, else the size of an n-gram), ``item, n``."""
-        self.langs = langs
-        self.index: list[dict[str, int]] = []
-        self.logs = []
+        """``counts``: ``lang, kind`` (0 for a word, else the size of an n-gram), ``item, n``.
+
+        Only these go to the tasks, which make their own dictionaries of them when the first text comes: the driver needs none.
+        """
+        self.langs, self.counts, self.smooth = langs, counts, smooth
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("langs", "counts", "smooth")}
+
+    @cached_property
+    def _tables(self) -> tuple[list[dict[str, int]], list[np.ndarray]]:
+        index, logs = [], []
         for kind in range(max(SIZES) + 1):
-            some = counts.filter(pa.compute.equal(counts["kind"], kind)).combine_chunks()
+            some = self.counts.filter(pa.compute.equal(self.counts["kind"], kind)).combine_chunks()
             items = some["item"].combine_chunks().dictionary_encode()
-            self.index.append({x: k for k, x in enumerate(items.dictionary.to_pylist())})
-            m = np.full((len(items.dictionary), len(langs)), smooth)
-            np.add.at(m, (items.indices.to_numpy(), pa.compute.index_in(some["lang"], pa.array(langs, pa.string())).to_numpy()), some["n"].to_numpy())
-            self.logs.append(np.log(m / m.sum(axis=0)).astype(np.float32) if len(m) else m)
+            index.append({x: k for k, x in enumerate(items.dictionary.to_pylist())})
+            m = np.full((len(items.dictionary), len(self.langs)), self.smooth)
+            np.add.at(m, (items.indices.to_numpy(), pa.compute.index_in(some["lang"], pa.array(self.langs, pa.string())).to_numpy()), some["n"].to_numpy())
+            logs.append(np.log(m / m.sum(axis=0)).astype(np.float32) if len(m) else m)
+        return index, logs
+
+    @property
+    def index(self) -> list[dict[str, int]]:
+        return self._tables[0]
+
+    @property
+    def logs(self) -> list[np.ndarray]:
+        return self._tables[1]
 
     def scores(self, text: str) -> np.ndarray | None:
         """Summed log frequencies by language; None if the text has no letter.
@@ -57,7 +75,8 @@ class Model:
         total = np.zeros(len(self.langs))
         if not self.langs:
             return total
-        known = self.index[0]
+        indices, logs = self._tables
+        known = indices[0]
         at, n = [], []
         by_size: dict[int, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
         for w, c in words.items():
@@ -66,15 +85,15 @@ class Model:
                 n.append(c)
                 continue
             for size in SIZES:
-                index = self.index[size]
+                index = indices[size]
                 if got := [k for g in grams(w, size) if (k := index.get(g)) is not None]:
                     by_size[size][0].extend(got)
                     by_size[size][1].extend([c / len(got)] * len(got))
                     break
         if at:
-            total += np.array(n, dtype=float) @ self.logs[0][at]
+            total += np.array(n, dtype=float) @ logs[0][at]
         for size, (got, weight) in by_size.items():
-            total += np.array(weight) @ self.logs[size][got]
+            total += np.array(weight) @ logs[size][got]
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -87,48 +106,67 @@ class Model:
         return self.langs[k], float(p[k] / p.sum())
 
 
-def counted(labelled: DataFrame) -> DataFrame:
-    """``lang, kind, item, n`` of the words and n-grams of ``lang, text``; counted by task before the shuffle."""
+def _flushed(held: Counter, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The counts of tuples as rows, in batches; the counter is empty afterwards."""
+    rows = list(held.items())
+    held.clear()
+    for k in range(0, len(rows), 20_000):
+        part = rows[k : k + 20_000]
+        columns = [*zip(*[x[0] for x in part], strict=True), [x[1] for x in part]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = list(held.items())
-            held.clear()
-            for k in range(0, len(rows), 20_000):
-                part = rows[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in part]), pa.array([x[0][1] for x in part], pa.int32()), pa.array([x[0][2] for x in part]), pa.array([x[1] for x in part], pa.int64())], ["lang", "kind", "item", "n"])
+def counted(labelled: DataFrame) -> DataFrame:
+    """``lang, kind, item, n`` of the words and n-grams of ``lang, text``.
+
+    Words are counted by task before the shuffle, and n-grams from the counts of distinct words: a text is only cut into words.
+    """
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        names, types = ["lang", "word", "n"], [pa.string(), pa.string(), pa.int64()]
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w, c in Counter(words_of(text)).items():
-                    held[lang, 0, w] += c
-                    for size in SIZES:
-                        for g in grams(w, size):
-                            held[lang, size, g] += c
+                    held[lang, w] += c
+                if len(held) > 200_000:
+                    yield from _flushed(held, names, types)
+        yield from _flushed(held, names, types)
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        names, types = ["lang", "kind", "item", "n"], [pa.string(), pa.int32(), pa.string(), pa.int64()]
+        for b in batches:
+            for lang, w, n in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+                held[lang, 0, w] += n
+                for size in SIZES:
+                    for g in grams(w, size):
+                        held[lang, size, g] += n
                 if len(held) > 200_000:
-                    yield from out()
-        yield from out()
+                    yield from _flushed(held, names, types)
+        yield from _flushed(held, names, types)
 
-    return labelled.select("lang", "text").mapInArrow(run, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    by_word = labelled.select("lang", "text").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return by_word.mapInArrow(items, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, learn: Column, sample_docs: int = 2000, least: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from rows where ``learn`` holds and text and language are not null.
+def train(docs: DataFrame, learn: Column, sample_docs: int | None = None, least: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learns from all rows where ``learn`` holds and text and language are not null.
 
-    The classifier is fitted on a bounded sample: about ``sample_docs`` rows a language, by a hash of the id. Of these
-    rows, in whole texts, the model has all words and n-grams seen ``least`` times or more in all languages together, with the counts
+    Of these rows, in whole texts, the model has all words and n-grams seen ``least`` times or more in all languages together, with the counts
     of every language; what was seen once only is as good as unseen, and shorter n-grams speak for it. The counts come to the driver
-    and go back to the tasks, so their size is bounded by the sample. No labelled row: a model without languages.
+    and go back to the tasks: they grow with the vocabulary, not with the text. ``sample_docs``: if given, only about as many rows a language, by a hash of the id.
+    No labelled row: a model without languages.
     """
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h"))
     size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    full = float(1 << 31)
-    keep = F.lit(False)
-    for lang, n in size.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 31)) < F.lit(full * min(1.0, sample_docs / n))))
-    items = counted(rows.filter(keep)).groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("counts")).filter(F.col("total") >= least)
+    if sample_docs is not None:
+        full = float(1 << 31)
+        keep = F.lit(False)
+        for lang, n in size.items():
+            keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 31)) < F.lit(full * min(1.0, sample_docs / n))))
+        rows = rows.filter(keep)
+    items = counted(rows).groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("counts")).filter(F.col("total") >= least)
     return Model(sorted(size), items.select("kind", "item", F.explode("counts").alias("c")).select("c.lang", "kind", "item", "c.n").toArrow())
 
 

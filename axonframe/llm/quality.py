@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._common import saved
+from ._common import dropped, saved
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -41,27 +41,22 @@ def features(text: str, hashes: Hashes, bits: int) -> np.ndarray:
     return (np.concatenate([h * _MIX[1], pairs, mark]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def counts_of(docs: DataFrame, target_ids: list, bits: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts over all documents and over those with the ids given: one array of fixed length a task comes to the driver by a sum in the shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(target_ids))
+def counts_of(texts: DataFrame, bits: int) -> np.ndarray:
+    """Bucket counts over a column of texts: one array of fixed length a task comes to the driver by a sum in the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, n = Hashes(), 1 << bits
-        raw, target = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        hashes, n = Hashes(), np.zeros(1 << bits, dtype=np.int64)
         for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                if (t := text.as_py()) and len(f := features(t, hashes, bits)):
-                    np.add.at(raw, f, 1)
-                    if doc.as_py() in sent.value:
-                        np.add.at(target, f, 1)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at], pa.int64()), pa.array(target[at], pa.int64())], ["bucket", "raw", "target"])
+            for text in b.column(0):
+                if t := text.as_py():
+                    np.add.at(n, features(t, hashes, bits), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["bucket", "n"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = rows.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    raw[got.bucket], target[got.bucket] = got.raw, got.target
-    return raw, target
+    got = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << bits)
+    out[got.bucket] = got.n
+    return out
 
 
 def log_weight(spark: SparkSession, ratio: np.ndarray, length: int, half: int, text_col: str = "text") -> Column:
@@ -82,6 +77,25 @@ def log_weight(spark: SparkSession, ratio: np.ndarray, length: int, half: int, t
     return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(F.col(text_col).cast("string"))
 
 
+def own_off_weight(spark: SparkSession, target: np.ndarray, raw: np.ndarray, prior: float, length: int, half: int, text_col: str) -> Column:
+    """The :func:`log_weight` of a text that is among those counted in ``target``, as if it weren't: its own n-grams are taken off."""
+    bits, (all_target, all_raw) = len(target).bit_length() - 1, (target.sum(), raw.sum())
+    sent = spark.sparkContext.broadcast((target, raw))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes, (target, raw) = Hashes(), sent.value
+
+        def weight(f: np.ndarray) -> float:
+            u, n = np.unique(f, return_counts=True)
+            ratio = np.log(target[u] - n + prior) - np.log(raw[u] * ((all_target - len(f)) / all_raw) + prior)
+            return float((n * ratio).sum() * length / (len(f) + half))
+
+        for texts in batches:
+            yield pa.array([weight(features(t, hashes, bits)) if (t := x.as_py()) else 0.0 for x in texts], pa.float64())
+
+    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(F.col(text_col))
+
+
 def kth_largest(rows: DataFrame, col: str, k: int, bins: int = 4096) -> float:
     """The k-th largest value of a double column, exactly: counts in ever finer bins, one small aggregation a pass.
 
@@ -108,29 +122,35 @@ def kth_largest(rows: DataFrame, col: str, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def decided(docs: DataFrame, labels: DataFrame, k: int | None = None, carry: list[str] | None = None, sample_docs: int = 20_000, bits: int = 16, prior: float = 10.0, length: int = 100, half: int = 20, lose: float = 0.002, slack: float = 1.5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decided(docs: DataFrame, labels: DataFrame, k: int | None = None, carry: list[str] | None = None, sample_docs: int | None = None, bits: int = 16, prior: float = 10.0, length: int = 100, half: int = 20, lose: float = 0.002, slack: float = 1.5, seed: int = 11, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` (only those in ``carry``, if given, and the id) as ``c0, c1, ...``, with ``log_weight``, ``gumbel_key`` and ``kept``, the sample drawn by importance resampling.
 
-    The target model counts the n-grams of documents labelled good (quality 1 and not toxic; a document with several
-    labels is good if all are), a bounded sample of ``sample_docs`` of them by a hash of the id; their ids are
-    broadcast. The raw model counts all documents. Buckets that are seldom seen are drawn to ratio 1 by ``prior`` counts. A document's
+    The target model counts the n-grams of all documents labelled good (quality 1 and not toxic; a document with several
+    labels is good if all are), or of ``sample_docs`` of them by a hash of the id, if given. Labels meet texts by a join on the id; no ids come to the driver.
+    The raw model counts all documents. Buckets that are seldom seen are drawn to ratio 1 by ``prior`` counts. A document's
     log weight (:func:`log_weight`) plus Gumbel noise (from a hash of the id) is its key, and the ``k`` largest keys are a
     sample without replacement by weight.
 
-    ``k`` is a parameter. Left out, it is the number of documents that look like the target: a fifth of the good sample isn't counted
-    but tells how far good documents fall (from its median, ``slack`` times the way to its ``lose`` quantile), and k is the
-    number of documents with a log weight of at least that.
+    ``k`` is a parameter. Left out, it is the number of documents that look like the target: of at least the log weight that tells
+    how far good documents fall (from their median, ``slack`` times the way to their ``lose`` quantile). ``whole``: all good documents are counted,
+    and all tell how far they fall, each judged without its own n-grams. Otherwise a fifth of them isn't counted and tells it.
     Rows with equal keys at the threshold are all kept. No labels, or none of them good: nothing to tell apart, all are kept.
     A toxic document in good language has the n-grams of the target but for a few words, and is not told apart by them.
 
     Null or empty text: log weight 0. Null ids take part with one common noise. Repeated rows get equal keys. Very long texts count whole. An
-    empty table gives no rows. Other columns are carried through, whatever they are called. Two passes over the text, no shuffle of it.
+    empty table gives no rows. Other columns are carried through, whatever they are called. Two passes over the text, and a shuffle of it to meet the labels.
     """
     names = docs.columns
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and coalesce(t, 0) = 0")
-    ids = [r.doc_id for r in good.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_docs).collect()]
-    fit, check = ids[len(ids) // 5 :], ids[: len(ids) // 5]
-    raw, target = counts_of(docs, fit, bits, id_col, text_col)
+    spark, order = docs.sparkSession, (F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    good = good.select("doc_id")
+    if sample_docs is not None:
+        good = good.orderBy(*order).limit(sample_docs)
+    fifth = 0 if whole else good.count() // 5
+    good = good.withColumn("check", F.lit(False)) if not fifth else good.join(good.orderBy(*order).limit(fifth).withColumn("check", F.lit(True)), "doc_id", "left").fillna(False, "check")
+    texts = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(good, "doc_id").select("text", "check"), "good")
+    raw = counts_of(docs.select(F.col(text_col).cast("string")), bits)
+    target = counts_of(texts.filter("not check").select("text"), bits)
     if target.sum():
         ratio = np.log(target + prior) - np.log(raw * (target.sum() / raw.sum()) + prior)  # a bucket's prior is the raw model's share
     else:
@@ -144,14 +164,16 @@ def decided(docs: DataFrame, labels: DataFrame, k: int | None = None, carry: lis
     if k is not None:
         edge = kth_largest(got, "gumbel_key", k)
     elif target.sum():
-        sample = docs.sparkSession.createDataFrame([(i,) for i in check or fit], "id long")  # bounded by sample_docs
-        weights = got.select(F.col(at).cast("long").alias("id"), "log_weight").join(F.broadcast(sample), "id", "left_semi")
+        of = own_off_weight(spark, target, raw, prior, length, half, "text") if whole else log_weight(spark, ratio, length, half)
+        weights = saved((texts.filter("check") if fifth else texts).select(of.alias("log_weight")), "good-weights")
         n = weights.count()
         low, mid = (kth_largest(weights, "log_weight", max(1, j)) for j in (n - int(lose * n), n // 2))
         floor = mid - slack * (mid - low) if n else float("inf")
         edge = kth_largest(got, "gumbel_key", got.filter(F.col("log_weight") >= floor).count())
+        dropped(weights)
     else:
         edge = float("-inf")
+    dropped(texts)
     return got.withColumn("kept", F.col("gumbel_key") >= edge)
 
 

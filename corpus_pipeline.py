@@ -27,7 +27,7 @@ SURE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Word-first backoff; rejects documents without a letter (``und``) and those of no clear language.
 
-    The model learns from the rows that are not held out; the column ``lang`` is left as it was. Null and empty texts are ``und``; repeated
+    The model learns from all rows that are not held out; the column ``lang`` is left as it was. Null and empty texts are ``und``; repeated
     rows are judged alike. Without a labelled row nothing can be told, and all documents go.
     """
     model = train(docs, ~held_out() & F.col("doc_id").isNotNull())
@@ -36,11 +36,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling against the documents labelled good; rejects what the Gumbel top-k doesn't draw.
+    """Importance resampling against all documents labelled good; rejects what the Gumbel top-k doesn't draw.
+
+    All of them are counted, and the threshold comes from all of them, each judged without its own n-grams.
 
     Null and empty texts weigh like a text of unseen n-grams; repeated rows are kept or rejected alike. Without good labels all stay.
     """
-    return decided(docs, table(spark, sf_dir, "labels")).filter("kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return decided(docs, table(spark, sf_dir, "labels"), whole=True).filter("kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

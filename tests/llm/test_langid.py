@@ -98,3 +98,12 @@ def test_an_item_keeps_the_counts_of_every_language(spark):
     assert set(m.index[0]) == {"shared", "alpha", "beta", "gamma", "delta", "solitary"}
     freq = np.exp(m.logs[0][m.index[0]["solitary"]])
     assert freq == pytest.approx([1.5 / (241 + 3), 1.5 / (7 + 3)], rel=1e-5)
+
+
+def test_all_rows_are_learned_from(spark):
+    """Each of 3,000 words stands in two of 6,000 rows of a language; a sample of the rows would miss most of them."""
+    word = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:04d}")
+    docs = spark.createDataFrame([(k, f"word {word(k // 2)}", "x" if k < 6000 else "y") for k in range(6400)], "doc_id long, text string, lang string")
+    m = train(docs, F.lit(True))
+    assert set(m.index[0]) == {"word", *(word(k) for k in range(3200))}
+    assert np.exp(m.logs[0][m.index[0]["word"]]) == pytest.approx([6000.5 / (12000 + 0.5 * 3201), 400.5 / (800 + 0.5 * 3201)], rel=1e-5)

@@ -95,3 +95,32 @@ def test_odd_rows(request, which, labels):
     out = resample(docs, labels)
     assert out.count() == docs.count()
     assert resample(docs, labels.filter("false")).filter("not kept").count() == 0
+
+
+def test_pipeline_counts_all_good_documents(spark, sf):
+    """Against plain counts of all of them; the threshold from all of them, each without its own n-grams."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts, by_id = {r.doc_id: r.text for r in docs.collect()}, defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        by_id[r.doc_id].append(r.quality == 1 and not r.toxic)
+    buckets = {i: Counter(plain_buckets(t, 16)) for i, t in texts.items()}
+    raw, target = Counter(), Counter()
+    good = [i for i in texts if i in by_id and all(by_id[i])]
+    for i, b in buckets.items():
+        raw.update(b)
+        if i in good:
+            target.update(b)
+
+    def weight(b, off):
+        share = (sum(target.values()) - sum(off.values())) / sum(raw.values())
+        return 100 * sum(n * (math.log(target[x] - off[x] + 10) - math.log(raw[x] * share + 10)) for x, n in b.items()) / (sum(b.values()) + 20)
+
+    down = sorted((weight(buckets[i], buckets[i]) for i in good), reverse=True)
+    n = len(down)
+    low, mid = down[n - int(0.002 * n) - 1], down[n // 2 - 1]
+    k = sum(weight(b, Counter()) >= mid - 1.5 * (mid - low) - 1e-9 for b in buckets.values())
+    keys = {r.doc_id: weight(buckets[r.doc_id], Counter()) + r.gumbel_key - r.log_weight for r in resample(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}  # the same noise
+    edge = sorted(keys.values(), reverse=True)[k - 1]
+    assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, sf).collect()} == {i for i, x in keys.items() if x >= edge - 1e-9}
