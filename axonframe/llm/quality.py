@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._common import dropped, saved
+from ._common import dropped, maybe_among, saved
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -138,7 +138,8 @@ def decided(docs: DataFrame, labels: DataFrame, k: int | None = None, carry: lis
     A toxic document in good language has the n-grams of the target but for a few words, and is not told apart by them.
 
     Null or empty text: log weight 0. Null ids take part with one common noise. Repeated rows get equal keys. Very long texts count whole. An
-    empty table gives no rows. Other columns are carried through, whatever they are called. Two passes over the text, and a shuffle of it to meet the labels.
+    empty table gives no rows. Other columns are carried through, whatever they are called. Two passes over the text, and a shuffle of the good documents' texts
+    and few others (:func:`maybe_among`) to meet the labels.
     """
     names = docs.columns
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and coalesce(t, 0) = 0")
@@ -146,9 +147,12 @@ def decided(docs: DataFrame, labels: DataFrame, k: int | None = None, carry: lis
     good = good.select("doc_id")
     if sample_docs is not None:
         good = good.orderBy(*order).limit(sample_docs)
+    good = ids = saved(good, "good-ids")
     fifth = 0 if whole else good.count() // 5
     good = good.withColumn("check", F.lit(False)) if not fifth else good.join(good.orderBy(*order).limit(fifth).withColumn("check", F.lit(True)), "doc_id", "left").fillna(False, "check")
-    texts = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(good, "doc_id").select("text", "check"), "good")
+    near = maybe_among(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), ids, "doc_id", ids.count())
+    texts = saved(near.join(good.hint("merge"), "doc_id").select("text", "check"), "good")  # the same join at every size
+    dropped(ids)
     raw = counts_of(docs.select(F.col(text_col).cast("string")), bits)
     target = counts_of(texts.filter("not check").select("text"), bits)
     if target.sum():

@@ -7,6 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from axonframe.llm import quality
+from axonframe.llm._common import maybe_among
 from axonframe.llm.quality import Hashes, features, kth_largest, resample
 
 
@@ -124,3 +126,40 @@ def test_pipeline_counts_all_good_documents(spark, sf):
     keys = {r.doc_id: weight(buckets[r.doc_id], Counter()) + r.gumbel_key - r.log_weight for r in resample(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}  # the same noise
     edge = sorted(keys.values(), reverse=True)[k - 1]
     assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, sf).collect()} == {i for i, x in keys.items() if x >= edge - 1e-9}
+
+
+def test_only_texts_of_good_documents_are_shuffled(spark, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.md5(F.col("id").cast("string")), 30)).alias("text"))
+    labels = spark.range(0, 4000, 100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    seen, saved = [], quality.saved
+
+    def spy(df, name, *more):
+        if name == "good":
+            df.collect()
+            todo = [df._jdf.queryExecution().executedPlan()]
+            while todo:
+                node = todo.pop()
+                todo += [node.children().apply(k) for k in range(node.children().size())]
+                if node.nodeName() == "Exchange":
+                    seen.append(node.metrics().apply("dataSize").value())
+        return saved(df, name, *more)
+
+    monkeypatch.setattr(quality, "saved", spy)
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(key, value)
+    try:
+        assert resample(docs, labels).count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen and sum(seen) < 0.2 * 4000 * 965
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string", "double"])
+def test_no_key_is_missed(spark, kind):
+    rows = spark.range(-3000, 30_000).select(F.col("id").cast(kind).alias("doc_id")).union(spark.sql(f"select cast(null as {kind})"))
+    for n, keys in ((0, rows.filter("false")), (1000, rows.filter("doc_id % 33 = 0")), (30_000, rows.filter("doc_id >= 0"))):
+        near = maybe_among(rows, keys, "doc_id", n)
+        assert near.columns == ["doc_id"] and near.join(keys, "doc_id").count() == keys.count()
+        assert kind == "double" or near.count() <= keys.count() + 0.12 * rows.count() + 1
+    assert maybe_among(rows, spark.range(5).select(F.col("id").cast("tinyint").alias("doc_id")), "doc_id", 5).count() == rows.count()
