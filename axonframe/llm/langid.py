@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from functools import cached_property
 
 import numpy as np
@@ -30,33 +30,100 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+class Index(Mapping):
+    """Places of distinct strings: some 20 bytes and the string's own a piece, a small part of what a dictionary of them takes.
+
+    The strings are sorted by Python's hash, which holds in this process only; an equal hash is always confirmed on the string.
+    """
+
+    def __init__(self, items: pa.Array) -> None:
+        h = np.empty(len(items), dtype=np.int64)
+        for k in range(0, len(h), 10_000):  # all as Python's strings at once would take more than the rest
+            h[k : k + 10_000] = [hash(x) for x in items.slice(k, 10_000).to_pylist()]
+        h = h.view(np.uint64)
+        self.order = np.argsort(h).astype(np.int32)  # until the caller has sorted what belongs to the strings
+        self.hashes, self.items = h[self.order], items.take(pa.array(self.order))
+        bits = max(1, len(h).bit_length())  # half a string to one for each value of so many bits
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.zeros((1 << bits) + 1, dtype=np.int32)
+        np.cumsum(np.bincount((self.hashes >> self.shift).astype(np.int32), minlength=1 << bits), out=self.starts[1:])
+
+    def places(self, strings: list[str]) -> np.ndarray:
+        """The place of each string, -1 where it isn't there."""
+        out = np.full(len(strings), -1)
+        h = np.fromiter(map(hash, strings), dtype=np.int64, count=len(strings)).view(np.uint64)
+        part = (h >> self.shift).astype(np.int64)
+        at, end, live = self.starts[part], self.starts[part + 1], np.arange(len(strings))
+        maybe = np.full(len(strings), -1, dtype=np.int32)
+        while len(live := live[at[live] < end[live]]):
+            k = at[live]
+            equal = self.hashes[k] == h[live]
+            maybe[live[equal]] = k[equal]
+            live = live[~equal]
+            at[live] += 1
+        found = np.flatnonzero(maybe >= 0)
+        if len(found):
+            k = maybe[found]
+            some = strings if len(found) == len(strings) else [strings[i] for i in found.tolist()]
+            same = pa.compute.equal(self.items.take(pa.array(k)), pa.array(some, self.items.type))
+            if same.true_count == len(found):
+                out[found] = k
+            else:
+                same = same.to_numpy(zero_copy_only=False)
+                out[found[same]] = k[same]
+                for i in found[~same].tolist():  # another string of that hash; the string's own place may be a later one
+                    out[i] = next((j for j in range(maybe[i] + 1, end[i]) if self.hashes[j] == h[i] and self.items[j].as_py() == strings[i]), -1)
+        return out
+
+    def __getitem__(self, string: str) -> int:
+        if (k := int(self.places([string])[0])) < 0:
+            raise KeyError(string)
+        return k
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.items.to_pylist())
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+
 class Model:
     """Log frequencies by language of known words, and of n-grams of each size for all other words."""
 
     def __init__(self, langs: list[str], counts: pa.Table, smooth: float = 0.5) -> None:
         """``counts``: ``lang, kind`` (0 for a word, else the size of an n-gram), ``item, n``.
 
-        Only these go to the tasks, which make their own dictionaries of them when the first text comes: the driver needs none.
+        Only these go to the tasks, which make their own indices of them, and keep no counts: the driver needs none.
         """
         self.langs, self.counts, self.smooth = langs, counts, smooth
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("langs", "counts", "smooth")}
 
+    def release(self) -> None:
+        """Keeps what predictions need and forgets the counts; such a model can't be sent on."""
+        self._tables  # noqa: B018
+        self.counts = None
+        pa.default_memory_pool().release_unused()
+
     @cached_property
-    def _tables(self) -> tuple[list[dict[str, int]], list[np.ndarray]]:
+    def _tables(self) -> tuple[list[Index], list[np.ndarray]]:
         index, logs = [], []
         for kind in range(max(SIZES) + 1):
-            some = self.counts.filter(pa.compute.equal(self.counts["kind"], kind)).combine_chunks()
+            some = self.counts.filter(pa.compute.equal(self.counts["kind"], kind)).select(["lang", "item", "n"])
             items = some["item"].combine_chunks().dictionary_encode()
-            index.append({x: k for k, x in enumerate(items.dictionary.to_pylist())})
             m = np.full((len(items.dictionary), len(self.langs)), self.smooth)
             np.add.at(m, (items.indices.to_numpy(), pa.compute.index_in(some["lang"], pa.array(self.langs, pa.string())).to_numpy()), some["n"].to_numpy())
-            logs.append(np.log(m / m.sum(axis=0)).astype(np.float32) if len(m) else m)
+            if len(m):
+                m /= m.sum(axis=0)
+                np.log(m, out=m)
+            index.append(Index(items.dictionary))
+            logs.append(m.astype(np.float32)[index[-1].order])
+            del index[-1].order, some, items, m
         return index, logs
 
     @property
-    def index(self) -> list[dict[str, int]]:
+    def index(self) -> list[Index]:
         return self._tables[0]
 
     @property
@@ -76,24 +143,21 @@ class Model:
         if not self.langs:
             return total
         indices, logs = self._tables
-        known = indices[0]
-        at, n = [], []
-        by_size: dict[int, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
-        for w, c in words.items():
-            if (k := known.get(w)) is not None:
-                at.append(k)
-                n.append(c)
-                continue
-            for size in SIZES:
-                index = indices[size]
-                if got := [k for g in grams(w, size) if (k := index.get(g)) is not None]:
-                    by_size[size][0].extend(got)
-                    by_size[size][1].extend([c / len(got)] * len(got))
-                    break
-        if at:
-            total += np.array(n, dtype=float) @ logs[0][at]
-        for size, (got, weight) in by_size.items():
-            total += np.array(weight) @ logs[size][got]
+        left, n = list(words), np.fromiter(words.values(), dtype=float, count=len(words))
+        at = indices[0].places(left)
+        known = at >= 0
+        total += n[known] @ logs[0][at[known]]
+        for size in SIZES:
+            rest = np.flatnonzero(~known)
+            if not len(rest):
+                break
+            left, n = [left[k] for k in rest.tolist()], n[rest]
+            cut = [grams(w, size) for w in left]
+            at = indices[size].places([g for each in cut for g in each])
+            owner = np.repeat(np.arange(len(left)), [len(each) for each in cut])[at >= 0]
+            each = np.bincount(owner, minlength=len(left))
+            total += (n[owner] / each[owner]) @ logs[size][at[at >= 0]]
+            known = each > 0
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -180,6 +244,7 @@ def prediction(spark: SparkSession, model: Model, text_col: str = "text") -> Col
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
+        m.release()
         for texts in batches:
             got = [m.predict(t.as_py()) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])

@@ -1,5 +1,7 @@
 import math
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from axonframe.llm.langid import Model, identify, train
+from axonframe.llm.langid import Index, Model, identify, train
 
 
 def model(langs, rows):
@@ -107,3 +109,35 @@ def test_all_rows_are_learned_from(spark):
     m = train(docs, F.lit(True))
     assert set(m.index[0]) == {"word", *(word(k) for k in range(3200))}
     assert np.exp(m.logs[0][m.index[0]["word"]]) == pytest.approx([6000.5 / (12000 + 0.5 * 3201), 400.5 / (800 + 0.5 * 3201)], rel=1e-5)
+
+
+def test_a_sent_model_is_small(spark):
+    """With 60,000 words a model of dictionaries takes 180 bytes a word besides the frequencies, and the counts stay beside it."""
+    word = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:05d}")
+    sent = pickle.loads(pickle.dumps(model(["a", "b"], [("ab"[k % 2], 0, word(k), 3) for k in range(60_000)])))
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    index = sent.index
+    made = tracemalloc.take_snapshot().statistics("filename")
+    tracemalloc.stop()
+    assert sum(x.size for x in made) + pa.total_allocated_bytes() - arrow < 60_000 * 50
+    want = sent.predict(f"{word(3)} {word(59_999)} unseen")
+    sent.release()
+    assert sent.counts is None
+    assert sent.predict(f"{word(3)} {word(59_999)} unseen") == want
+    assert want[0] == "b"
+    assert set(index[0]) == {word(k) for k in range(60_000)}
+    assert index[0].get("aaaa") is None
+
+
+def test_equal_hashes_are_told_apart():
+    """Strings whose hashes are all equal still have places of their own, and a stranger with that hash has none."""
+    index = Index(pa.array(["one", "two", "three"]))
+    index.hashes[:] = hash("two") % (1 << 64)
+    part = int(index.hashes[0] >> index.shift)
+    index.starts[: part + 1], index.starts[part + 1 :] = 0, 3
+    assert index.places(["two", "four"]).tolist() == [index.items.to_pylist().index("two"), -1]
+    index = Index(pa.array(["x", "y"]))
+    assert [index.items[k].as_py() for k in index.places(["y", "x", "y"])] == ["y", "x", "y"]
+    assert index.places(["z", ""]).tolist() == [-1, -1]
+    assert Index(pa.array([], pa.string())).places(["a"]).tolist() == [-1]
