@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def trimmed(spark: SparkSession) -> str | None:
+    """Has the driver's JVM give freed native memory back to the system, which glibc else keeps for each of some hundred threads; what the JVM says of it.
+
+    By the command that ``jcmd`` knows as ``System.trim_native_heap``: None, and nothing done, where the JVM has none (before 17.0.9, or not on Linux).
+    """
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    named, lang = jvm.java.lang.Class.forName, jvm.java.lang
+    try:
+        types, values = new(lang.Class, 4), new(lang.Object, 4)
+        for k, kind in enumerate(["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]):
+            types[k] = named(kind)
+        for k, value in enumerate([jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", new(lang.Object, 0), new(lang.String, 0)]):
+            values[k] = value
+        return named("javax.management.MBeanServer").getMethod("invoke", types).invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return None
+
+
 def saved(df: DataFrame, name: str, rows: int | None = None, each: int = 5_000) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: cuts the lineage, survives lost executors.
 
@@ -41,6 +60,7 @@ def saved(df: DataFrame, name: str, rows: int | None = None, each: int = 5_000)
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df if rows is None else df.coalesce(rows // each + 1)).write.parquet(path)
+    trimmed(df.sparkSession)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.saved_path = path
     return back

@@ -1,6 +1,6 @@
 import random
 
-from axonframe.llm._common import components
+from axonframe.llm._common import components, trimmed
 
 
 def test_components_against_union_find(spark):
@@ -20,3 +20,8 @@ def test_components_against_union_find(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_trimming_answers_or_does_nothing(spark):
+    said = trimmed(spark)
+    assert said is None or "rim native heap" in said
