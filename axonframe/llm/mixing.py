@@ -118,7 +118,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: floa
        ``cap`` passes are wanted, so no document exceeds ``cap`` times its size, rounded up to whole passes of its blocks.
     4. Slots meet the pieces of documents by (source, block index): an equi-join that spreads a hot source's blocks.
 
-    Mix rows: ``shard, slot, pass, no_src, src, block, k, dup, lo, hi`` (words lo to hi of the document with key k).
+    Mix rows: ``shard, slot, pass, no_src, src, block, k, dup, size, lo, hi`` (words lo to hi of the document with key k, which has ``size`` of them).
     Document rows: ``doc_id, k, dup, size, source_size, target``. ``dup`` tells repeated rows apart.
     Null text: size 0, takes no part but is listed. A null source is a source of its own. Null ids are ordinary
     values. Very long texts are many pieces. All sizes 0, or an empty table: nothing is mixed. A source's taken words are within a block or so of its target, which
@@ -157,7 +157,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: floa
     pieces = (
         placed.filter("size > 0")
         .withColumn("block", F.explode(F.expr(f"sequence(pos div {block}, (pos + size - 1) div {block})")))
-        .select(*key, "block", "k", "dup", F.greatest(F.lit(0).cast("long"), F.expr(f"block * {block} - pos")).alias("lo"), F.expr(f"least(size, (block + 1) * {block} - pos)").alias("hi"))
+        .select(*key, "block", "k", "dup", "size", F.greatest(F.lit(0).cast("long"), F.expr(f"block * {block} - pos")).alias("lo"), F.expr(f"least(size, (block + 1) * {block} - pos)").alias("hi"))
     )
     return slots(per_source, seed, shard_slots).join(pieces.hint("merge"), [*key, "block"]), placed  # slots are far more than the size of the table they come from tells
 
@@ -179,8 +179,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     mix, placed = mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     names = docs.columns
-    runs = mix.groupBy("k", "dup", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))  # a document's own blocks
-    passes = runs.groupBy("k", "dup").agg(F.collect_list(F.struct("pass", "runs")).alias("passes"))  # at most cap of them
+    whole = F.sum(F.col("hi") - F.col("lo")) == F.max("size")
+    runs = mix.groupBy("k", "dup", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"), whole.alias("whole"))  # a document's own blocks
+    passes = runs.groupBy("k", "dup").agg(F.collect_list(F.struct("pass", "runs", "whole")).alias("passes"))  # at most cap of them
     passes = saved(passes, "passes")  # read twice below
     repeated = placed.filter("dup > 1").select("k").distinct()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), _row_key(id_col, text_col, source_col).alias("k"))
@@ -189,8 +190,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = whole.join(repeated, "k", "left_semi").withColumn("dup", nth).join(passes, ["k", "dup"]).drop("dup")
     got = once.unionByName(again).select("doc", F.explode("passes").alias("one"))
     text = F.col("doc").getField(text_col)
-    taken = F.aggregate("one.runs", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"])
-    got = got.withColumn("whole", taken == F.regexp_count(text, F.lit(WORD))).withColumn("words", F.when(~F.col("whole"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
-    part = F.array_join(F.flatten(F.transform("one.runs", lambda r: F.slice(F.col("words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), " ")
-    got = got.withColumn("new_text", F.when(F.col("whole"), text).otherwise(part))
+    cut = lambda words: F.array_join(F.flatten(F.transform("one.runs", lambda r: F.slice(words, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), " ")
+    # the words are an argument of a lambda, so that they are looked for once; a column of them would be put into the inner lambda, and all be found again for each run
+    part = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), cut), F.lit(0))
+    got = got.withColumn("new_text", F.when(F.col("one.whole"), text).otherwise(part))
     return got.select(*[F.col("new_text").alias(c) if c == text_col else F.char_length("new_text").cast("long").alias(c) if c == "n_chars" else F.col("doc").getField(c).alias(c) for c in names])

@@ -171,3 +171,23 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_native(spark, sf):
     plan = taken_words(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_words_are_looked_for_once_a_text(spark, sf):
+    """Not once for each run of words that is taken, which would be the square of a long text: 625 runs of 40,000 words here."""
+    long = " \t".join(f"w{k}" for k in range(40_000))
+    docs = spark.createDataFrame([(1, long, "a"), (2, "one two three " * 9000, "a"), (3, "four five", "b")], "doc_id long, text string, source string")
+    got = mixed_documents(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan
+    for at in (m.end() for m in re.finditer(r"lambdafunction\(", plan)):
+        depth = 1
+        end = next(k for k in range(at, len(plan)) if not (depth := depth + {"(": 1, ")": -1}.get(plan[k], 0)))
+        assert "regexp" not in plan[at:end]
+    rows = [r for r in got.collect() if r.doc_id == 1]
+    assert rows
+    for words in (r.text.split() for r in rows):
+        assert [int(w[1:]) for w in words] == sorted({int(w[1:]) for w in words})  # in order, none twice
+    mix, _ = mixture(docs)
+    assert sorted(len(r.text.split()) for r in rows) == sorted(r.n for r in mix.filter("size = 40000").groupBy("k", "pass").agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).collect())
+    assert any(r.text == long for r in rows) == any(len(r.text.split()) == 40_000 for r in rows)
